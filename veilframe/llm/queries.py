@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, packing, records, tiff
+from . import bpe, embedding_forest, html, ngram_join, packing, records, tiff
 from .common import settings, table, tokenizer_path
 
 
@@ -28,10 +28,18 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.as_media(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings(spark)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_records, op3_html, op5_bpe, op7_tiff, op9_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.link(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_records, op3_html, op5_bpe, op7_tiff, op8_ngram_join, op9_packing, op10_forest)}
+ORACLE_SQL: dict[str, str] = {"op8_ngram_join": ngram_join.ORACLE_SQL, "op10_forest": embedding_forest.ORACLE_SQL}
