@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_forest, html, ngram_join, packing, records, tiff
+from . import bpe, embedding_forest, html, language, ngram_join, packing, records, tiff, toxicity
 from .common import settings, table, tokenizer_path
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings(spark)
     return records.sequences(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -23,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings(spark)
     return tiff.as_media(table(spark, sf_dir, "documents"))
@@ -41,5 +49,5 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.link(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_records, op3_html, op5_bpe, op7_tiff, op8_ngram_join, op9_packing, op10_forest)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_html, op5_bpe, op6_toxicity, op7_tiff, op8_ngram_join, op9_packing, op10_forest)}
 ORACLE_SQL: dict[str, str] = {"op8_ngram_join": ngram_join.ORACLE_SQL, "op10_forest": embedding_forest.ORACLE_SQL}
