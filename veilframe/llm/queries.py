@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_forest, html, language, ngram_join, packing, records, tiff, toxicity
+from . import bpe, embedding_forest, html, language, mixing, ngram_join, packing, records, tiff, toxicity
 from .common import settings, table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -49,5 +53,5 @@ def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.link(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_html, op5_bpe, op6_toxicity, op7_tiff, op8_ngram_join, op9_packing, op10_forest)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_html, op4_mixing, op5_bpe, op6_toxicity, op7_tiff, op8_ngram_join, op9_packing, op10_forest)}
 ORACLE_SQL: dict[str, str] = {"op8_ngram_join": ngram_join.ORACLE_SQL, "op10_forest": embedding_forest.ORACLE_SQL}
