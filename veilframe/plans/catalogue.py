@@ -5,6 +5,192 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from veilframe.functions.checks import entropy, luhn, preview, private_ipv4
+from veilframe.functions.spans import spans
+from veilframe.operators import privacy as P
+from veilframe.operators import sessions as S
+from veilframe.operators.rules import UNIVERSAL, Rule
+
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+PHONE = r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,4}(?:[ -]?[0-9]{2,4}){1,4}"
+CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}"
+IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+TOKEN = r'(token = ")([0-9a-f]{40})'
+#: The rules that SQL can state too: no look-around, and no two of them meet in one place.
+SLICE = [Rule("EMAIL", EMAIL, 1.0, need="@"), Rule("PHONE", PHONE, 0.7, need="+"), Rule("CREDIT_CARD", CARD, 1.0, validator="luhn"), Rule("PASSWORD", TOKEN, 0.7, grouped=True, need="token")]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table is one file, read as few tasks: deal it out where rows are worked on."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("scope"), F.col("doc_id").alias("turn"), "text")
+    return d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _spans(pattern: str, grouped: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _texts(spark, sf_dir).select(F.col("turn").alias("doc_id"), F.explode(spans(F.col("text"), pattern, grouped)).alias("s")).select("doc_id", F.col("s.start").alias("start_at"), F.col("s.value").alias("value"))
+
+    return run
+
+
+def _spans_sql(pattern: str, group: int = 0) -> str:
+    q = pattern.replace("'", "''")
+    p = f"coalesce(length(list_extract(regexp_extract_all(text, '{q}', 1), i)), 0)" if group else "0"
+    return f"""
+    WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{q}') AS m, string_split_regex(text, '{q.replace("(token", "(?:token").replace(")([0-9a-f]", ")(?:[0-9a-f]")}') AS p FROM documents),
+    u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)
+    SELECT doc_id, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + {p})::INT AS start_at,
+      list_extract(regexp_extract_all(text, '{q}', {2 if group else 0}), i) AS value FROM u"""
+
+
+def _decided(spark: SparkSession, sf_dir: str, policy: P.Policy = P.Policy()) -> DataFrame:
+    return P.decide(P.detect(_texts(spark, sf_dir), SLICE, normalize=False), policy)
+
+
+def _entities(decided: DataFrame) -> DataFrame:
+    return decided.select("scope", "turn", "status", F.explode("entities").alias("e")).select("scope", "turn", "status", "e.*")
+
+
+_LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 0 THEN d[k]::INT ELSE CASE WHEN d[k]::INT > 4 THEN 2 * d[k]::INT - 9 ELSE 2 * d[k]::INT END END)) % 10 = 0"""
+_ENTITIES = f"""
+WITH hits AS (
+  SELECT lang AS scope, doc_id AS turn, 'EMAIL' AS type, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents
+  UNION ALL SELECT lang, doc_id, 'PHONE', unnest(regexp_extract_all(text, '{PHONE}')) FROM documents
+  UNION ALL SELECT lang, doc_id, 'CREDIT_CARD', v FROM (SELECT lang, doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT lang, doc_id, unnest(regexp_extract_all(text, '{CARD}')) AS v FROM documents)) WHERE {_LUHN}
+  UNION ALL SELECT lang, doc_id, 'PASSWORD', unnest(regexp_extract_all(text, '{TOKEN}', 2)) FROM documents),
+blocked AS (SELECT DISTINCT turn FROM hits WHERE type = 'PASSWORD'),
+ok AS (SELECT * FROM hits WHERE turn NOT IN (SELECT turn FROM blocked))
+"""
+
+
+def sendable_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: documents, how many are blocked, and distinct placeholders of each type that the others need."""
+    decided = _decided(spark, sf_dir)
+    docs = decided.groupBy("scope").agg(F.count("*").alias("documents"), F.sum((F.col("status") == "blocked").cast("long")).alias("blocked"))
+    kinds = _entities(decided).where("status = 'ok' and action = 'anonymize'").groupBy("scope").agg(*(F.count_distinct(F.when(F.col("type") == t, F.col("value"))).alias(t.lower()) for t in ("EMAIL", "PHONE", "CREDIT_CARD")))
+    return docs.join(kinds, "scope", "left").select(F.col("scope").alias("lang"), "documents", "blocked", *(F.coalesce(t, F.lit(0)).cast("long").alias(t) for t in ("email", "phone", "credit_card")))
+
+
+def detections_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(_decided(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("n_docs"))
+
+
+def blocked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).where("status = 'blocked'").select(F.col("turn").alias("doc_id"))
+
+
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(_decided(spark, sf_dir)).groupBy("type", "action", "category", "severity").agg(F.count("*").alias("n"))
+
+
+def inspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _decided(spark, sf_dir).where(F.size("entities") > 0)
+    return df.select(F.col("turn").alias("doc_id"), F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["type"])))).alias("types"))
+
+
+def placeholder_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of placeholders per scope and type, and the largest index: dense, so both agree."""
+    m = P.allocate(_decided(spark, sf_dir))
+    return m.groupBy("scope", "type").agg(F.count("*").alias("n"), F.max("idx").cast("long").alias("top"), F.min(F.when(F.col("idx") == 1, F.col("value"))).alias("first_value"))
+
+
+def email_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with mail addresses masked."""
+    policy = P.Policy(rules={"EMAIL": "mask", "TEXT": "anonymize"})
+    decided = P.decide(P.detect(_texts(spark, sf_dir), SLICE[:1], normalize=False), policy)
+    out = P.protect(decided, P.allocate(decided), policy)
+    return out.where(F.col("protected_text").contains("[REDACTED]")).select(F.col("turn").alias("doc_id"), F.sha2("protected_text", 256).alias("digest"), "reversible")
+
+
+def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sendable text, protected and restored again: as many as come back unchanged."""
+    decided = _decided(spark, sf_dir)
+    maps = P.allocate(decided)
+    sent = P.protect(decided, maps, P.Policy()).where("status = 'ok'")
+    back = P.restore(sent.select("scope", F.col("turn").alias("response_id"), F.col("protected_text").alias("text")), maps)
+    same = back.join(_texts(spark, sf_dir).select(F.col("turn").alias("response_id"), "text"), "response_id").withColumn("same", F.col("restored_text") == F.col("text"))
+    return same.groupBy("scope").agg(F.count("*").alias("texts"), F.sum(F.col("same").cast("long")).alias("unchanged"))
+
+
+def card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(CARD)(spark, sf_dir).withColumn("valid", luhn(F.col("value")))
+
+
+def ipv4_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(IPV4)(spark, sf_dir).withColumn("private", private_ipv4(F.col("value"))).drop("start_at")
+
+
+def hex_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(TOKEN, True)(spark, sf_dir).select("doc_id", F.round(entropy(F.col("value")), 6).alias("bits"))
+
+
+def masked_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(EMAIL)(spark, sf_dir).select("doc_id", preview(F.col("value")).alias("preview"))
+
+
+def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.sessions(_table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return s.groupBy("user_id").agg((F.max("session") + 1).cast("long").alias("sessions"), F.count("*").alias("events"))
+
+
+def lru_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.most_recent(_table(spark, sf_dir, "events"), "user_id", "ts", 64).select("user_id")
+
+
+def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    return S.expired(e.join(F.broadcast(now)), "ts", F.col("now"), 7 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def full_rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each universal rule fires, rules that never do included."""
+    hits = P.detect(_texts(spark, sf_dir), UNIVERSAL, normalize=False).select(F.explode("dets").alias("d")).groupBy(F.col("d.rule").alias("rule")).count()
+    names = spark.createDataFrame(sorted({(r.id,) for r in UNIVERSAL}), "rule string")
+    return names.join(hits, "rule", "left").select("rule", F.coalesce("count", F.lit(0)).alias("n"))
+
+
+def html_page_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that pages link to or are served from, per scheme, of pages with a mail address or without."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), (F.size(spans(F.regexp_replace("html", "<[^>]*>", " "), EMAIL)) > 0).alias("has_mail"))
+    return p.groupBy("scheme", "has_mail").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "email_spans": _spans(EMAIL), "phone_spans": _spans(PHONE), "token_assignment": _spans(TOKEN, True),
+    **{f.__name__: f for f in (card_luhn, ipv4_class, hex_entropy, masked_preview, sendable_by_language, detections_by_type, blocked_documents, policy_actions, inspect_types, placeholder_allocation, email_protected, restore_roundtrip, session_expiry, lru_conversations, retention_expired, full_rule_audit, html_page_mail)},
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "email_spans": _spans_sql(EMAIL), "phone_spans": _spans_sql(PHONE), "token_assignment": _spans_sql(TOKEN, 2),
+    "card_luhn": f"SELECT doc_id, start_at, value, {_LUHN} AS valid FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_spans_sql(CARD)}))",
+    "ipv4_class": f"""SELECT doc_id, value, (a <= 255 AND b <= 255 AND c <= 255 AND o[4]::INT <= 255) AND (a IN (0, 10, 127) OR a >= 240 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS private
+      FROM (SELECT doc_id, value, o, o[1]::INT AS a, o[2]::INT AS b, o[3]::INT AS c FROM (SELECT doc_id, value, string_split(value, '.') AS o FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS value FROM documents)))""",
+    "hex_entropy": f"""WITH v AS (SELECT doc_id, row_number() OVER () AS r, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}', 2)) AS value FROM documents)),
+      c AS (SELECT doc_id, r, ch, count(*) AS k FROM (SELECT doc_id, r, unnest(string_split(value, '')) AS ch FROM v) GROUP BY ALL)
+      SELECT doc_id, round(-sum(k / 40.0 * log2(k / 40.0)), 6) AS bits FROM c GROUP BY doc_id, r""",
+    "masked_preview": f"SELECT doc_id, left(value, 1) || repeat('*', length(value) - 1) AS preview FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents)",
+    "sendable_by_language": _ENTITIES + """, k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL)
+      SELECT lang, count(*) AS documents, count(*) FILTER (doc_id IN (SELECT turn FROM blocked)) AS blocked, coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'EMAIL')), 0) AS email,
+      coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'PHONE')), 0) AS phone, coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'CREDIT_CARD')), 0) AS credit_card FROM documents GROUP BY lang""",
+    "detections_by_type": _ENTITIES + "SELECT type, count(*) AS n, count(DISTINCT turn) AS n_docs FROM hits GROUP BY type",
+    "blocked_documents": _ENTITIES + "SELECT turn AS doc_id FROM blocked",
+    "policy_actions": _ENTITIES + """SELECT type, CASE type WHEN 'PASSWORD' THEN 'block' ELSE 'anonymize' END AS action, CASE type WHEN 'PASSWORD' THEN 'SECRET' ELSE 'PII' END AS category,
+      CASE type WHEN 'PASSWORD' THEN 100 WHEN 'CREDIT_CARD' THEN 95 ELSE 75 END AS severity, count(*) AS n FROM hits GROUP BY ALL""",
+    "inspect_types": _ENTITIES + "SELECT turn AS doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM hits GROUP BY turn",
+    "placeholder_allocation": _ENTITIES + """, f AS (SELECT scope, type, value, min(turn) AS turn FROM ok GROUP BY ALL), g AS (SELECT f.*, min(strpos(d.text, f.value)) AS place FROM f JOIN documents d ON d.doc_id = f.turn GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY scope, type ORDER BY turn, place) AS idx FROM g) SELECT scope, type, count(*) AS n, max(idx) AS top, min(value) FILTER (idx = 1) AS first_value FROM r GROUP BY ALL""",
+    "email_protected": f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[REDACTED]', 'g')) AS digest, false AS reversible FROM documents WHERE regexp_matches(text, '{EMAIL}')",
+    "restore_roundtrip": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
+    "session_expiry": """WITH g AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
+      SELECT user_id, count(*) FILTER (gap >= 1800000000) + 1 AS sessions, count(*) AS events FROM g GROUP BY user_id""",
+    "lru_conversations": "SELECT user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 64",
+    "retention_expired": "SELECT event_type, count(*) AS n FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) >= 604800000000 GROUP BY event_type",
+    "html_page_mail": f"SELECT regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_matches(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{EMAIL}') AS has_mail, count(*) AS n FROM pages GROUP BY ALL",
+}
