@@ -8,9 +8,10 @@
     document links with nothing.  An element that a batch of documents holds more
     than once is counted there and sent on once, so a passage found everywhere
     costs one entry a batch.
-2.  Of the others, equal sets are collapsed to one class.  Classes that share an
-    element of their plain prefix form clusters; sets of different clusters can't
-    link.
+2.  Of the others, equal sets are collapsed to one class, and the count is taken
+    once more over whole sets.  Elements that many of the remaining sets have come
+    last in the order of their prefixes.  Classes that share an element of their
+    plain prefix form clusters; sets of different clusters can't link.
 3.  A cluster is dealt into blocks of bounded size.  A block stores its sets in a
     trie along the global order and walks it once a set: overlaps are counted for
     a shared path once, and a subtree is left as soon as what remains can't reach
@@ -41,6 +42,8 @@ WORDS = 5
 SIMILAR = 75
 #: Share of a set by which its prefix is longer than needed for one common element.
 EXTRA = 0.15
+#: Documents that make an element hot: it comes last in the order that prefixes are taken in.
+HOT = 64
 #: Elements a block of a cluster holds, about.
 BLOCK = 400_000
 _U = np.uint64
@@ -133,29 +136,35 @@ def _extra(n: int) -> int:
     return max(1, int(EXTRA * n))
 
 
-def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, n, shared): set size, and how many elements of its long prefix other documents have in theirs."""
+def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame:
+    """(doc_id, n, shared, hot): set size, how many elements other documents have too, and which of them are hot.
+
+    From documents (doc_id, text) the long prefixes are compared.  With ``whole``, docs are sets (doc_id, elements),
+    all of whose elements are compared, and ``hot`` lists the elements that HOT documents or more have.
+    """
+    repeat = HOT if whole else 2  # so many in a batch are counted there and sent on as one entry
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch = 0
         for f in frames:
             if not len(f):
                 continue
-            sets = shingle_sets(f["text"].tolist())
+            sets = [np.frombuffer(b, "<u8") for b in f["elements"]] if whole else shingle_sets(f["text"].tolist())
             ns = np.array([len(s) for s in sets])
-            long = [min(n, prefix_length(n) - 1 + _extra(n)) if n else 0 for n in ns.tolist()]
+            long = [n if whole else min(n, prefix_length(n) - 1 + _extra(n)) if n else 0 for n in ns.tolist()]
             tok = np.concatenate([s[:p] for s, p in zip(sets, long)])
             loc = np.repeat(np.arange(len(sets)), long)
             order = np.argsort(tok, kind="stable")
             tok, loc = tok[order], loc[order]
             begin = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.empty(0, np.int64)
             many = np.diff(np.r_[begin, len(tok)])
-            again = np.repeat(many > 1, many)
+            times = np.repeat(many, many)
+            again = times >= repeat
             here = np.bincount(loc[again], minlength=len(sets))
-            # one entry for what repeats in this batch, without a document that waits for the answer
-            keep = np.zeros(len(tok), bool)
+            hot = [(loc[again].astype("<i4").tobytes() + tok[again].astype("<u8").tobytes()) if whole else b""]
+            keep = ~again
             keep[begin] = True
-            loc = np.where(again, -1, loc)[keep].astype("<i4")
+            loc, count = np.where(again, -1, loc)[keep].astype("<i2" if len(sets) < 1 << 15 else "<i4"), np.where(again, times, 1)[keep].astype("<i4")
             tok = tok[keep]
             part = ((tok & _U(0xFFFFFFFF)) * _U(parts) >> _U(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -166,33 +175,46 @@ def shared_counts(docs: DataFrame, parts: int) -> DataFrame:
                 own = k == batch % parts
                 if j > i or own:
                     at = order[i:j]
-                    rows.append((k, ids, sizes, tok[at].astype("<u8").tobytes(), loc[at].astype("<i2" if len(sets) < 1 << 15 else "<i4").tobytes(), here.astype("<i4").tobytes() if own else b""))
+                    rows.append((k, ids, sizes, tok[at].astype("<u8").tobytes(), loc[at].tobytes(), count[at].tobytes() if whole else b"", here.astype("<i4").tobytes() if own else b"", hot[0] if own else b""))
             batch += 1
-            yield pd.DataFrame(rows, columns=["part", "ids", "ns", "tok", "loc", "here"])
+            yield pd.DataFrame(rows, columns=["part", "ids", "ns", "tok", "loc", "count", "here", "hot"])
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         tok = [np.frombuffer(b, "<u8") for b in f["tok"]]
         flat = np.concatenate(tok)
         order = np.argsort(flat, kind="stable")
-        same = flat[order][1:] == flat[order][:-1]
-        shared = np.zeros(len(flat), bool)
-        shared[order] = np.r_[False, same] | np.r_[same, False] if len(flat) else False
+        held = flat[order]
+        begin = np.flatnonzero(np.r_[True, held[1:] != held[:-1]]) if len(held) else np.empty(0, np.int64)
+        count = np.concatenate([np.frombuffer(b, "<i4") for b in f["count"]]).astype(np.int64) if whole else np.ones(len(flat), np.int64)
+        total = np.empty(len(flat), np.int64)
+        if len(flat):
+            total[order] = np.repeat(np.add.reduceat(count[order], begin), np.diff(np.r_[begin, len(held)]))
         out, at = [], 0
-        for t, loc, ids, ns, here in zip(tok, f["loc"], f["ids"], f["ns"], f["here"]):
+        for t, loc, ids, ns, here, hot in zip(tok, f["loc"], f["ids"], f["ns"], f["here"], f["hot"]):
             ids, ns = np.frombuffer(ids, "<i8"), np.frombuffer(ns, "<i4")
             loc = np.frombuffer(loc, "<i2" if len(ids) < 1 << 15 else "<i4")
-            mine = loc[shared[at : at + len(t)]]
+            df = total[at : at + len(t)]
             at += len(t)
-            count = np.bincount(mine[mine >= 0], minlength=len(ids))
+            waits = loc >= 0
+            number = np.bincount(loc[(df > 1) & waits], minlength=len(ids))
             if here:
-                count = count + np.frombuffer(here, "<i4")
-            some = np.ones(len(ids), bool) if here else count > 0
-            out.append(pd.DataFrame({"doc_id": ids[some], "n": ns[some], "shared": count[some]}))
+                number = number + np.frombuffer(here, "<i4")
+            busy = (df >= HOT) & waits if whole else np.zeros(len(t), bool)
+            doc, element = loc[busy].astype(np.int64), t[busy]
+            if hot:
+                n = len(hot) // 12
+                doc, element = np.r_[doc, np.frombuffer(hot, "<i4", n)], np.r_[element, np.frombuffer(hot, "<u8", n, 4 * n)]
+            by = np.argsort(doc, kind="stable")
+            cut = np.searchsorted(doc[by], np.arange(len(ids) + 1)).tolist()
+            some = np.flatnonzero(np.ones(len(ids), bool) if here else number > 0)
+            blobs = [element[by[cut[k] : cut[k + 1]]].tobytes() for k in some.tolist()]
+            out.append(pd.DataFrame({"doc_id": ids[some], "n": ns[some], "shared": number[some], "hot": blobs}))
         return pd.concat(out)
 
-    sent = docs.mapInPandas(send, "part int, ids binary, ns binary, tok binary, loc binary, here binary")
-    back = sent.groupBy("part").applyInPandas(answer, "doc_id long, n long, shared long")
-    return back.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    sent = docs.mapInPandas(send, "part int, ids binary, ns binary, tok binary, loc binary, count binary, here binary, hot binary")
+    back = sent.groupBy("part").applyInPandas(answer, "doc_id long, n long, shared long, hot binary")
+    hot = [F.filter(F.collect_list("hot"), lambda b: F.length(b) > 0).alias("hot")] if whole else []
+    return back.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), *hot)
 
 
 class Trie:
@@ -268,12 +290,13 @@ def join_block(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def probe_block(probes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Links between probes and a block's sets of other components, one for each component a probe meets."""
+def probe_block(f: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block's sets and the probes dealt to it, one for each component that a probe meets."""
     links: list[tuple] = []
-    if len(probes) and len(block):
-        trie = Trie([np.frombuffer(b, "<u8") for b in block["elements"]])
-        ids, comp = block["doc_id"].tolist(), block["component"].tolist()
+    probes, held = f[f["probe"]], f[~f["probe"]]
+    if len(probes) and len(held):
+        trie = Trie([np.frombuffer(b, "<u8") for b in held["elements"]])
+        ids, comp = held["doc_id"].tolist(), held["component"].tolist()
         for key, own, b in zip(probes["doc_id"], probes["component"], probes["elements"]):
             met = {own}
             for j in trie.matches(np.frombuffer(b, "<u8"), lambda k, met=met: comp[k] in met):
@@ -297,9 +320,9 @@ def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _deal(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members (doc_id, n, cluster) with blocks, and how many their cluster has: by hash, so that no cluster is sorted."""
+    """members (doc_id, n, least, cluster) with blocks, and how many their cluster has: by the least element, which near sets mostly share."""
     size = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("long").alias("blocks"))
-    return members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    return members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("least"), "blocks"))
 
 
 def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -320,16 +343,27 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     copies = sets.select("doc_id", print_of.alias("print")).join(classes.where("copies > 1"), "print").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     sets = settled(sets.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
+    # Once more among these, over whole sets: a linked set shares its size times the threshold with some other.
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    again = shared_counts(sets.select("doc_id", "elements"), parts_for(spark, 10 * size, 16 << 20), whole=True)
+    near = again.where(F.col("shared") >= F.ceil(F.col("n") * SIMILAR / 100)).select("doc_id", "hot")
+    sets = settled(sets.join(near, "doc_id"))
+
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            own = [np.frombuffer(b, "<i8")[: prefix_length(n)] for b, n in zip(f["elements"], f["n"])]
+            own = []
+            for b, n, hot in zip(f["elements"], f["n"], f["hot"]):
+                e = np.frombuffer(b, "<u8")
+                last = np.isin(e, np.concatenate([np.frombuffer(h, "<u8") for h in hot])) if len(hot) else np.zeros(n, bool)
+                own.append(np.r_[e[~last], e[last]][: prefix_length(n)].view("<i8"))
             yield pd.DataFrame({"doc_id": np.repeat(f["doc_id"].to_numpy(), [len(x) for x in own]), "element": np.concatenate(own) if own else []})
 
-    prefix = settled(sets.mapInPandas(prefixes, "doc_id long, element long"))
+    prefix = settled(sets.select("doc_id", "n", "elements", "hot").mapInPandas(prefixes, "doc_id long, element long"))
     stars = prefix.groupBy("element").agg(F.min("doc_id").alias("a"), F.count("*").alias("many")).where("many > 1")
     together = prefix.join(stars, "element").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
     cluster = components(together).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    members = settled(_deal(cluster.join(sets.select("doc_id", "n"), "doc_id"), block))
+    least = F.substring("elements", 1, 8).alias("least")
+    members = settled(_deal(cluster.join(sets.select("doc_id", "n", least), "doc_id"), block))
     found = settled(_block_links(members, sets))
 
     # Clusters of several blocks: join one set of each component again, until nothing merges.
@@ -337,7 +371,7 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     if wide.limit(1).count():
         while True:
             label = _labels(wide, found)
-            heads = label.groupBy("cluster", "component").agg(F.min(F.struct("n", "doc_id")).alias("h")).select("cluster", "h.doc_id", "h.n")
+            heads = label.groupBy("cluster", "component").agg(F.min(F.struct("n", "doc_id", "least")).alias("h")).select("cluster", "h.doc_id", "h.n", "h.least")
             heads = _deal(heads.join(heads.groupBy("cluster").count().where("count > 1").select("cluster"), "cluster"), block)
             more = settled(_block_links(heads, sets))
             if not more.limit(1).count():
@@ -347,10 +381,11 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         size = label.groupBy("cluster", "component").count()
         main = size.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
         minor = label.join(main, "cluster").where("component <> main")
-        probes = minor.drop("block", "main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("deal", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1)))
-        held = label.join(minor.select("cluster").distinct(), "cluster", "left_semi").withColumn("deal", F.lit(0).cast("long"))
-        with_sets = lambda d: d.select("cluster", "block", "deal", "doc_id", "component").join(sets.select("doc_id", "elements"), "doc_id")
-        cross = with_sets(probes).groupBy("cluster", "block", "deal").cogroup(with_sets(held).groupBy("cluster", "block", "deal")).applyInPandas(lambda p, b: probe_block(p, b), "a long, b long")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        probes = minor.select("cluster", every.alias("block"), "doc_id", "component", F.lit(True).alias("probe"))
+        held = label.join(minor.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "block", "doc_id", "component", F.lit(False).alias("probe"))
+        met = probes.unionByName(held).join(sets.select("doc_id", "elements"), "doc_id")
+        cross = met.groupBy("cluster", "block").applyInPandas(lambda f: probe_block(f), "a long, b long")
         found = settled(found.unionByName(cross))
     return counts.select("doc_id", "n"), found.unionByName(copies)
 
