@@ -27,6 +27,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,14 +171,15 @@ def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
             ids, sizes = f["doc_id"].to_numpy("<i8").tobytes(), ns.astype("<i4").tobytes()
+            name = int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
             rows = []
             for k, (i, j) in enumerate(zip(cut, cut[1:])):
                 own = k == batch % parts
                 if j > i or own:
                     at = order[i:j]
-                    rows.append((k, ids, sizes, tok[at].astype("<u8").tobytes(), loc[at].tobytes(), count[at].tobytes() if whole else b"", here.astype("<i4").tobytes() if own else b"", hot[0] if own else b""))
+                    rows.append((k, name, ids if own else b"", len(sets), sizes if own else b"", tok[at].astype("<u8").tobytes(), loc[at].tobytes(), count[at].tobytes() if whole else b"", here.astype("<i4").tobytes() if own else b"", hot[0] if own else b""))
             batch += 1
-            yield pd.DataFrame(rows, columns=["part", "ids", "ns", "tok", "loc", "count", "here", "hot"])
+            yield pd.DataFrame(rows, columns=["part", "batch", "ids", "many", "ns", "tok", "loc", "count", "here", "hot"])
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
         tok = [np.frombuffer(b, "<u8") for b in f["tok"]]
@@ -190,29 +192,43 @@ def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame
         if len(flat):
             total[order] = np.repeat(np.add.reduceat(count[order], begin), np.diff(np.r_[begin, len(held)]))
         out, at = [], 0
-        for t, loc, ids, ns, here, hot in zip(tok, f["loc"], f["ids"], f["ns"], f["here"], f["hot"]):
-            ids, ns = np.frombuffer(ids, "<i8"), np.frombuffer(ns, "<i4")
-            loc = np.frombuffer(loc, "<i2" if len(ids) < 1 << 15 else "<i4")
+        for t, loc, many, batch, ids, ns, here, hot in zip(tok, f["loc"], f["many"], f["batch"], f["ids"], f["ns"], f["here"], f["hot"]):
+            loc = np.frombuffer(loc, "<i2" if many < 1 << 15 else "<i4")
             df = total[at : at + len(t)]
             at += len(t)
             waits = loc >= 0
-            number = np.bincount(loc[(df > 1) & waits], minlength=len(ids))
+            number = np.bincount(loc[(df > 1) & waits], minlength=many)
             if here:
                 number = number + np.frombuffer(here, "<i4")
             busy = (df >= HOT) & waits if whole else np.zeros(len(t), bool)
-            doc, element = loc[busy].astype(np.int64), t[busy]
-            if hot:
-                n = len(hot) // 12
-                doc, element = np.r_[doc, np.frombuffer(hot, "<i4", n)], np.r_[element, np.frombuffer(hot, "<u8", n, 4 * n)]
-            by = np.argsort(doc, kind="stable")
-            cut = np.searchsorted(doc[by], np.arange(len(ids) + 1)).tolist()
-            some = np.flatnonzero(np.ones(len(ids), bool) if here else number > 0)
-            blobs = [element[by[cut[k] : cut[k + 1]]].tobytes() for k in some.tolist()]
-            out.append(pd.DataFrame({"doc_id": ids[some], "n": ns[some], "shared": number[some], "hot": blobs}))
-        return pd.concat(out)
-
-    sent = docs.mapInPandas(send, "part int, ids binary, ns binary, tok binary, loc binary, count binary, here binary, hot binary")
-    back = sent.groupBy("part").applyInPandas(answer, "doc_id long, n long, shared long, hot binary")
+            more = loc[busy].astype("<i4").tobytes() + t[busy].tobytes()
+            some = np.flatnonzero(number)
+            out.append((batch, ids, ns, some.astype("<i4").tobytes() + number[some].astype("<i4").tobytes(), [b for b in (more, hot) if b]))
+        return pd.DataFrame(out, columns=["batch", "ids", "ns", "number", "hot"])
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        """What all partitions answered one batch."""
+        first = f[f["ids"].map(len) > 0]
+        if not len(first):
+            return pd.DataFrame({"doc_id": [], "n": [], "shared": [], "hot": []})
+        ids, ns = np.frombuffer(first["ids"].iloc[0], "<i8"), np.frombuffer(first["ns"].iloc[0], "<i4")
+        number = np.zeros(len(ids), np.int64)
+        for b in f["number"]:
+            n = len(b) // 8
+            number += np.bincount(np.frombuffer(b, "<i4", n), np.frombuffer(b, "<i4", n, 4 * n), minlength=len(ids)).astype(np.int64)
+        doc, element = [np.empty(0, np.int64)], [np.empty(0, "<u8")]
+        for b in (x for own in f["hot"] for x in own):
+            n = len(b) // 12
+            doc.append(np.frombuffer(b, "<i4", n).astype(np.int64))
+            element.append(np.frombuffer(b, "<u8", n, 4 * n))
+        doc, element = np.concatenate(doc), np.concatenate(element)
+        by = np.argsort(doc, kind="stable")
+        cut = np.searchsorted(doc[by], np.arange(len(ids) + 1)).tolist()
+        return pd.DataFrame({"doc_id": ids, "n": ns, "shared": number, "hot": [element[by[i:j]].tobytes() for i, j in zip(cut, cut[1:])]})
+
+    sent = docs.mapInPandas(send, "part int, batch long, ids binary, many int, ns binary, tok binary, loc binary, count binary, here binary, hot binary")
+    back = sent.groupBy("part").applyInPandas(answer, "batch long, ids binary, ns binary, number binary, hot array<binary>")
+    back = back.groupBy("batch").applyInPandas(gather, "doc_id long, n long, shared long, hot binary")
     hot = [F.filter(F.collect_list("hot"), lambda b: F.length(b) > 0).alias("hot")] if whole else []
     return back.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), *hot)
 
@@ -305,6 +321,16 @@ def probe_block(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+#: Bytes up to which a side is broadcast, after its rows were written and their size was taken.
+SMALL = 48 << 20
+
+
+def _side(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """df settled, and marked to be broadcast if it is small; else Spark joins it by shuffling."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
+
+
 def _sets_of(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -315,7 +341,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    dealt = members.join(sets.select("doc_id", "elements"), "doc_id")
+    dealt = sets.select("doc_id", "elements").join(_side(members.select("doc_id", "cluster", "block"), 48), "doc_id")
     return dealt.groupBy("cluster", "block").applyInPandas(lambda f: join_block(f), "a long, b long")
 
 
@@ -336,18 +362,21 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     # A partner has at least ceil(t n) elements, so the two prefixes share what the smaller set's length asks for.
     partner = F.ceil(F.col("n") * SIMILAR / 100)
     maybe = counts.where((F.col("n") > 0) & (F.col("shared") >= F.greatest(F.lit(1), F.floor(partner * EXTRA))))
-    maybe.select("doc_id").write.parquet(f"{path}-kept")
-    sets = settled(_sets_of(rows.join(spark.read.parquet(f"{path}-kept"), "doc_id", "left_semi")))
+    sets = settled(_sets_of(rows.join(_side(maybe.select("doc_id")), "doc_id", "left_semi")))
     print_of = F.sha2("elements", 256)
+    repeated = sets.groupBy("doc_id").count().where("count > 1")
     classes = settled(sets.groupBy(print_of.alias("print")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     copies = sets.select("doc_id", print_of.alias("print")).join(classes.where("copies > 1"), "print").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    sets = settled(sets.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    one = classes.select(F.col("first").alias("doc_id"), "print").join(classes.groupBy("first").agg(F.min("print").alias("print")), ["print"], "left_semi")
+    sets = sets.withColumn("print", print_of).join(_side(one, 128), ["doc_id", "print"], "left_semi").drop("print")
+    if repeated.limit(1).count():
+        sets = settled(sets.dropDuplicates(["doc_id"]))
 
     # Once more among these, over whole sets: a linked set shares its size times the threshold with some other.
     size = sets.agg(F.sum("n")).first()[0] or 0
     again = shared_counts(sets.select("doc_id", "elements"), parts_for(spark, 10 * size, 16 << 20), whole=True)
     near = again.where(F.col("shared") >= F.ceil(F.col("n") * SIMILAR / 100)).select("doc_id", "hot")
-    sets = settled(sets.join(near, "doc_id"))
+    sets = settled(sets.join(near, "doc_id"))  # the sets that are left, all that is moved from here on
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -381,10 +410,15 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         size = label.groupBy("cluster", "component").count()
         main = size.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
         minor = label.join(main, "cluster").where("component <> main")
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        probes = minor.select("cluster", every.alias("block"), "doc_id", "component", F.lit(True).alias("probe"))
-        held = label.join(minor.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "block", "doc_id", "component", F.lit(False).alias("probe"))
-        met = probes.unionByName(held).join(sets.select("doc_id", "elements"), "doc_id")
+        # A probe goes to those blocks that hold a set of another component with an element of its prefix.
+        placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component"), 48), "doc_id")
+        there = placed.select("element", F.col("block").alias("to"), F.col("component").alias("other")).distinct()
+        crossing = there.groupBy("element").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("element")
+        probes = placed.join(minor.select("doc_id"), "doc_id", "left_semi").join(crossing, "element", "left_semi").join(there, "element").where("other <> component and to <> block")
+        probes = probes.select("cluster", F.col("to").alias("block"), "doc_id", "component", F.lit(True).alias("probe")).distinct()
+        probes = settled(probes)
+        held = label.join(probes.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select("cluster", "block", "doc_id", "component", F.lit(False).alias("probe"))
+        met = sets.select("doc_id", "elements").join(_side(probes.unionByName(held), 56), "doc_id")
         cross = met.groupBy("cluster", "block").applyInPandas(lambda f: probe_block(f), "a long, b long")
         found = settled(found.unionByName(cross))
     return counts.select("doc_id", "n"), found.unionByName(copies)
