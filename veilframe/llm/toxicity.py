@@ -13,6 +13,8 @@ turns these into a score.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,18 +43,18 @@ def words(text: str | None) -> list[bytes]:
 class Model:
     """Log-likelihood differences of words: positive where the toxic model finds a word likelier."""
 
-    def __init__(self, toxic: list[list[bytes]], ordinary: list[list[bytes]]):
+    def __init__(self, toxic: Iterable[str | None], ordinary: Iterable[str | None]):
         counts: list[dict[bytes, int]] = [{}, {}]
         for seen, texts in zip(counts, (toxic, ordinary)):
             for t in texts:
-                for w in set(t):
+                for w in set(words(t)):
                     seen[w] = seen.get(w, 0) + 1
         every = sorted(set().union(*counts))
         keys = self._keys(every)
         n_letters = [len(w) + 1 for w in every]
         # Shared continuation counts: of each shorter gram, how many letters stand before it in some word of either class.
         self.low: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        longer = np.unique(keys[ORDER - 1])
+        longer = np.unique(keys)
         grams = {}
         for k in range(ORDER - 1, 0, -1):
             grams[k] = np.unique(longer & np.uint64((1 << 8 * k) - 1), return_counts=True)
@@ -65,7 +67,7 @@ class Model:
         self.top = []
         for seen in counts:
             weight = np.repeat([seen.get(w, 0) for w in every], n_letters).astype(float)
-            gram, inv = np.unique(keys[ORDER - 1], return_inverse=True)
+            gram, inv = np.unique(keys, return_inverse=True)
             n = np.bincount(inv, weight, minlength=len(gram)) if len(gram) else np.empty(0)
             self.top.append(self._level(gram[n > 0], n[n > 0], ORDER, below))
         self.known: dict[bytes, float] = {}
@@ -73,20 +75,19 @@ class Model:
         self.mean, self.sd = np.zeros(4), np.ones(4)
 
     @staticmethod
-    def _keys(words: list[bytes]) -> list[np.ndarray]:
-        """For each order, the gram that ends at each letter of each word, end mark included, packed into an integer."""
-        flat = np.frombuffer(b"".join(bytes([2] * (ORDER - 1)) + w + b"\3" for w in words), np.uint8).astype(np.uint64)
+    def _keys(words: list[bytes]) -> np.ndarray:
+        """The longest gram that ends at each letter of each word, end mark included, packed into an integer."""
+        flat = np.frombuffer(b"".join(bytes([2] * (ORDER - 1)) + w + b"\3" for w in words), np.uint8)
         size = np.array([len(w) + ORDER for w in words], np.int64)
         begin = np.cumsum(size) - size
         letter = np.ones(len(flat), bool)
         for j in range(ORDER - 1):
             letter[begin + j] = False
         at = np.flatnonzero(letter)
-        out, key = [], np.zeros(len(at), np.uint64)
+        key = np.zeros(len(at), np.uint64)
         for k in range(ORDER):
-            key = key | flat[at - k] << np.uint64(8 * k)
-            out.append(key)
-        return out
+            key |= flat[at - k].astype(np.uint64) << np.uint64(8 * k)
+        return key
 
     def _level(self, gram: np.ndarray, n: np.ndarray, k: int, below) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(grams, log probability, contexts, log weight left to shorter ones)"""
@@ -125,7 +126,7 @@ class Model:
             new = list(seen)
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            key = self._keys(some)[ORDER - 1]
+            key = self._keys(some)
             base = self._log(key & np.uint64((1 << 8 * (ORDER - 1)) - 1), ORDER - 1)
             llr = self._step(self.top[0], key, base) - self._step(self.top[1], key, base)
             size = np.array([len(w) + 1 for w in some])
@@ -152,9 +153,9 @@ class Model:
         out[some, 3] = np.log1p(np.add.reduceat((llr > 3).astype(float), begin))
         return out
 
-    def calibrate(self, texts: list[list[bytes]], y: np.ndarray, odds: float) -> None:
+    def calibrate(self, texts: list[str | None], y: np.ndarray, odds: float) -> None:
         """Logistic weights by Newton's method; ``odds`` is the share of toxic rows before they were sampled."""
-        x = self.features(texts)
+        x = np.concatenate([self.features([words(t) for t in texts[i : i + 100]]) for i in range(0, len(texts), 100)])
         self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 1e-9
         x = np.c_[np.ones(len(x)), (x - self.mean) / self.sd]
         w = np.where(y == 1, odds / max(y.mean(), 1e-9), (1 - odds) / max(1 - y.mean(), 1e-9))
@@ -177,13 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not {0, 1} <= set(sample["label"]):
         return None
-    texts, y = [words(t) for t in sample["text"]], sample["label"].to_numpy()
+    texts, y = sample["text"].tolist(), sample["label"].to_numpy()
     later = np.random.default_rng(11).random(len(y)) < CALIBRATE
     if len(set(y[later])) < 2 or len(set(y[~later])) < 2:
         later = np.zeros(len(y), bool)
+    # Texts are cut into words one after another: the driver holds words once each, not once an occurrence.
     model = Model(*([t for t, k, c in zip(texts, y, later) if k == want and not c] for want in (1, 0)))
     use = later if later.any() else ~later
     model.calibrate([t for t, c in zip(texts, use) if c], y[use], share[1] / (share[0] + share[1]))
+    model.known = {}
     return model
 
 
