@@ -385,9 +385,11 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
                 e = np.frombuffer(b, "<u8")
                 last = np.isin(e, np.concatenate([np.frombuffer(h, "<u8") for h in hot])) if len(hot) else np.zeros(n, bool)
                 own.append(np.r_[e[~last], e[last]][: prefix_length(n)].view("<i8"))
-            yield pd.DataFrame({"doc_id": np.repeat(f["doc_id"].to_numpy(), [len(x) for x in own]), "element": np.concatenate(own) if own else []})
+            size = [len(x) for x in own]
+            rest = [n - np.arange(k) for n, k in zip(f["n"], size)]  # elements from this one on
+            yield pd.DataFrame({"doc_id": np.repeat(f["doc_id"].to_numpy(), size), "element": np.concatenate(own) if own else [], "rest": np.concatenate(rest) if own else []})
 
-    prefix = settled(sets.select("doc_id", "n", "elements", "hot").mapInPandas(prefixes, "doc_id long, element long"))
+    prefix = settled(sets.select("doc_id", "n", "elements", "hot").mapInPandas(prefixes, "doc_id long, element long, rest int"))
     stars = prefix.groupBy("element").agg(F.min("doc_id").alias("a"), F.count("*").alias("many")).where("many > 1")
     together = prefix.join(stars, "element").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
     cluster = components(together).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
@@ -410,11 +412,16 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         size = label.groupBy("cluster", "component").count()
         main = size.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("m")).select("cluster", F.col("m.component").alias("main"))
         minor = label.join(main, "cluster").where("component <> main")
-        # A probe goes to those blocks that hold a set of another component with an element of its prefix.
-        placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component"), 48), "doc_id")
-        there = placed.select("element", F.col("block").alias("to"), F.col("component").alias("other")).distinct()
+        # A probe goes to those blocks that hold a set of another component with an element of its prefix, if that
+        # may be their first common one: sizes are near enough, and as much follows it in both as they must share.
+        placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component", "n"), 56), "doc_id")
+        there = placed.groupBy("element", F.col("block").alias("to"), F.col("component").alias("other")).agg(
+            F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest")
+        )
+        fits = (F.col("least_n") * SIMILAR <= 100 * F.col("n")) & (F.col("n") * SIMILAR <= 100 * F.col("most_n"))
+        fits &= (100 + SIMILAR) * F.least("rest", "most_rest") >= SIMILAR * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * SIMILAR / 100)))
         crossing = there.groupBy("element").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("element")
-        probes = placed.join(minor.select("doc_id"), "doc_id", "left_semi").join(crossing, "element", "left_semi").join(there, "element").where("other <> component and to <> block")
+        probes = placed.join(minor.select("doc_id"), "doc_id", "left_semi").join(crossing, "element", "left_semi").join(there, "element").where("other <> component and to <> block").where(fits)
         probes = probes.select("cluster", F.col("to").alias("block"), "doc_id", "component", F.lit(True).alias("probe")).distinct()
         probes = settled(probes)
         held = label.join(probes.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select("cluster", "block", "doc_id", "component", F.lit(False).alias("probe"))
