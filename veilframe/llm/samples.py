@@ -17,7 +17,8 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, per_label: int) -> pd.
     one = one.withColumn("hash", F.xxhash64("doc_id"))
     # Hashes spread evenly, so the least of a label are below this bound; one task ranks about 2 * per_label ids at any size.
     bound = one.groupBy("label").agg((F.lit(2.0**65 * per_label) / F.count("*") - F.lit(2.0**63)).alias("bound"))
-    low = one.join(bound, "label").where(F.col("hash").cast("double") <= F.col("bound"))
+    # One row a label, fewer than the ids broadcast below; so ids above the bound go before any are moved by label.
+    low = one.join(F.broadcast(bound), "label").where(F.col("hash").cast("double") <= F.col("bound"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("hash", "doc_id"))
     chosen = low.withColumn("rank", rank).where(F.col("rank") <= per_label).select("doc_id", "label")
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
