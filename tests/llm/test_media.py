@@ -64,3 +64,15 @@ def test_odd_pages(spark):
     assert set(got) == {1, 2, 3, 4, 5, 6}
     assert all(got[k]["text"] == "" and got[k]["n_chars"] == 0 for k in (1, 2, 3, 5))
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_articles_are_whole():
+    long = [f"Paragraph {k}. {LONG}".strip() for k in range(3)]
+    page = "<body><nav>Menu</nav><article><h1>A title of thirty characters</h1><section>{}</section><section><h2>Second section</h2><p>Short text here.</p></section><ul><li><a href='/x'>A reference of the list</a></li></ul><div class='ad'>Buy</div></article></body>"
+    got = html.main_text(page.format("".join(f"<p>{p}</p>" for p in long)))
+    assert got.split("\n") == ["A title of thirty characters", *long, "Second section", "Short text here.", "A reference of the list"]
+
+
+def test_siblings_of_a_region_come_back():
+    page = f"<body><div class='x'><a href='/'>Home</a></div><div class='post'><h1>The title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div><h2>More</h2><p>Short.</p></div></div></body>"
+    assert html.main_text(page).split("\n") == ["The title", LONG.strip(), LONG.strip(), "More", "Short."]

@@ -5,7 +5,9 @@ text, its links and the tags met.  Each line's ratio of text to tags is smoothed
 by a Gaussian over the lines of its container, split in two clusters by the
 threshold between their means, and the containers whose lines are in the upper
 cluster are the content regions.  A region is kept whole: headings and short
-paragraphs between content lines are part of it.  Elements that are never
+paragraphs between content lines are part of it.  An article or main element is
+a region as it stands, all of its lines; elsewhere a region's siblings in the same
+parent are taken back.  Elements that are never
 article text (menus, forms, scripts, notices, adverts, comments of readers ...)
 are told by name, role, class or id and leave no lines.
 """
@@ -169,13 +171,11 @@ def main_text(page: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    # Inside an article or main element, only such lines are candidates.
-    scoped = False
+    # An article or main element is the region: all that the rules for menus, adverts and comments left in it.
     for kind in ("article", "main"):
         inside = {c for c in parser.kind if _within(c, kind, parser)}
-        if own := [x for x in lines if x[3] in inside]:
-            lines, scoped = own, True
-            break
+        if own := [x[0] for x in lines if x[3] in inside]:
+            return "\n".join(own)
     smooth = ratios(lines)
     chosen = smooth > threshold(smooth)
     weight: dict[int, float] = {}
@@ -186,10 +186,12 @@ def main_text(page: str | None) -> str:
         return ""
     top = max(weight.values())
     regions = {c for c, w in weight.items() if w >= 0.15 * top}
-    if scoped:
-        regions |= {x[3] for x in lines if _inside_any(x[3], regions, parser)}
-    keep = [k for k, x in enumerate(lines) if x[3] in regions and not (len(x[0]) and x[1] >= 0.8 * len(x[0]) and not x[4])]
-    return "\n".join(lines[k][0] for k in keep)
+    # the page's outermost containers hold menus beside the text, so what lies in them isn't taken back
+    outer = {c for c, k in parser.kind.items() if k == "body"}
+    parents = {parser.parent[c] for c in regions} - outer - {-1}
+    whole = regions - outer | parents
+    keep = [x for x in lines if x[3] in regions or _inside_any(x[3], whole, parser)]
+    return "\n".join(x[0] for x in keep if not (x[1] >= 0.8 * len(x[0]) and not x[4]))
 
 
 def _within(c: int, kind: str, parser: _Lines) -> bool:
