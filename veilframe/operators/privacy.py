@@ -202,16 +202,16 @@ _TOKEN = re.compile(r"(?P<open>[<\[{][ \t]{0,4})?(?<![A-Za-z0-9])(?P<type>[A-Za-
 _PAIR = {"<": ">", "[": "]", "{": "}"}
 
 
-def restore_text(text: str, known: dict[tuple[str, int], str]) -> tuple[str, list[str], list[str], int]:
+def restore_text(text: str, known: dict[tuple[str, int], str], types: set[str] | None = None) -> tuple[str, list[str], list[str], int]:
     """(restored text, tokens nobody minted, tokens that were altered, restored).  One pass: what is put in is not read again.
 
     Tolerates brackets dropped or changed, lower case, lost padding, spaces and full width.  Without brackets a
-    token counts only if its type is in use.
+    token counts only if its type is in use: in ``types``, or else in ``known``.
     """
     from veilframe.functions.normalize import fold_text
 
     view, starts, ends = fold_text(text)
-    types = {t for t, _ in known}
+    types = {t for t, _ in known} if types is None else types
     out, at, unknown, tampered, n = [], 0, [], [], 0
     for m in _TOKEN.finditer(view):
         kind, idx = re.sub(r"[\s_-]+", "_", m["type"]).upper(), int(m["n"])
@@ -230,23 +230,50 @@ def restore_text(text: str, known: dict[tuple[str, int], str]) -> tuple[str, lis
     return "".join(out) + text[at:], unknown, tampered, n
 
 
+def _named(m: re.Match) -> tuple[str, int]:
+    return re.sub(r"[\s_-]+", "_", m["type"]).upper(), int(m["n"])
+
+
 def restore(replies: DataFrame, mappings: DataFrame) -> DataFrame:
     """(scope, response_id, restored_text, unknown, missing, tampered, is_clean): only tokens of the reply's own scope are resolved.
 
-    A reply meets its scope's mappings as one array; replies of a scope without mappings pass unchanged.
+    A reply's candidate tokens are joined to the mappings one by one; of its scope it meets only runs of indices of
+    each type.  Replies of a scope without mappings pass unchanged.  ``missing`` is as long as what a scope minted,
+    and made only where it is read.
     """
-    known = mappings.groupBy("scope").agg(F.collect_list(F.struct("type", "idx", "value")).alias("known"))
+    from veilframe.functions.normalize import fold_text
+
+    maps = mappings.select("scope", "type", F.col("idx").cast("long").alias("idx"), "value")
+    key = ["scope", "type", "idx"]
+
+    # a run begins at an index without one before it, and ends at one without one behind it
+    near = maps.select("scope", "type", F.explode(F.array(*(F.struct((F.col("idx") + k).alias("idx"), F.lit(k).alias("by")) for k in (0, 1, -1)))).alias("n"))
+    at = near.groupBy("scope", "type", "n.idx").agg(*(F.max((F.col("n.by") == k).cast("int")).alias(name) for k, name in ((0, "own"), (1, "before"), (-1, "behind")))).where("own = 1")
+    edge = lambda other: F.array_sort(F.collect_list(F.when(F.col(other) == 0, F.struct("type", "idx"))))
+    runs = at.groupBy("scope").agg(edge("before").alias("low"), edge("behind").alias("high"))
+    runs = runs.select("scope", F.zip_with("low", "high", lambda a, b: F.struct(a["type"].alias("type"), a["idx"].alias("low"), b["idx"].alias("high"))).alias("runs"))
+
+    @F.pandas_udf("array<struct<type:string,idx:long>>")
+    def candidates(text: pd.Series) -> pd.Series:
+        return pd.Series([[{"type": k, "idx": n} for k, n in {_named(m) for m in _TOKEN.finditer(fold_text(t or "")[0])}] for t in text], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def seen(text: pd.Series) -> pd.Series:
+        return pd.Series([["{}_{:03d}".format(*_named(m)) for m in _TOKEN.finditer(t or "")] for t in text], dtype=object)
 
-    @F.pandas_udf("struct<text:string,unknown:array<string>,tampered:array<string>,missing:array<string>>")
-    def run(text: pd.Series, known: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<text:string,unknown:array<string>,tampered:array<string>>")
+    def run(text: pd.Series, known: pd.Series, types: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, ks in zip(text, known):
+        for t, ks, kinds in zip(text, known, types):
             own = {(k["type"], int(k["idx"])): k["value"] for k in (ks if ks is not None else [])}
-            got, unknown, tampered, _ = restore_text(t or "", own)
-            seen = {f"{re.sub(r'[\s_-]+', '_', m['type']).upper()}_{int(m['n']):03d}" for m in _TOKEN.finditer(t or "")}
-            missing = [f"{a}_{b:03d}" for a, b in sorted(own) if f"{a}_{b:03d}" not in seen]
-            rows.append((got, unknown, tampered, missing))
-        return pd.DataFrame(rows, columns=["text", "unknown", "tampered", "missing"])
-
-    df = replies.join(known, "scope", "left").withColumn("r", run("text", "known"))
-    return df.select("scope", "response_id", F.col("r.text").alias("restored_text"), "r.unknown", "r.missing", "r.tampered", (F.size("r.unknown") == 0).alias("is_clean"))
+            rows.append(restore_text(t or "", own, set(kinds if kinds is not None else []))[:3])
+        return pd.DataFrame(rows, columns=["text", "unknown", "tampered"])
+
+    found = replies.select("scope", "response_id", F.explode(candidates("text")).alias("c")).select("scope", "response_id", "c.type", "c.idx").join(maps, key)
+    # replies that share an id share what is looked up, all of it their own scope's
+    known = found.groupBy(F.col("scope").alias("_scope"), F.col("response_id").alias("_id")).agg(F.collect_set(F.struct("type", "idx", "value")).alias("known"))
+    df = replies.join(known, (F.col("scope") == F.col("_scope")) & F.col("response_id").eqNullSafe(F.col("_id")), "left").join(runs, "scope", "left")
+    df = df.withColumn("r", run("text", "known", F.array_distinct(F.transform("runs", lambda x: x["type"]))))
+    minted = F.flatten(F.transform("runs", lambda x: F.transform(F.sequence(x["low"], x["high"]), lambda i: F.format_string("%s_%03d", x["type"], i))))
+    missing = F.array_except(F.coalesce(minted, F.array().cast("array<string>")), seen("text"))
+    return df.select("scope", "response_id", F.col("r.text").alias("restored_text"), "r.unknown", missing.alias("missing"), "r.tampered", (F.size("r.unknown") == 0).alias("is_clean"))
