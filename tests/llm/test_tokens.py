@@ -124,3 +124,11 @@ def test_empty_tables(spark):
     assert bpe.digests(none, tokenizer_path()).count() == 0
     assert records.sequences(none, tokenizer_path()).count() == 0
     assert packing.pack(none, tokenizer_path()).count() == 0
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "a"), (None, "b"), (big, "a")], "doc_id long, text string").coalesce(1)
+    path = tokenizer_path()
+    for out in (bpe.digests(docs, path), bpe.encode_decode(docs, path), packing.pack(docs, path), records.sequences(docs, path)):
+        assert sorted((r["doc_id"] for r in out.collect()), key=str) == [big, big, None]

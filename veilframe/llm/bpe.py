@@ -21,11 +21,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batches
+
 #: The splitting pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries a cache may hold before it starts anew.
@@ -305,15 +306,18 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     other columns are not read, so none can clash.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = by_own_merges(path)
-        for f in frames:
-            ids = [np.frombuffer(b, bpe.dtype) for b in bpe.encode_many(f["text"].tolist())]
-            yield pd.DataFrame({"id": f["id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [bpe.decode(i) for i in ids]})
+
+        def one(f: dict[str, list]) -> Iterator[dict[str, list]]:
+            ids = [np.frombuffer(b, bpe.dtype) for b in bpe.encode_many(f["text"])]
+            yield {"id": f["id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [bpe.decode(i) for i in ids]}
+
+        return one
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return by_batches(rows, make, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -323,17 +327,20 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
     import hashlib
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         bpe = by_own_merges(path)
         decimal = {i: str(i) for i in bpe.token}
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for f in frames:
+
+        def one(f: dict[str, list]) -> Iterator[dict[str, list]]:
             n, ids_sha, text_sha = [], [], []
-            for b in bpe.encode_many(f["text"].tolist()):
+            for b in bpe.encode_many(f["text"]):
                 ids = np.frombuffer(b, bpe.dtype).tolist()
                 n.append(len(ids))
                 ids_sha.append(sha(",".join(map(decimal.__getitem__, ids)).encode()))
                 text_sha.append(sha(b"".join(map(bpe.token.__getitem__, ids)).decode("utf-8", "replace").encode()))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            yield {"doc_id": f["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+
+        return one
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

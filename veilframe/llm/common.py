@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,17 +32,34 @@ def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
 
 
+def by_batches(rows: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: str) -> DataFrame:
+    """rows, an Arrow batch at a time, through the function that ``make`` gives once a task.
+
+    It takes a batch's columns as lists and yields columns of ``schema``; ids stay the integers they are, beside nulls too.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for b in batches:
+            if b.num_rows:
+                for out in one({name: c.to_pylist() for name, c in zip(b.schema.names, b.columns)}):
+                    yield pa.RecordBatch.from_pydict(out, schema=kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
 def fold(col: Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id is in no held-out fold (-1)."""
     return F.coalesce(F.crc32(col.cast("string")) % of, F.lit(-1))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or where that is unset (tests) our own."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, which has to be set."""
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not (path := sc.getCheckpointDir()):
-        path = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path

@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .bpe import by_library
 
@@ -78,26 +80,28 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
     rows are packed as often as they stand; an empty table has no pieces; other columns are not read.
     """
 
-    def flush(pieces: list[tuple], base: int) -> tuple[pd.DataFrame, int]:
-        f = pd.DataFrame(pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
-        window, offset = best_fit_decreasing(f["length"].to_numpy(), size)
-        return f.assign(sequence_id=base + window, offset=offset), base + int(window.max()) + 1
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flush(pieces: list[tuple], base: int) -> tuple[dict, int]:
+        window, offset = best_fit_decreasing(np.array([p[2] for p in pieces]), size)
+        return dict(zip(names, map(list, zip(*pieces)))) | {"sequence_id": base + window, "offset": offset}, base + int(window.max()) + 1
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = by_library(tokenizer)
         end = bpe.pack([end_id])
         base, pieces = TaskContext.get().partitionId() << 40, []
-        for f in frames:
-            for key, b in zip(f["doc_id"], bpe.encode_many(f["text"].tolist())):
+        for f in batches:
+            for key, b in zip(f["doc_id"].to_pylist(), bpe.encode_many(f["text"].to_pylist())):
                 ids = np.frombuffer(b + end, bpe.dtype).astype("<u4")
-                key = None if pd.isna(key) else int(key)
                 pieces += [(key, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size].tobytes()), len(ids)) for at in range(0, len(ids), size)]
             if len(pieces) >= ROUND:
                 out, base = flush(pieces, base)
                 pieces = []
-                yield out
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
         if pieces:
-            yield flush(pieces, base)[0]
+            yield pa.RecordBatch.from_pydict(flush(pieces, base)[0], schema=kinds)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,8 +82,8 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, end = by_library(tokenizer), None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = by_library(tokenizer)
         end = bpe.pack([end_id])
         part = TaskContext.get().partitionId()
         store, root = _store(path)
@@ -90,9 +91,8 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
         own, name = f"{root}/.{uuid.uuid4().hex}", f"part-{part:06d}"
         n = tokens = at = 0
         with store.open_output_stream(f"{own}.rec") as rec, store.open_output_stream(f"{own}.idx") as idx:
-            for f in frames:
-                for key, ids in zip(f["id"], bpe.encode_many(f["text"].tolist())):
-                    key = None if pd.isna(key) else int(key)
+            for f in batches:
+                for key, ids in zip(f["id"].to_pylist(), bpe.encode_many(f["text"].to_pylist())):
                     ids = np.frombuffer(ids + end, bpe.dtype)
                     payload = serialize(key, ids)
                     rec.write(frame(payload))
@@ -101,11 +101,11 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     n, tokens = n + 1, tokens + len(ids)
         for kind in ("rec", "idx"):
             store.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
-        yield pd.DataFrame({"part": [part], "file": [name], "n_records": [n], "n_tokens": [tokens]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_records": [n], "n_tokens": [tokens]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    found = rows.mapInPandas(run, "part int, file string, n_records long, n_tokens long").collect()  # one row a file
+    found = rows.mapInArrow(run, "part long, file string, n_records long, n_tokens long").collect()  # one row a file
     return [r.asDict() for r in sorted(found, key=lambda r: r["part"])]
 
 
