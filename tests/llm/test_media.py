@@ -76,3 +76,72 @@ def test_articles_are_whole():
 def test_siblings_of_a_region_come_back():
     page = f"<body><div class='x'><a href='/'>Home</a></div><div class='post'><h1>The title</h1><div><p>{LONG}</p><p>{LONG}</p></div><div><h2>More</h2><p>Short.</p></div></div></body>"
     assert html.main_text(page).split("\n") == ["The title", LONG.strip(), LONG.strip(), "More", "Short."]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><p class="ad">Buy<p>{LONG}<p>{LONG}', f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<article><ul><li class="share">x<li>{LONG}<li>{LONG}</ul></article>', f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section></article>', f"{LONG.strip()}\nRelated work\n{LONG.strip()}"),
+        (f'<article><p>{LONG}</p><div class="related-posts"><a href="/a">{LONG}</a></div><div class="cookie-notice">{LONG}</div><div class="notice">{LONG}</div></article>', LONG.strip()),
+        (f'<main><table><tr><td class="promo">x<td>{LONG}<tr><td>{LONG}</table></main>', f"{LONG.strip()}\n{LONG.strip()}"),
+        (f'<article><dl><dt class="ad">x<dd>{LONG}</dl><p>{LONG}</article>', f"{LONG.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_left_out_end_tags_and_doubtful_names(page, want):
+    assert html.main_text(page) == want
+
+
+def test_empty_tables(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert tiff.as_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def hand_made(compression, strips, width, height, sizes=None, extra=None):
+    """A one-page file put together by hand, short of all that the writer does."""
+    tags = {256: width, 257: height, 258: 8, 259: compression, 262: 1, 277: 1, 278: height, **(extra or {})}
+    data = bytearray(b"II*\0" + (8).to_bytes(4, "little"))
+    n = len(tags) + 2
+    at = 8 + 2 + 12 * n + 4
+    tags |= {273: at, 279: len(strips) if sizes is None else sizes} if not extra else {324: at, 325: len(strips)}
+    data += n.to_bytes(2, "little")
+    for tag in sorted(tags):
+        data += tag.to_bytes(2, "little") + (4).to_bytes(2, "little") + (1).to_bytes(4, "little") + tags[tag].to_bytes(4, "little")
+    return bytes(data + bytes(4) + strips)
+
+
+def test_hand_made_files():
+    packed = bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0x80, 0xFD, 0xAA])  # 3 x AA, literal 80 00 2A, no-op, 4 x AA
+    page, how = next(tiff.read_pages(hand_made(32773, packed, 5, 2)))
+    assert page.tobytes() == bytes([0xAA] * 3 + [0x80, 0x00, 0x2A] + [0xAA] * 4) and how["compression"] == 32773
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # the example of the format's specification: 7 7 7 8 8 7 7 6 6
+    bits = "".join(f"{c:09b}" for c in codes)
+    lzw = int(bits.ljust(88, "0"), 2).to_bytes(11, "big")
+    page, _ = next(tiff.read_pages(hand_made(5, lzw, 9, 1)))
+    assert page.tobytes() == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    page, how = next(tiff.read_pages(hand_made(1, bytes(range(16)), 3, 2, extra={322: 4, 323: 4})))
+    assert page.tobytes() == bytes([0, 1, 2, 4, 5, 6]) and how["tiled"]
+
+
+def test_impossible_files_are_told(spark):
+    bad = [hand_made(1, b"abc", 5, 2), hand_made(1, b"abcd", 2, 2, extra={322: 0, 323: 2}), hand_made(1, b"", 1 << 31, 1 << 31), hand_made(8, b"xx", 2, 2)]
+    rows = tiff.explode_pages(spark.createDataFrame(list(enumerate(bad)), "id long, data binary")).collect()
+    assert len(rows) == len(bad) and all(r["error"] and r["page"] is None for r in rows)
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "a"), (None, "b")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in tiff.as_media(docs).collect()} == {big, None}
+    pages = spark.createDataFrame([(big, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html.extract(pages).collect()} == {big, None}
+
+
+def test_every_layout_is_in_use(spark):
+    docs = spark.createDataFrame([(k, f"text {k} " * (k % 90)) for k in range(80)], "doc_id long, text string")
+    got = {r["doc_id"]: r["payload_sha256"] for r in tiff.as_media(docs).collect()}
+    for k in range(80):
+        raw = (f"text {k} " * (k % 90)).encode()
+        assert got[k] == hashlib.sha256(raw.ljust(max(192, -(-len(raw) // 192) * 192))).hexdigest()
+    assert len({zlib.crc32((f"text {k} " * (k % 90)).encode().ljust(max(192, -(-len(f"text {k} " * (k % 90)) // 192) * 192))) % len(tiff.LAYOUTS) for k in range(80)}) == len(tiff.LAYOUTS)

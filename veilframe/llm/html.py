@@ -19,19 +19,27 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batches
+
 # Element names of HTML.
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas select textarea button datalist audio video map nav footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCK
+#: Open elements that a start tag ends, and those beyond which it ends none.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+CONTAINERS = ("article", "main", "section", "div", "td", "body")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 _HINT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|navbar|nav|navigation|breadcrumbs?|sidebar|side-bar|aside|footer|foot|masthead|site-header|topbar|comments?|commentlist|disqus|respon[ds]e?s?|replies|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|social|share|sharing|related|recommended|widget|toolbar|pagination|pager|skip|hidden|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
+#: Names that are a hint as a whole word, or hold one that no article part is named by.
+_PLAIN_HINT = re.compile(r"(?:^|\s)(?:notice|related|recommended|banner|legal|copyright|disclaimer|widget|share|social|promo|skip|hidden|popup|modal)(?:$|\s)|(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|comments?|commentlist|disqus|respon[ds]e?s?|replies|cookies?|consent|gdpr|newsletter|subscribe|signup|login|nav\w*|menu|sidebar|side-bar|footer|breadcrumbs?|sharing|pagination|pager|toolbar)(?:$|[-_\s\d])", re.I)
 _SPACE = re.compile(r"\s+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Characters without links from which a doubtful part of an article is kept.
+LONG = 200
 #: Lines that a line's smoothed ratio looks at on each side, in standard deviations of SIGMA lines.
 SIGMA = 1.0
 
@@ -50,6 +58,7 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
         self.heading = False
+        self.doubtful: list[int] = []
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip() if self.text else ""
@@ -57,17 +66,29 @@ class _Lines(HTMLParser):
             self.lines.append([text, self.linked, self.tags, self.where[-1], self.heading])
         self.text, self.tags, self.linked = [], 0, 0
 
+    def _implied_end(self, tag) -> None:
+        """Closes what a start tag ends without an end tag: the open paragraph, and the item, row or cell before."""
+        for name in reversed(self.stack):
+            if name in BLOCK:
+                if name == "p":
+                    self._close("p")
+                break
+        for name in reversed(self.stack) if tag in ENDS else ():
+            if name in ENDS[tag]:
+                self._close(name)
+            if name in ENDS[tag] or name in HOLDS[tag]:
+                break
+
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCK:
+            if not self.silent:
+                self.end_line()
+            self._implied_end(tag)
         if self.silent:
             if tag not in VOID:
                 self.stack.append(tag)
             return
         if tag in BLOCK:
-            self.end_line()
-            if "p" in self.stack[-3:]:
-                self._close("p")
-            if tag in ("li", "dt", "dd", "tr", "td", "th") and self.stack and self.stack[-1] == tag:
-                self._close(tag)
             self.heading = tag in _HEADINGS
         elif tag == "br":
             self.text.append(" ")
@@ -77,12 +98,17 @@ class _Lines(HTMLParser):
         self.stack.append(tag)
         if tag == "a":
             self.links += 1
-        if tag in SILENT or attrs and self._hinted(tag, attrs) or tag == "header" and "article" not in self.stack and "main" not in self.stack:
+        inside = "article" in self.stack or "main" in self.stack
+        hinted = bool(attrs) and self._hinted(tag, attrs)
+        doubtful = hinted and inside and tag in CONTAINERS and self._doubtful(attrs)
+        if tag in SILENT or hinted and not doubtful or tag == "header" and not inside:
             self.silent = len(self.stack)
-        elif tag in ("article", "main", "section", "div", "td", "body"):
+        elif tag in CONTAINERS:
             new = len(self.parent)
             self.parent[new], self.kind[new] = self.where[-1], tag
             self.where.append(new)
+            if doubtful:
+                self.doubtful.append(new)
 
     def _hinted(self, tag, attrs) -> bool:
         for name, value in attrs:
@@ -96,6 +122,11 @@ class _Lines(HTMLParser):
                 return True
         return False
 
+    def _doubtful(self, attrs) -> bool:
+        """Hinted at by a part of longer names only, as in ``related-work``: its text decides."""
+        names = " ".join(v for k, v in attrs if k in ("class", "id") and v)
+        return not any(k not in ("class", "id") for k, _ in attrs) and not _PLAIN_HINT.search(names)
+
     def _close(self, tag) -> None:
         if tag not in self.stack:
             return
@@ -108,7 +139,7 @@ class _Lines(HTMLParser):
                 top = self.stack.pop()
                 if top == "a" and not self.silent:
                     self.links = max(0, self.links - 1)
-                if not self.silent and top in ("article", "main", "section", "div", "td", "body") and len(self.where) > 1:
+                if not self.silent and top in CONTAINERS and len(self.where) > 1:
                     self.where.pop()
             if top == tag:
                 break
@@ -174,6 +205,12 @@ def main_text(page: str | None) -> str:
     # An article or main element is the region: all that the rules for menus, adverts and comments left in it.
     for kind in ("article", "main"):
         inside = {c for c in parser.kind if _within(c, kind, parser)}
+        for d in parser.doubtful:  # long text without links is part of the article, whatever its class
+            own = {c for c in inside if _inside_any(c, {d}, parser)}
+            lines_ = [x for x in lines if x[3] in own]
+            plain = sum(len(x[0]) - x[1] for x in lines_)
+            if plain < LONG or 2 * plain < sum(len(x[0]) for x in lines_):
+                inside -= own
         if own := [x[0] for x in lines if x[3] in inside]:
             return "\n".join(own)
     smooth = ratios(lines)
@@ -216,9 +253,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html has empty text; repeated rows stay; columns other than page_id, url and html are not read.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            text = [main_text(h) for h in f["html"]]
-            yield f[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
+    def one(f: dict[str, list]) -> Iterator[dict[str, list]]:
+        text = [main_text(h) for h in f["html"]]
+        yield {"page_id": f["page_id"], "url": f["url"], "text": text, "n_chars": [len(t) for t in text]}
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return by_batches(rows, lambda: one, "page_id long, url string, text string, n_chars long")

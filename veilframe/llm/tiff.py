@@ -18,11 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batches
+
 # Fixed values of the format: tags, compressions, bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 3: 2, 4: 4}
+#: Bytes that no compression here makes of one, with room to spare.
+MOST = 4096
+#: How op7 stores a text: by the checksum of its payload, so all codecs, strips and tiles are in use.
+LAYOUTS = [(DEFLATE, 2, False), (DEFLATE, 1, True), (PACKBITS, 1, False), (NONE, 1, True), (DEFLATE, 2, True), (LZW, 1, False), (NONE, 2, False), (DEFLATE, 1, False)]
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -151,18 +157,26 @@ def read_pages(data: bytes) -> Iterator[tuple[np.ndarray, dict]]:
         seen.add(at)
         tags, at = _directory(data, at, order)
         one = lambda tag, default=None, t=tags: t.get(tag, (default,))[0]
-        width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+        width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         if set(tags.get(BITS, (1,))) != {8} or one(PLANAR, 1) != 1 or one(COMPRESSION, 1) not in UNPACK:
             raise ValueError("only chunky 8-bit samples of known compressions are read")
         tiled = TILE_OFFSETS in tags
-        high = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
-        wide = one(TILE_WIDTH) if tiled else width
-        across = -(-width // wide)
-        page = np.empty((height, width, samples), np.uint8)
-        for k, (where, n) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES])):
+        high = one(TILE_HEIGHT, 0) if tiled else min(one(ROWS_PER_STRIP, height), height)
+        wide = one(TILE_WIDTH, 0) if tiled else width
+        if min(width, height, samples, high, wide) < 1 or width * height * samples > MOST * len(data):
+            raise ValueError("impossible sizes")
+        across, down = -(-width // wide), -(-height // high)
+        at_, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
+        if not len(at_) == len(sizes) == across * down:
+            raise ValueError("strips or tiles are missing")
+        page = np.zeros((height, width, samples), np.uint8)
+        for k, (where, n) in enumerate(zip(at_, sizes)):
             top, left = k // across * high, k % across * wide
             rows = high if tiled else min(high, height - top)
-            block = np.frombuffer(UNPACK[one(COMPRESSION, 1)](data[where : where + n]), np.uint8, rows * wide * samples).reshape(rows, wide, samples)
+            plain = UNPACK[one(COMPRESSION, 1)](data[where : where + n])
+            if len(plain) < rows * wide * samples:
+                raise ValueError("a strip or tile is cut off")
+            block = np.frombuffer(plain, np.uint8, rows * wide * samples).reshape(rows, wide, samples)
             if one(PREDICTOR, 1) == 2:
                 block = np.cumsum(block, axis=1, dtype=np.uint8)
             page[top : top + rows, left : left + wide] = block[: height - top, : width - left]
@@ -221,7 +235,7 @@ def explode_pages(media: DataFrame, id_col: str = "id", data_col: str = "data")
                         raise ValueError("no data")
                     for k, (page, how) in enumerate(read_pages(bytes(data))):
                         rows.append((key, k, page.shape[1], page.shape[0], page.shape[2], how["compression"], how["predictor"], how["tiled"], page.tobytes(), None))
-                except (ValueError, struct.error, zlib.error, KeyError, TypeError) as e:
+                except (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error, zlib.error) as e:
                     rows.append((key, None, None, None, None, None, None, None, None, str(e)))
                 if rows:
                     yield pd.DataFrame(rows, columns=["id", "page", "width", "height", "samples", "compression", "predictor", "tiled", "pixels", "error"]).astype(
@@ -243,24 +257,27 @@ def features(pages: list[np.ndarray]) -> str:
 
 
 def as_media(docs: DataFrame, width: int = 64, rows_per_page: int = 2048) -> DataFrame:
-    """op7: each whole text as an RGB TIFF of ``width`` pixels a row, read back and described.
+    """op7: each whole text as an RGB TIFF of ``width`` pixels a row in one of LAYOUTS, read back and described.
 
     The payload is the text's UTF-8 (null: empty) and spaces up to a positive multiple of 3 x width bytes; long
     payloads take several pages.  Equal texts give equal values; repeated rows stay; other columns are not read.
     """
     row = 3 * width
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for key, text in zip(f["doc_id"], f["text"]):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                payload = np.frombuffer(raw.ljust(max(row, -(-len(raw) // row) * row)), np.uint8).reshape(-1, width, 3)
-                media = write_tiff([payload[i : i + rows_per_page] for i in range(0, len(payload), rows_per_page)])
-                pages = [p for p, _ in read_pages(media)]
-                back = b"".join(p.tobytes() for p in pages)
-                out.append((key, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pages)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+    def one(f: dict[str, list]) -> Iterator[dict[str, list]]:
+        out = []
+        for text in f["text"]:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            padded = raw.ljust(max(row, -(-len(raw) // row) * row))
+            payload = np.frombuffer(padded, np.uint8).reshape(-1, width, 3)
+            compression, predictor, tiled = LAYOUTS[zlib.crc32(padded) % len(LAYOUTS)]
+            media = write_tiff([payload[i : i + rows_per_page] for i in range(0, len(payload), rows_per_page)], compression, predictor, 64 if tiled else 256, tiled)
+            pages = [p for p, _ in read_pages(media)]
+            back = b"".join(p.tobytes() for p in pages)
+            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pages)))
+        yield {"doc_id": f["doc_id"], **dict(zip(names, map(list, zip(*out))))}
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return by_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: one, schema)
