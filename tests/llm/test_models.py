@@ -128,3 +128,87 @@ def test_forest_links_near_vectors(spark):
     assert sum(a for a, _ in got.values()) >= 0.97 * pairs
     assert all(got[k][0] <= want[k][0] for k in want)
     assert embedding_forest.link(df.limit(0)).count() == 0
+
+
+def test_forest_counts_every_pair_once_and_finds_nearly_all(spark):
+    """Leaves of several levels, planted pairs and a large group of near copies, against all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shift = r.standard_normal((900, 24)) / 24**0.5
+    x[2100:] = x[:900] + shift * np.repeat([0.02, 0.12, 0.19], 300)[:, None]
+    x[1200:1500] = x[1200] + 0.02 * r.standard_normal((300, 24))
+    label = np.where(np.arange(3000) % 50 == 0, 1, 0)
+    rows = [(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label))] + [(None, x[0].tolist(), 0), (4000, None, 0), (4001, x[5].tolist(), None)]
+    got = {q["vec_id"]: q for q in embedding_forest.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), leaf=100, block=130).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    found = sum(got[k]["n_links"] for k in range(3000))
+    assert 0.95 * near.sum() <= found <= near.sum() and all(got[k]["n_links"] <= near[k].sum() for k in range(3000))
+    assert all(near[k].any() or got[k]["component_id"] == k for k in range(3000))
+    assert got[None]["n_links"] == got[4000]["n_links"] == got[4001]["n_links"] == 0 and got[4001]["component_id"] == 4001
+
+
+def test_tables_are_the_network():
+    import numpy as np
+
+    net = language.Network(["a", "b", "c"], seed=4)
+    r = random.Random(4)
+    texts = [bytes(r.randrange(256) for _ in range(n)) for n in (1, 2, 50, language.WINDOW - 3, language.WINDOW, 1000)]
+    for t, p in zip(texts, net.tabled().probabilities(texts)):
+        n = -(-(len(t) + language._PAD) // language.WINDOW)
+        full = t.ljust(n * language.WINDOW, b"\0")
+        sums, weights = np.zeros(3), 0.0
+        for w in range(n):
+            seen = full[w * language.WINDOW : (w + 1) * language.WINDOW + language._PAD]
+            tops = []
+            for width in language.WIDTHS:
+                places = range(language.WINDOW if w < n - 1 else language.WINDOW - language._PAD)
+                resp = [sum(net.p["embed"][seen[i + j]] @ net.p[f"k{width}"][j] for j in range(width)) for i in places]
+                tops.append(np.max(resp, axis=0) + net.p[f"b{width}"])
+            z = np.maximum(np.concatenate(tops), 0) @ net.p["out"] + net.p["bias"]
+            z = np.exp(z - z.max())
+            own = language.WINDOW if w < n - 1 else max(1, len(t) - (n - 1) * language.WINDOW)
+            sums += own * z / z.sum()
+            weights += own
+        assert np.allclose(sums / weights, p, atol=1e-4)
+
+
+def test_kneser_ney_by_dictionaries():
+    """Differences of words against a plain recursion over counted grams."""
+    toxic, plain = ["idiot clown idiot", "clowns"], ["the cow", "a clown in the circus", "the"]
+    model = toxicity.Model(toxic, plain)
+    k_max, d = toxicity.ORDER, toxicity.DISCOUNT
+    padded = lambda w: bytes([2] * (k_max - 1)) + w + b"\3"
+    seen = [Counter(w for t in texts for w in set(toxicity.words(t))) for texts in (toxic, plain)]
+    grams = {k_max: {padded(w)[i - k_max : i] for c in seen for w in c for i in range(k_max, len(padded(w)) + 1)}}
+    low = {}
+    for k in range(k_max - 1, 0, -1):
+        low[k] = Counter(g[1:] for g in grams[k + 1])
+        grams[k] = set(low[k])
+
+    def prob(gram, counts, k):
+        rest = prob_low(gram[1:], k - 1) if k > 1 else 1 / 256
+        own = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        if not own:
+            return rest
+        total = sum(own.values())
+        if gram in own:
+            return (own[gram] - d) / total + d * len(own) / total * rest
+        return d * len(own) / total * rest
+
+    def prob_low(gram, k):
+        return prob(gram, low[k], k) if k else 1 / 256
+
+    top = [Counter() for _ in seen]
+    for counts, c in zip(top, seen):
+        for w, n in c.items():
+            for i in range(k_max, len(padded(w)) + 1):
+                counts[padded(w)[i - k_max : i]] += n
+    for word in (b"idiot", b"clown", b"clowning", b"zebra", b"the", b"cows"):
+        p = padded(word)
+        want = sum(math.log(prob(p[i - k_max : i], top[0], k_max)) - math.log(prob(p[i - k_max : i], top[1], k_max)) for i in range(k_max, len(p) + 1))
+        assert abs(model.ratios([[word]])[0][0] - want) < 1e-6

@@ -4,8 +4,9 @@ Trees are fitted on a bounded sample: each node projects on a random direction
 and splits at the sample's median.  Every row is then dropped through every
 tree; a row within the spill margin of a split goes to both sides, so two near
 rows part only if the split lies between them and both are outside the margin.
-Rows of a leaf with equal labels are compared exactly, pairs below the threshold
-are dropped, and the links are united.
+Rows of a leaf with equal labels are compared exactly.  A row carries the leaves it
+is in, so a pair that meets in several counts in the first alone; what leaves a
+comparison are a row's count and one row it is united with, never pairs.
 
 Equal vectors of a label are collapsed before, so thousands of copies are one
 row.  How deep a label's rows fall depends on how many it has; leaves that stay
@@ -33,8 +34,9 @@ SPILL = 0.02
 #: Vectors the trees are fitted on.
 SAMPLE = 20_000
 DEPTH = 16
-#: Rows a comparison task holds on each side.
+#: Rows a comparison task holds on each side, and those of them that are compared at once.
 BLOCK = 2_000
+ROWS = 64
 
 
 class Tree:
@@ -87,22 +89,60 @@ def _unit(vectors: list, dim: int) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def _compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
-    a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-    dim = len(left["embedding"].iloc[0])
-    x, y = _unit(left["embedding"].tolist(), dim), _unit(right["embedding"].tolist(), dim)
-    out = []
-    for i in range(0, len(x), 512):
-        at, to = np.nonzero(x[i : i + 512] @ y.T >= threshold - 1e-9)
-        at = at + i
-        keep = (at < to) if same else np.ones(len(at), bool)
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The definition itself, dot / (|a| |b|), of rows as they are."""
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
+    """Whether two rows (their leaves in ascending order, filled with -1) share a leaf below ``here``: there the pair counts."""
+    met = np.zeros(len(a), bool)
+    for k in range(a.shape[1]):
+        own = a[:, k : k + 1]
+        met |= ((own == b) & (own >= 0) & (own < here)).any(axis=1)
+    return met
+
+
+def compare_leaf(left: pd.DataFrame, right: pd.DataFrame | None, here: int, threshold: float) -> pd.DataFrame:
+    """(rep, near, other): per row how many vectors it is linked with in this leaf and in none before, and a row it is united with.
+
+    Columns: rep, copies, leaves (packed), embedding.  Rows of ``left`` are compared with those of ``right``, or with
+    each other.  Matches are counted a bounded number of pairs at a time; no list of pairs is kept.
+    """
+    same = right is None
+    f = left if same else pd.concat([left, right], ignore_index=True)
+    n, first = len(f), 0 if same else len(left)
+    raw = np.array(f["embedding"].tolist(), np.float64)
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    packed = [np.frombuffer(b, "<i8") for b in f["leaves"]]
+    leaves = np.full((n, max(map(len, packed))), -1, np.int64)
+    for k, own in enumerate(packed):
+        leaves[k, : len(own)] = own
+    copies, near, label = f["copies"].to_numpy(), np.zeros(n, np.int64), np.arange(n)
+    for i in range(0, len(left), ROWS):
+        stop = min(i + ROWS, len(left))
+        product = unit[i:stop] @ unit[i if same else first :].T
+        at, to = np.nonzero(product >= threshold - 1e-9)
+        doubt = product[at, to] < threshold + 1e-9
+        at, to = at + i, to + (i if same else first)
+        keep = at < to
+        if doubt.any():
+            keep[doubt] &= _exact(raw[at[doubt]], raw[to[doubt]]) >= threshold
         at, to = at[keep], to[keep]
-        # the definition itself decides: dot / (|a| |b|) of the vectors as they are
-        u, v = np.array(left["embedding"].iloc[at].tolist(), np.float64).reshape(len(at), dim), np.array(right["embedding"].iloc[to].tolist(), np.float64).reshape(len(at), dim)
-        cosine = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v)) if len(at) else np.empty(0)
-        ok = cosine >= threshold
-        out.append(pd.DataFrame({"a": np.minimum(a[at[ok]], b[to[ok]]), "b": np.maximum(a[at[ok]], b[to[ok]])}))
-    return pd.concat(out)
+        while len(at):  # unite: every row takes the least label it meets, until none changes
+            a, b = label[at], label[to]
+            if (a == b).all():
+                break
+            least = np.minimum(a, b)
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            while (label[label] != label).any():
+                label = label[label]
+        new = ~_met_before(leaves[at], leaves[to], here)
+        near += np.bincount(at[new], copies[to[new]], minlength=n).astype(np.int64) + np.bincount(to[new], copies[at[new]], minlength=n).astype(np.int64)
+    rep = f["rep"].to_numpy()
+    some = np.flatnonzero((near > 0) | (label != np.arange(n)))
+    return pd.DataFrame({"rep": rep[some], "near": near[some], "other": rep[label[some]]})
 
 
 def link(rows: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -110,13 +150,13 @@ def link(rows: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, spil
 
     Vectors compare when their labels are equal and not null and they have as many components.  Null, empty and
     zero vectors, and such with null or non-finite components, link with nothing.  vec_id is a key; rows that
-    repeat it count as one vector, the first by its contents; rows without it are left out.
+    repeat it count as one vector, the first by its contents; rows without it link with nothing and stay, component and kept null.
     """
     spark = rows.sparkSession
     settings(spark)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    usable = rows.where(F.col("label").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
+    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0))
     key = [F.col("label"), F.xxhash64("embedding", F.lit(1)).alias("k1"), F.xxhash64(F.reverse("embedding"), F.lit(2)).alias("k2")]
     keyed = usable.select("vec_id", "embedding", *key)
     classes = settled(keyed.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("embedding").alias("embedding")))
@@ -137,36 +177,46 @@ def link(rows: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, spil
                 continue
             x = _unit(f["embedding"].tolist(), dim).astype(np.float32)
             depth = f["depth"].to_numpy()
+            row, leaf = [], []
             for t, tree in enumerate(forest.value):
-                row, node = tree.leaves(x, depth, spill)
-                yield pd.DataFrame({"rep": f["rep"].to_numpy()[row], "label": f["label"].to_numpy()[row], "dim": f["dim"].to_numpy()[row], "tree": t, "node": node})
+                # a label that fits into one leaf needs one tree
+                some = np.arange(len(x)) if not t else np.flatnonzero(depth > 0)
+                r, node = tree.leaves(x[some], depth[some], spill)
+                row.append(some[r])
+                leaf.append((t << 32) + node)
+            row, leaf = np.concatenate(row), np.concatenate(leaf)
+            order = np.lexsort((leaf, row))
+            row, leaf = row[order], leaf[order]
+            cut = np.searchsorted(row, np.arange(len(x) + 1)).tolist()
+            own = [leaf[i:j].astype("<i8").tobytes() for i, j in zip(cut, cut[1:])]
+            yield pd.DataFrame({"rep": f["rep"].to_numpy()[row], "label": f["label"].to_numpy()[row], "dim": f["dim"].to_numpy()[row], "leaf": leaf, "copies": f["copies"].to_numpy()[row], "leaves": [own[k] for k in row.tolist()]})
 
     kind = classes.schema["label"].dataType.simpleString()
-    dropped = settled(classes.join(per.select("label", "dim", "depth"), ["label", "dim"]).select("rep", "label", "dim", "depth", "embedding").mapInPandas(drop, f"rep long, label {kind}, dim int, tree int, node long"))
-    leaf_key = ["label", "dim", "tree", "node"]
-    size = dropped.groupBy(*leaf_key).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"), F.count("*").alias("many")).where("many > 1")
+    deep = classes.join(per.select("label", "dim", "depth"), ["label", "dim"]).select("rep", "label", "dim", "copies", "depth", "embedding")
+    dropped = settled(deep.mapInPandas(drop, f"rep long, label {kind}, dim int, leaf long, copies long, leaves binary"))
+    leaf_key = ["label", "dim", "leaf"]
+    size = dropped.groupBy(*leaf_key).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"), F.count("*").alias("many")).where("many > 1").drop("many")
     dealt = dropped.join(size, leaf_key).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
     # every pair of blocks meets once: (low, high)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).join(classes.select("rep", "embedding"), "rep")
 
     def compare(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        low, high = key[-2], key[-1]
-        if low == high:
-            return _compare(key, f, f, True, threshold)
-        left, right = f[f["own"] == low], f[f["own"] == high]
-        return _compare(key, left, right, False, threshold) if len(left) and len(right) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    pairs = settled(dealt.select(*leaf_key, "low", "high", "own", "rep", "embedding").groupBy(*leaf_key, "low", "high").applyInPandas(compare, "a long, b long").distinct())
-    weight = classes.select("rep", "copies")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(weight.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("near")).withColumnRenamed("a", "rep")
-    united = components(pairs).withColumnRenamed("node", "rep")
+        here, low, high = int(key[2]), key[-2], key[-1]
+        left, right = (f, None) if low == high else (f[f["own"] == low], f[f["own"] == high])
+        if not len(left) or right is not None and not len(right):
+            return pd.DataFrame({"rep": [], "near": [], "other": []}, dtype="int64")
+        return compare_leaf(left, right, here, threshold)
+
+    met = settled(dealt.select(*leaf_key, "low", "high", "own", "rep", "copies", "leaves", "embedding").groupBy(*leaf_key, "low", "high").applyInPandas(compare, "rep long, near long, other long"))
+    near = met.groupBy("rep").agg(F.sum("near").alias("near"))
+    united = components(met.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
     member = member.join(near, "rep", "left").join(united, "rep", "left")
     member = member.select("vec_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id").distinct().join(member, "vec_id", "left")
+    out = rows.where("vec_id is not null").select("vec_id").distinct().join(member, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    nameless = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), "vec_id")
+    return out.unionAll(nameless.toDF(*out.columns)).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 ORACLE_SQL = """

@@ -22,10 +22,9 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: Training documents of each language, and windows taken of each, spread over its whole length.
+#: Training documents of each language; windows are drawn from the whole of their texts.
 PER_LANGUAGE = 300
-PER_DOCUMENT = 5
-EPOCHS = 12
+STEPS = 1_100
 _PAD = max(WIDTHS) - 1
 
 
@@ -75,18 +74,20 @@ class Network:
                 np.add.at(g["embed"], seen, own[:, :, None] * self.p[f"k{w}"][j].T[None])
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.004, seed: int = 5) -> None:
-        """Adam over shuffled batches."""
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 0.004, seed: int = 5) -> None:
+        """Adam over batches of windows, each drawn at random from the whole of a text drawn at random."""
         r = np.random.default_rng(seed)
-        m, v, t = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        for _ in range(epochs):
-            order = r.permutation(len(y))
-            for i in range(0, len(y), batch):
-                t += 1
-                for k, g in self._gradient(x[order[i : i + batch]], y[order[i : i + batch]]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        room = np.array([-(-(len(t) + _PAD) // WINDOW) for t in texts])
+        texts = [t.ljust(n * WINDOW + _PAD, b"\0") for t, n in zip(texts, room.tolist())]
+        m, v = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
+        for t in range(1, steps + 1):
+            of = r.integers(len(texts), size=batch)
+            at = (r.random(batch) * room[of]).astype(np.int64) * WINDOW
+            x = np.stack([np.frombuffer(texts[k], np.uint8, WINDOW + _PAD, i) for k, i in zip(of.tolist(), at.tolist())])
+            for k, g in self._gradient(x, y[of]).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
     def tabled(self) -> "Tables":
         return Tables(self)
@@ -131,18 +132,6 @@ class Tables:
         return np.add.reduceat(z * weight[:, None], begin) / np.add.reduceat(weight, begin)[:, None]
 
 
-def windows_of(texts: list[bytes], each: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows x bytes, text of each): up to ``each`` windows of a text, spread evenly."""
-    rows, of = [], []
-    for k, t in enumerate(texts):
-        n = -(-(len(t) + _PAD) // WINDOW)
-        t = t.ljust(n * WINDOW + _PAD, b"\0")
-        for w in sorted({round(x) for x in np.linspace(0, n - 1, min(n, each))}):
-            rows.append(np.frombuffer(t, np.uint8, WINDOW + _PAD, w * WINDOW))
-            of.append(k)
-    return np.array(rows), np.array(of)
-
-
 def fit(docs: DataFrame) -> Tables | None:
     """A network for the languages of the documents outside the held-out fold; None where none has a language."""
     known = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"))
@@ -152,8 +141,7 @@ def fit(docs: DataFrame) -> Tables | None:
         return None
     labels = sorted(set(sample["label"]))
     net = Network(labels)
-    x, of = windows_of([_bytes(t) for t in sample["text"]], PER_DOCUMENT)
-    net.train(x, np.searchsorted(labels, sample["label"].to_numpy()[of]))
+    net.train([_bytes(t) for t in sample["text"]], np.searchsorted(labels, sample["label"].to_numpy()))
     return net.tabled()
 
 
@@ -161,7 +149,8 @@ def predict(docs: DataFrame, model: Tables | None) -> DataFrame:
     """docs with lang_pred and score.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text where nothing could be
-    learned.  Columns of docs stay; of these, lang_pred and score are replaced.
+    learned.  Equal texts get equal predictions and repeated rows stay; of languages with equal probability the
+    first by name is told.  Columns of docs stay; of these, lang_pred and score are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # some MB, whatever the table
     keep = docs.drop("lang_pred", "score")
