@@ -66,4 +66,21 @@ def test_empty_table_and_repeated_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(none).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
-    assert sorted(map(tuple, ngram_join.join(rows).collect())) == [(1, 2, 1), (2, 2, 1)]
+    assert sorted(map(tuple, ngram_join.join(rows).collect()), key=str) == [(1, 2, 1), (2, 2, 1), (None, 2, None)]
+
+
+def test_large_groups_of_one_least_element_are_salted(spark):
+    rows = [(k, 100, 7 if k < 500 else k, 0) for k in range(600)]
+    dealt = ngram_join._deal(spark.createDataFrame(rows, "doc_id long, n long, least long, cluster long"), 5000)
+    assert dealt.where("blocks <> 12").count() == 0
+    assert max(r["count"] for r in dealt.where("least = 7").groupBy("block").count().collect()) <= 75
+
+
+def test_trie_of_one_long_path():
+    """A thousand nested sets are one branch a set: neither building nor walking is limited by depth."""
+    import numpy as np
+
+    base = np.arange(1, 3001, dtype=np.uint64)
+    sets = [base[: 1000 + 2 * k] for k in range(1000)]
+    found = set(ngram_join.Trie(sets).matches(sets[0], lambda k: False))
+    assert found == {k for k, s in enumerate(sets) if 100 * 1000 >= 75 * len(s)}

@@ -38,5 +38,17 @@ def test_stages_take_effect(spark, folder, tmp_path):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == kept[3]
 
 
+def test_clashing_columns_and_empty_tables(spark, folder):
+    extra = "predicted int, lang_pred string, score string, _score int, row int, component_id long, n long, hash long, label string"
+    docs = spark.createDataFrame([(1, "the of and in to", "en", *[7 if "string" not in c else "x" for c in extra.split(", ")]), (2, None, None, *[None] * 9)], f"doc_id long, text string, lang string, {extra}")
+    for docs in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, folder)
+            assert got.columns == docs.columns
+            rows = {r["doc_id"]: r for r in got.collect()}
+            assert all(rows[k] == r for k, r in {r["doc_id"]: r for r in docs.collect()}.items() if k in rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
 def test_registered():
     assert sum(name.startswith("op") or name == "pipeline" for name in __spark_entry__.queries()) == 11

@@ -12,7 +12,9 @@
     once more over whole sets.  Elements that many of the remaining sets have come
     last in the order of their prefixes.  Classes that share an element of their
     plain prefix form clusters; sets of different clusters can't link.
-3.  A cluster is dealt into blocks of bounded size.  A block stores its sets in a
+3.  A cluster is dealt into blocks by the least element of a set, which near sets
+    mostly share; where one element's sets are more than a block holds, they are
+    salted by document into blocks of their own.  A block stores its sets in a
     trie along the global order and walks it once a set: overlaps are counted for
     a shared path once, and a subtree is left as soon as what remains can't reach
     the overlap that its lengths need.  Sets already linked with each other are
@@ -46,7 +48,7 @@ EXTRA = 0.15
 #: Documents that make an element hot: it comes last in the order that prefixes are taken in.
 HOT = 64
 #: Elements a block of a cluster holds, about.
-BLOCK = 400_000
+BLOCK = 150_000
 _U = np.uint64
 
 
@@ -240,25 +242,31 @@ class Trie:
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
-        self.root = self._build(order, 0)
-
-    def _build(self, order: list[int], depth: int) -> tuple:
-        """(tokens of the edge, least size, largest size, sets that end here, children)"""
-        a, b = self.sets[order[0]], self.sets[order[-1]]
-        m = min(len(a), len(b))
-        differ = np.flatnonzero(a[depth:m] != b[depth:m])
-        end = depth + int(differ[0]) if len(differ) else m
-        sizes = self.size[order]
-        ends = [k for k in order if self.size[k] == end]
-        rest = [k for k in order if self.size[k] > end]
-        kids, i = [], 0
-        while i < len(rest):
-            j = i + 1
-            while j < len(rest) and self.sets[rest[j]][end] == self.sets[rest[i]][end]:
-                j += 1
-            kids.append(self._build(rest[i:j], end))
-            i = j
-        return a[depth:end], int(sizes.min()), int(sizes.max()), ends, kids
+        self.root = self._build(order)
+
+    def _build(self, order: list[int]) -> tuple:
+        """(tokens of the edge, least size, largest size, sets that end here, children), built from the top down."""
+        top: list = []
+        todo = [(order, 0, top)]
+        while todo:
+            order, depth, into = todo.pop()
+            a, b = self.sets[order[0]], self.sets[order[-1]]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[depth:m] != b[depth:m])
+            end = depth + int(differ[0]) if len(differ) else m
+            sizes = self.size[order]
+            ends = [k for k in order if self.size[k] == end]
+            rest = [k for k in order if self.size[k] > end]
+            kids: list = []
+            into.append((a[depth:end], int(sizes.min()), int(sizes.max()), ends, kids))
+            i = 0
+            while i < len(rest):
+                j = i + 1
+                while j < len(rest) and self.sets[rest[j]][end] == self.sets[rest[i]][end]:
+                    j += 1
+                todo.append((rest[i:j], end, kids))
+                i = j
+        return top[0]
 
     def matches(self, query: np.ndarray, skip) -> Iterator[int]:
         """Sets that reach the threshold with ``query``; ``skip(k)`` leaves one out before its overlap is known."""
@@ -325,7 +333,7 @@ def probe_block(f: pd.DataFrame) -> pd.DataFrame:
 SMALL = 48 << 20
 
 
-def _side(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+def _side(df: DataFrame, row_bytes: int = 96) -> DataFrame:
     """df settled, and marked to be broadcast if it is small; else Spark joins it by shuffling."""
     df = settled(df)
     return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
@@ -341,14 +349,21 @@ def _sets_of(docs: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    dealt = sets.select("doc_id", "elements").join(_side(members.select("doc_id", "cluster", "block"), 48), "doc_id")
+    dealt = sets.select("doc_id", "elements").join(_side(members.select("doc_id", "cluster", "block")), "doc_id")
     return dealt.groupBy("cluster", "block").applyInPandas(lambda f: join_block(f), "a long, b long")
 
 
 def _deal(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members (doc_id, n, least, cluster) with blocks, and how many their cluster has: by the least element, which near sets mostly share."""
-    size = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("long").alias("blocks"))
-    return members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("least"), "blocks"))
+    """members (doc_id, n, least, cluster) with blocks, about how many their cluster has, and the block of each.
+
+    Sets with the same least element share a block, up to ``block`` elements; more than that are salted by doc_id.
+    """
+    by_least = members.groupBy("cluster", "least").agg(F.sum("n").alias("own"))
+    size = by_least.groupBy("cluster").agg(F.ceil(F.sum("own") / F.lit(block)).cast("long").alias("blocks"))
+    large = by_least.where(F.col("own") > block).select("cluster", "least", F.ceil(F.col("own") / F.lit(block)).cast("long").alias("salts"))
+    dealt = members.join(size, "cluster").join(large, ["cluster", "least"], "left")
+    alone = F.xxhash64("least", F.pmod(F.xxhash64("doc_id"), "salts"))
+    return dealt.withColumn("block", F.when(F.col("salts").isNull(), F.pmod(F.xxhash64("least"), "blocks")).otherwise(alone)).drop("salts")
 
 
 def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +383,7 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     classes = settled(sets.groupBy(print_of.alias("print")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     copies = sets.select("doc_id", print_of.alias("print")).join(classes.where("copies > 1"), "print").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     one = classes.select(F.col("first").alias("doc_id"), "print").join(classes.groupBy("first").agg(F.min("print").alias("print")), ["print"], "left_semi")
-    sets = sets.withColumn("print", print_of).join(_side(one, 128), ["doc_id", "print"], "left_semi").drop("print")
+    sets = sets.withColumn("print", print_of).join(_side(one, 192), ["doc_id", "print"], "left_semi").drop("print")
     if repeated.limit(1).count():
         sets = settled(sets.dropDuplicates(["doc_id"]))
 
@@ -414,18 +429,19 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         minor = label.join(main, "cluster").where("component <> main")
         # A probe goes to those blocks that hold a set of another component with an element of its prefix, if that
         # may be their first common one: sizes are near enough, and as much follows it in both as they must share.
-        placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component", "n"), 56), "doc_id")
-        there = placed.groupBy("element", F.col("block").alias("to"), F.col("component").alias("other")).agg(
-            F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest")
+        placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component", "n"), 128), "doc_id")
+        there = placed.groupBy("element", F.col("block").alias("to")).agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest")
         )
         fits = (F.col("least_n") * SIMILAR <= 100 * F.col("n")) & (F.col("n") * SIMILAR <= 100 * F.col("most_n"))
         fits &= (100 + SIMILAR) * F.least("rest", "most_rest") >= SIMILAR * (F.col("n") + F.greatest("least_n", F.ceil(F.col("n") * SIMILAR / 100)))
-        crossing = there.groupBy("element").agg(F.min("other").alias("x"), F.max("other").alias("y")).where("x <> y").select("element")
-        probes = placed.join(minor.select("doc_id"), "doc_id", "left_semi").join(crossing, "element", "left_semi").join(there, "element").where("other <> component and to <> block").where(fits)
+        crossing = there.groupBy("element").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("element")
+        other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+        probes = placed.join(minor.select("doc_id"), "doc_id", "left_semi").join(crossing, "element", "left_semi").join(there, "element").where("to <> block").where(other & fits)
         probes = probes.select("cluster", F.col("to").alias("block"), "doc_id", "component", F.lit(True).alias("probe")).distinct()
         probes = settled(probes)
         held = label.join(probes.select("cluster", "block").distinct(), ["cluster", "block"], "left_semi").select("cluster", "block", "doc_id", "component", F.lit(False).alias("probe"))
-        met = sets.select("doc_id", "elements").join(_side(probes.unionByName(held), 56), "doc_id")
+        met = sets.select("doc_id", "elements").join(_side(probes.unionByName(held), 128), "doc_id")
         cross = met.groupBy("cluster", "block").applyInPandas(lambda f: probe_block(f), "a long, b long")
         found = settled(found.unionByName(cross))
     return counts.select("doc_id", "n"), found.unionByName(copies)
@@ -440,13 +456,15 @@ def join(docs: DataFrame) -> DataFrame:
     """op8: doc_id, n_shingles, component_id of every document.
 
     Null, empty and wordless texts have no shingle and are alone.  doc_id is a key: rows that repeat it are one
-    document, linked by any of its rows; rows without doc_id are left out.  Equal sets always link.  Columns other
-    than doc_id and text are not read; an empty table has no rows.
+    document, linked by any of its rows; rows without doc_id stay as many as they are, in no component (null).
+    Equal sets always link.  Columns other than doc_id and text are not read; an empty table has no rows.
     """
     settings(docs.sparkSession)
     sizes, found = links(docs)
     of = components(found).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "component_id")
-    return sizes.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sizes.join(of, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text")
+    return named.unionByName(_sets_of(nameless).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 ORACLE_SQL = r"""
