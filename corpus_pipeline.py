@@ -18,18 +18,22 @@ from veilframe.llm.common import scratch, settings, table, tokenizer_path
 LEAST_SCORE = 0.3
 
 
+def _kept(docs: DataFrame) -> DataFrame:
+    """A row's text beside the whole row, so no column that a stage adds can clash with one of the documents'."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     settings(spark)
-    scored = toxic.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
-    return _as(scored.where("predicted = 0"), docs)
+    return toxic.score(_kept(docs), toxic.fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 0").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one of the languages learned from the documents themselves."""
     settings(spark)
-    guessed = language.predict(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, language.fit(docs))
-    return _as(guessed.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+    guessed = language.predict(_kept(docs), language.fit(docs))
+    return guessed.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +54,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-def _as(df: DataFrame, docs: DataFrame) -> DataFrame:
-    if "score" in docs.columns:
-        df = df.drop("score").withColumnRenamed("_score", "score")
-    return df.select(*docs.columns)
-
-
 STAGES = [("toxicity", toxicity), ("language_id", language_id), ("near_duplicates", near_duplicates), ("packing", pack)]
 #: No stage can be expressed in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
