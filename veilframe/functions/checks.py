@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .normalize import folded_value
+
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -75,8 +77,39 @@ def preview(value: Column) -> Column:
 
 
 def canonical(value: Column) -> Column:
-    """Trimmed, runs of white space as one space; the identity of a value within its type."""
-    return F.trim(F.regexp_replace(value, r"\s+", " "))
+    """NFKC, trimmed, runs of white space as one space; the identity of a value within its type."""
+    return F.trim(F.regexp_replace(folded_value(value), r"\s+", " "))
+
+
+#: Words that begin no name, in the languages whose names are told by capitals.
+NOT_NAMES = "The This That These Those And But Or Of In On At For With From To By As Is Are Was Were It We You They He She Please Thank Thanks Dear Hello Hi Project Team Street Road Avenue Inc Ltd Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+
+
+def latin_name(value: Column) -> Column:
+    """Two or more words, none of which is a day, a month or a word that sentences begin with."""
+    return ~value.rlike(r"\b(?:" + "|".join(NOT_NAMES) + r")\b")
+
+
+def no_opener(value: Column) -> Column:
+    return ~value.rlike(r"^(?:" + "|".join(NOT_NAMES[:35]) + r")\b")
+
+
+def no_system_account(value: Column) -> Column:
+    return ~value.isin("root", "admin", "shared", "public", "default", "ubuntu", "runner", "guest")
+
+
+def no_standard(value: Column) -> Column:
+    """Not the number of a public standard or report."""
+    return ~value.rlike("^(?:ISO|RFC|IEEE|UTF|SHA|IEC|CVE|HTTP)-")
+
+
+def mixed_kinds(value: Column) -> Column:
+    return value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
+
+
+def han_name(value: Column) -> Column:
+    """Han characters that end in no office, place or firm."""
+    return ~value.rlike("(?:部|課|社|会|県|市|区|町|村|駅|店|省|局|係|様|年|月|日|中|的|是|了|在|有|和|与|及|公司|集团|大学|学校)$")
 
 
-VALIDATORS = {"luhn": luhn, "ssn": ssn, "mod_11_2": mod_11_2, "my_number": my_number, "private_ipv4": private_ipv4, "looks_secret": looks_secret, "high_entropy": high_entropy}
+VALIDATORS = {"luhn": luhn, "ssn": ssn, "mod_11_2": mod_11_2, "my_number": my_number, "private_ipv4": private_ipv4, "looks_secret": looks_secret, "high_entropy": high_entropy, "latin_name": latin_name, "no_opener": no_opener, "no_system_account": no_system_account, "no_standard": no_standard, "mixed_kinds": mixed_kinds, "han_name": han_name}

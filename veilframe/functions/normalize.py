@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NORMALIZED = "struct<text:string,starts:array<int>,ends:array<int>>"
+ASCII = r"^\p{ASCII}*$"
 
 
 def fold_text(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -32,13 +33,28 @@ def fold_text(text: str) -> tuple[str, list[int] | None, list[int] | None]:
 
 
 def _fold(text: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None) if t is None else fold_text(t) for t in text]
+    rows = [(None, None, None) if t is None or (f := fold_text(t))[1] is None else f for t in text]
     return pd.DataFrame(rows, columns=["text", "starts", "ends"])
 
 
+def _fold_value(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in text], dtype=object)
+
+
 def normalized(text: Column) -> Column:
-    """struct<text, starts, ends>; null maps mean that places are unchanged."""
-    return F.pandas_udf(_fold, NORMALIZED)(text)
+    """struct<text, starts, ends>, its fields null where folding changes nothing.
+
+    Only texts with characters beyond ASCII go to Python, only changed ones come back.  Not deterministic in name,
+    so the optimizer doesn't copy the call into the lambdas that use it.
+    """
+    udf = F.pandas_udf(_fold, NORMALIZED).asNondeterministic()
+    return udf(F.when(~text.rlike(ASCII), text))
+
+
+def folded_value(value: Column) -> Column:
+    """NFKC of a short value, for a column of its own: it must not be used inside a lambda."""
+    udf = F.pandas_udf(_fold_value, "string").asNondeterministic()
+    return F.coalesce(udf(F.when(~value.rlike(ASCII), value)), value)
 
 
 def original_start(norm: Column, start: Column) -> Column:

@@ -6,33 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Noncharacters that mark where a match begins and ends; in a text they stand for their neighbours.
+_MARKS, _OTHERS = "\ufdd0\ufdd1", "\ufdd2\ufdd3"
 
 
-def spans(text: Column, pattern: str, grouped: bool = False) -> Column:
+def spans(text: Column, pattern: str | Column, grouped: bool = False) -> Column:
     """Half-open code-point spans of every match, in order.
 
-    ``grouped`` patterns are ``(prefix)(value)``: the span is the second group's.  Matches and the pieces between
-    them come from two built-in calls that walk the text alike; one fold adds up their lengths.  Patterns must not
-    match the empty string.  Null text has no spans.
+    ``grouped`` patterns are ``(prefix)(value)``: the span is the second group's.  One walk marks the matches, one
+    fold over the pieces between marks adds up their lengths; texts without a match skip the fold.  Patterns must
+    not match the empty string and look ahead rather than consume behind the value.  Null text has no spans.
     """
-    rx = F.lit(pattern)
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
-    before = F.split(text, pattern, -1)
-    prefix = F.regexp_extract_all(text, rx, F.lit(1)) if grouped else F.transform(whole, lambda _: F.lit(""))
-    value = F.regexp_extract_all(text, rx, F.lit(2)) if grouped else whole
-    found = F.arrays_zip(whole.alias("m"), F.slice(before, 1, F.size(whole)).alias("p"), prefix.alias("c"), value.alias("v"))
-    start = lambda acc, x: acc["at"] + F.length(x["p"]) + F.length(x["c"])
-    folded = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), SPAN).alias("out")),
+    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+    plain = F.when(text.rlike(f"[{_MARKS}]"), F.translate(text, _MARKS, _OTHERS)).otherwise(text)
+    marked = F.regexp_replace(plain, rx, F.lit(f"$1{_MARKS[0]}$2{_MARKS[1]}" if grouped else f"{_MARKS[0]}$0{_MARKS[1]}"))
+    # before, value, before, value, ..., rest
+    fold = lambda pieces: F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.from_json(F.lit("[]"), SPAN).alias("out")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"),
+            (acc["at"] + F.length(x)).alias("at"),
+            (~acc["inside"]).alias("inside"),
+            F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("value"))))).otherwise(acc["out"]).alias("out"),
         ),
+        lambda acc: acc["out"],
     )
-    # most texts match nothing: they skip the fold
-    return F.when(text.rlike(pattern), folded["out"]).otherwise(F.from_json(F.lit("[]"), SPAN))
+    pieces = F.split(marked, f"[{_MARKS}]", -1)
+    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, fold(p)).otherwise(F.from_json(F.lit("[]"), SPAN)))[0]
 
 
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def splice(text: Column, cuts: Column) -> Column:
+    """text with each of the ordered, disjoint ``cuts`` (start, end, shown) put in its place."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(cuts, start, lambda a, c: F.struct(c["end"].alias("at"), F.concat(a["out"], text.substr(a["at"] + 1, c["start"] - a["at"]), c["shown"]).alias("out")))
+    return F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))

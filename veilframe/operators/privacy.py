@@ -1,22 +1,18 @@
-"""Detect, resolve, decide, allocate, splice and restore, as DataFrame operators.
+"""Detection passes, resolution of overlaps and policy decisions, as column expressions over (scope, turn, text).
 
-Texts come as (scope, turn, text).  Everything up to the decision is one pass of
-column expressions over a row; only allocation of placeholders shuffles, by
-scope and value, and only rows that hold something to replace.
+Everything up to the decision is one pass over a row and shuffles nothing.
 """
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.checks import VALIDATORS, canonical, preview
+from veilframe.functions.checks import VALIDATORS, preview
 from veilframe.functions.normalize import normalized, original_end, original_start
 from veilframe.functions.spans import overlap, spans
 
@@ -37,93 +33,149 @@ class Policy:
     min_confidence: float = 0.0
     uncertain: str = "discard"
 
+    @classmethod
+    def permissive(cls) -> "Policy":
+        """Everything is anonymized, nothing blocked."""
+        return cls(rules={}, category_defaults={}, default_action="anonymize")
+
     def actions(self) -> dict[str, str]:
         return {t: self.rules.get(t, self.category_defaults.get(c, self.default_action)) for t, (_, c) in ENTITY_TYPES.items()}
 
+    def digest(self) -> str:
+        """SHA-256 of the settings as canonical JSON: equal policies, equal digests."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
 
 def _none() -> Column:
     return F.from_json(F.lit("[]"), DETS)
 
 
-def rule_hits(text: Column, rule: Rule) -> Column:
-    """array of detections of one rule."""
+def detection(span: Column, kind: str | Column, confidence: float | Column, source: str, rule: str | Column, severity: Column | None = None, category: Column | None = None) -> Column:
+    """A span as one detection; severity and category are those of the type unless given."""
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    if isinstance(kind, str):
+        severity, category = map(F.lit, ENTITY_TYPES[kind])
+    return F.struct(span["start"], span["end"], col(kind).alias("type"), span["value"], col(confidence).cast("double").alias("confidence"), F.lit(source).alias("source"), col(rule).alias("rule"), severity.alias("severity"), category.alias("category"))
+
+
+def rule_hits(text: Column, rule: Rule, low: Column | None = None, run: Column | None = None) -> Column:
+    """array of detections of one rule; ``low`` is the text in lower case, ``run`` its longest run of digits."""
+    low, run = F.lower(text) if low is None else low, longest_digits(text) if run is None else run
     hits = spans(text, rule.pattern, rule.grouped)
     if rule.validator:
         hits = F.filter(hits, lambda x: VALIDATORS[rule.validator](x["value"]))
-    severity, category = ENTITY_TYPES[rule.type]
-    hits = F.transform(hits, lambda x: F.struct(x["start"], x["end"], F.lit(rule.type).alias("type"), x["value"], F.lit(float(rule.confidence)).alias("confidence"), F.lit(rule.pack).alias("source"), F.lit(rule.id).alias("rule"), F.lit(severity).alias("severity"), F.lit(category).alias("category")))
-    return F.when(text.contains(rule.need), hits).otherwise(_none()) if rule.need else hits
+    hits = F.transform(hits, lambda x: detection(x, rule.type, float(rule.confidence), rule.pack, rule.id))
+    may = F.lit(True)
+    if rule.need:
+        some = [low.contains(n) for n in ((rule.need,) if isinstance(rule.need, str) else rule.need)]
+        may = some[0]
+        for s in some[1:]:
+            may = may | s
+    if rule.digits:
+        may = may & (run >= rule.digits)
+    return F.when(may, hits).otherwise(_none()) if rule.need or rule.digits else hits
+
 
+def longest_digits(text: Column) -> Column:
+    return F.array_max(F.transform(F.split(text, "[^0-9]+"), lambda x: F.length(x)))
 
-def detections(text: Column, rules: list[Rule]) -> Column:
+
+def detections(text: Column, rules: list[Rule], low: Column | None = None, run: Column | None = None) -> Column:
     """All hits of the rules, packs guarded by the scripts a text holds; overlaps are not resolved here."""
     parts = []
-    for name, (_, trigger, suppressor) in PACKS.items():
-        own = [rule_hits(text, r) for r in rules if r.pack == name]
+    for name, (_, trigger, suppressor) in {**PACKS, "custom": ((), None, None)}.items():
+        own = [rule_hits(text, r, low, run) for r in rules if r.pack == name]
         if own:
             hits = F.concat(*own)
-            if suppressor:  # hits in sentences that hold the silencing script are dropped
+            if suppressor:
+                # hits that touch a sentence with the silencing script are dropped, all of them where such
+                # sentences are all of the text but two characters each
                 silent = spans(text, rf"[^。！？!?\n「」『』（）()]*{suppressor}[^。！？!?\n「」『』（）()]*")
-                hits = F.filter(hits, lambda h: ~F.exists(silent, lambda s: overlap(h, s)))
+                outside = F.transform(F.array(silent), lambda s: F.when(F.aggregate(s, F.lit(0), lambda n, x: n + x["end"] - x["start"]) >= F.length(text) - 2 * F.size(s), _none()).otherwise(F.filter(hits, lambda h: ~F.exists(s, lambda x: overlap(h, x)))))[0]
+                hits = F.when(text.rlike(suppressor), outside).otherwise(hits)
             parts.append(hits if trigger is None else F.when(F.substring(text, 1, 20_000).rlike(trigger), hits).otherwise(_none()))
     return F.coalesce(F.concat(*parts), _none()) if parts else _none()
 
 
 def literal_placeholders(text: Column) -> Column:
     """Token-shaped input is itself to be replaced, so it can't pass for one of ours."""
-    return F.transform(spans(text, PLACEHOLDER), lambda x: F.struct(x["start"], x["end"], F.lit("TEXT").alias("type"), x["value"], F.lit(1.0).alias("confidence"), F.lit("literal").alias("source"), F.lit("literal.TEXT").alias("rule"), F.lit(100).alias("severity"), F.lit("OTHER").alias("category")))
+    return F.when(text.contains("_"), F.transform(spans(text, PLACEHOLDER), lambda x: detection(x, "TEXT", 1.0, "literal", "literal.TEXT"))).otherwise(_none())
 
 
-def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool = True) -> DataFrame:
-    """texts with ``dets``: candidates in places and values of the original text.  Null texts have none."""
-    rules = rules_for() if rules is None else rules
-    if not normalize:
-        return texts.withColumn("dets", F.concat(detections(F.col("text"), rules), literal_placeholders(F.col("text"))))
-    df = texts.withColumn("_norm", normalized(F.col("text")))
-    df = df.withColumn("_hits", detections(F.col("_norm.text"), rules))
-    back = F.transform("_hits", lambda d: d.withField("start", original_start(F.col("_norm"), d["start"])).withField("end", original_end(F.col("_norm"), d["end"])))
-    back = F.transform(back, lambda d: d.withField("value", F.col("text").substr(d["start"] + 1, d["end"] - d["start"])))
-    return df.withColumn("dets", F.concat(back, literal_placeholders(F.col("text")))).drop("_norm", "_hits")
+SEEDS = ("PERSON", "COMPANY_NAME", "PROJECT_NAME", "EMPLOYEE_ID")
+
+
+def occurrences(text: Column, value: Column, fold_case: bool = False) -> Column:
+    """Spans of a literal; where it begins or ends in an ASCII letter or digit, none may touch it there."""
+    left = F.when(value.rlike("^[A-Za-z0-9]"), r"(?<![A-Za-z0-9])").otherwise("")
+    right = F.when(value.rlike("[A-Za-z0-9]$"), r"(?![A-Za-z0-9])").otherwise("")
+    literal = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return spans(text, F.concat(F.lit("(?iu)" if fold_case else ""), left, literal, right))
+
+
+def co_occurrences(text: Column, dets: Column, min_confidence: float = 0.85, min_length: int = 2) -> Column:
+    """Occurrences of confident names that nothing claims: the longest names first, then the earliest."""
+    seeds = F.filter(dets, lambda d: d["type"].isin(*SEEDS) & (d["confidence"] >= min_confidence) & (F.length(d["value"]) >= min_length))
+    order = F.array_sort(F.transform(seeds, lambda d: F.struct((-F.length(d["value"])).alias("size"), d["start"].alias("start"), d.alias("d"))))
+    sort = F.transform(order, lambda x: x["d"])
+
+    def one(sorted_: Column) -> Column:
+        values = F.transform(sorted_, lambda d: d["value"])
+        first = F.filter(sorted_, lambda d, i: F.array_position(values, d["value"]) == i + 1)
+
+        def claim(acc: Column, s: Column) -> Column:
+            free = F.filter(occurrences(text, s["value"]), lambda o: ~F.exists(acc, lambda a: overlap(a, o)))
+            return F.concat(acc, F.transform(free, lambda o: detection(o, s["type"], s["confidence"], "co_occurrence", F.concat(F.lit("co_occurrence."), s["type"]), s["severity"], s["category"])))
+
+        return F.aggregate(first, dets, claim, lambda acc: F.slice(acc, F.size(dets) + 1, F.greatest(F.size(acc) - F.size(dets), F.lit(0))))
+
+    return F.when(F.size(seeds) > 0, one(sort)).otherwise(_none())
 
 
 def entropy_hits(text: Column, taken: Column) -> Column:
-    """Runs of high entropy that nothing else claims; a hash word before one lowers its confidence."""
+    """Runs of high entropy that nothing else claims; a hash word before one lowers its confidence, else a secret word raises it."""
     runs = F.filter(spans(text, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=-])"), lambda x: VALIDATORS["high_entropy"](x["value"]) & ~F.exists(taken, lambda t: overlap(t, x)))
     before = lambda x: F.lower(text.substr(F.greatest(x["start"] - 60, F.lit(0)) + 1, F.least(x["start"], F.lit(60))))
     level = lambda x: F.when(before(x).rlike(r"sha-?[0-9]|md5|checksum|commit|digest|hash"), 0.5).when(before(x).rlike(r"key|token|secret|password|credential"), 0.7).otherwise(0.5)
-    return F.transform(runs, lambda x: F.struct(x["start"], x["end"], F.lit("API_KEY").alias("type"), x["value"], level(x).cast("double").alias("confidence"), F.lit("entropy").alias("source"), F.lit("entropy.API_KEY").alias("rule"), F.lit(100).alias("severity"), F.lit("SECRET").alias("category")))
-
-
-SEEDS = ("PERSON", "COMPANY_NAME", "PROJECT_NAME", "EMPLOYEE_ID")
+    return F.transform(runs, lambda x: detection(x, "API_KEY", level(x), "entropy", "entropy.API_KEY"))
 
 
-def occurrences(text: str, value: str) -> Iterator[tuple[int, int]]:
-    """Places of a literal; where it begins or ends in an ASCII letter or digit, none may touch it there."""
-    left = r"(?<![A-Za-z0-9])" if re.match("[A-Za-z0-9]", value) else ""
-    right = r"(?![A-Za-z0-9])" if re.search("[A-Za-z0-9]$", value) else ""
-    return (m.span() for m in re.finditer(left + re.escape(value) + right, text))
+def ruled_in(text: Column, taken: Column, always: list[tuple[str, str]]) -> Column:
+    """Unclaimed occurrences of values that were ruled sensitive by hand, each of a known type, as certain."""
+    def add(out: Column, value: str, kind: str) -> Column:
+        free = F.filter(occurrences(text, F.lit(value)), lambda o: ~F.exists(out, lambda t: overlap(t, o)))
+        return F.when(text.contains(value), F.concat(out, F.transform(free, lambda o: detection(o, kind, 1.0, "corrections", f"corrections.{kind}")))).otherwise(out)
 
+    out = taken
+    for value, kind in always:
+        out = add(out, value, kind)
+    return F.slice(out, F.size(taken) + 1, F.greatest(F.size(out) - F.size(taken), F.lit(0))) if always else _none()
 
-def co_occurrences(detected: DataFrame, min_confidence: float = 0.85, min_length: int = 2) -> DataFrame:
-    """dets with every unclaimed occurrence of a confident name; longest values first, then the earliest."""
 
-    def more(text: pd.Series, dets: pd.Series) -> pd.Series:
-        out = []
-        for t, ds in zip(text, dets):
-            ds = [dict(d) for d in (ds if ds is not None else [])]
-            claimed = [(d["start"], d["end"]) for d in ds]
-            seeds = {}
-            for d in sorted((d for d in ds if d["type"] in SEEDS and d["confidence"] >= min_confidence and len(d["value"]) >= min_length), key=lambda d: (-len(d["value"]), d["start"])):
-                seeds.setdefault(d["value"], d)
-            for value, seed in seeds.items():
-                for a, b in occurrences(t, value):
-                    if all(b <= s or e <= a for s, e in claimed):
-                        claimed.append((a, b))
-                        ds.append({**seed, "start": a, "end": b, "source": "co_occurrence"})
-            out.append(ds)
-        return pd.Series(out)
+def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool = True, co_occurrence: bool = False, secrets: bool = False, always: list[tuple[str, str]] = ()) -> DataFrame:
+    """texts with ``dets``: candidates in places and values of the original text.  Null texts have none.
 
-    return detected.withColumn("dets", F.pandas_udf(more, DETS)("text", "dets"))
+    Passes run in a fixed order, each seeing what the ones before found: rules, co-occurrence, high-entropy
+    secrets, values ruled in by hand.  They see the NFKC view; token-shaped literals are looked for in the original.
+    """
+    rules = rules_for() if rules is None else rules
+    df = texts.withColumn("_norm", normalized(F.col("text"))) if normalize else texts
+    df = df.withColumn("_text", F.coalesce(F.col("_norm.text"), "text") if normalize else F.col("text"))
+    df = df.withColumn("_low", F.lower("_text")).withColumn("_run", longest_digits(F.col("_text")))
+    text = F.col("_text")
+    df = df.withColumn("_hits", detections(text, rules, F.col("_low"), F.col("_run")))
+    if co_occurrence:
+        df = df.withColumn("_hits", F.concat("_hits", F.coalesce(co_occurrences(text, F.col("_hits")), _none())))
+    if secrets:
+        df = df.withColumn("_hits", F.concat("_hits", F.coalesce(entropy_hits(text, F.col("_hits")), _none())))
+    if always:
+        df = df.withColumn("_hits", F.concat("_hits", F.coalesce(ruled_in(text, F.col("_hits"), list(always)), _none())))
+    back = F.col("_hits")
+    if normalize:
+        moved = F.transform("_hits", lambda d: d.withField("start", original_start(F.col("_norm"), d["start"])).withField("end", original_end(F.col("_norm"), d["end"])))
+        moved = F.transform(moved, lambda d: d.withField("value", F.col("text").substr(d["start"] + 1, d["end"] - d["start"])))
+        back = F.when(F.col("_norm.text").isNull(), F.col("_hits")).otherwise(moved)
+    return df.withColumn("dets", F.concat(back, F.coalesce(literal_placeholders(F.col("text")), _none()))).drop("_norm", "_text", "_low", "_run", "_hits")
 
 
 def corrected(dets: Column, never: Column) -> Column:
@@ -131,25 +183,49 @@ def corrected(dets: Column, never: Column) -> Column:
     return F.filter(dets, lambda d: ~F.coalesce(F.array_contains(never, d["value"]), F.lit(False)) | (d["category"] == "SECRET"))
 
 
-def ranked(dets: Column) -> Column:
+def rank_key(d: Column) -> Column:
     """Longer, more severe, more confident, earlier, then source and type by name."""
-    key = F.transform(dets, lambda d: F.struct(-(d["end"] - d["start"]), -d["severity"], -d["confidence"], d["start"], d["source"], d["type"], d.alias("d")))
-    return F.transform(F.array_sort(key), lambda k: k["d"])
+    return F.struct((-(d["end"] - d["start"])).alias("length"), (-d["severity"]).alias("severity"), (-d["confidence"]).alias("confidence"), d["start"].alias("start"), d["source"].alias("source"), d["type"].alias("type"))
+
+
+def ranked(dets: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(dets, lambda d: F.struct(rank_key(d).alias("key"), d.alias("d")))), lambda k: k["d"])
 
 
 def resolved(dets: Column) -> Column:
     """Greedy in rank order: a candidate stays unless it overlaps one that stayed.  Losers block nothing."""
     kept = F.aggregate(ranked(dets), _none(), lambda acc, d: F.when(F.exists(acc, lambda k: overlap(k, d)), acc).otherwise(F.concat(acc, F.array(d))))
-    return F.array_sort(kept)
+    return F.when(F.size(dets) > 1, F.array_sort(kept)).otherwise(dets)
+
+
+def disjoint(entities: Column) -> Column:
+    """Whether spans are in order and none overlaps the next."""
+    return F.forall(F.sequence(F.lit(1), F.greatest(F.size(entities) - 1, F.lit(1))), lambda i: F.coalesce(F.get(entities, i - 1)["end"] <= F.get(entities, i)["start"], F.lit(True)))
 
 
-def trace(detected: DataFrame, policy: Policy) -> DataFrame:
-    """A row per candidate and what became of it; values leave as previews only."""
-    df = detected.withColumn("kept", resolved(F.filter("dets", lambda d: d["confidence"] >= policy.min_confidence)))
-    df = df.withColumn("d", F.explode("dets"))
-    same = F.exists("kept", lambda k: (k["start"] == F.col("d.start")) & (k["end"] == F.col("d.end")) & (k["type"] == F.col("d.type")) & (k["rule"] == F.col("d.rule")))
-    outcome = F.when(F.col("d.confidence") < policy.min_confidence, "below_confidence").when(same, "kept").otherwise("displaced")
-    return df.select("scope", "turn", "d.start", "d.end", "d.type", preview(F.col("d.value")).alias("preview"), "d.source", "d.rule", "d.confidence", outcome.alias("outcome"))
+def trace(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) -> DataFrame:
+    """A row per candidate and what became of it; for displaced ones who won and by which criterion.  Values leave as previews only."""
+    sure = F.filter("dets", lambda d: d["confidence"] >= policy.min_confidence)
+    out = F.array(*map(F.lit, never)) if never else F.array().cast("array<string>")
+    df = detected.withColumn("_kept", ranked(resolved(corrected(sure, out)))).withColumn("d", F.explode("dets"))
+    d = F.col("d")
+    winner = F.filter("_kept", lambda k: overlap(k, F.col("d")))
+    df = df.withColumn("_won", F.get(winner, F.lit(0)))
+    w = F.col("_won")
+    reason = F.when(w["end"] - w["start"] != d["end"] - d["start"], "length").when(w["severity"] != d["severity"], "severity").when(w["confidence"] != d["confidence"], "confidence").when(w["start"] != d["start"], "start").when(w["source"] != d["source"], "source").otherwise("type")
+    ruled = F.coalesce(F.array_contains(out, d["value"]), F.lit(False)) & (d["category"] != "SECRET")
+    outcome = F.when(d["confidence"] < policy.min_confidence, "below_confidence").when(ruled, "corrected_away").when(w == d, "kept").otherwise("displaced")
+    df = df.withColumn("outcome", outcome)
+    shown = F.when(F.col("outcome") == "displaced", F.struct(w["type"].alias("type"), w["start"].alias("start"), w["end"].alias("end"), reason.alias("reason")))
+    return df.select("scope", "turn", d["start"].alias("start"), d["end"].alias("end"), d["type"].alias("type"), preview(d["value"]).alias("preview"), d["source"].alias("source"), d["rule"].alias("rule"), d["confidence"].alias("confidence"), "outcome", shown.alias("winner"))
+
+
+def stance_gap(texts: DataFrame, packs: tuple[str, ...] = tuple(PACKS), **passes) -> DataFrame:
+    """(scope, turn, type, start, rule) of what the recall-first stance finds and the balanced one doesn't."""
+    found = [detect(texts, rules_for(packs, s), **passes).select("scope", "turn", F.explode("dets").alias("d")).select("scope", "turn", "d.type", "d.start", "d.rule") for s in ("recall_first", "balanced")]
+    other = found[1].select(F.col("scope").alias("_s"), F.col("turn").alias("_t"), F.col("type").alias("_k"), F.col("start").alias("_p"))
+    same = F.col("scope").eqNullSafe(F.col("_s")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("type") == F.col("_k")) & (F.col("start") == F.col("_p"))
+    return found[0].join(other, same, "left_anti")
 
 
 def decide(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) -> DataFrame:
@@ -163,117 +239,30 @@ def decide(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) ->
     return df.withColumn("status", status).drop("_unsure", "_kept", "dets")
 
 
-def allocate(decided: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """mappings (scope, type, idx, identity, value): dense per scope and type in order of turn and place.
-
-    Only texts that may leave and only values to anonymize take an index.  Known identities in ``before`` keep
-    theirs and new ones go on behind the largest.
-    """
-    e = decided.where("status = 'ok'").select("scope", "turn", F.explode(F.filter("entities", lambda e: e["action"] == "anonymize")).alias("e"))
-    first = F.min(F.struct("turn", "e.start", F.col("e.value").alias("value")))
-    seen = e.groupBy("scope", F.col("e.type").alias("type"), canonical(F.col("e.value")).alias("identity")).agg(first.alias("f")).select("scope", "type", "identity", "f.*")
-    rank = F.row_number().over(Window.partitionBy("scope", "type").orderBy("turn", "start", "identity"))
-    if before is None:
-        return seen.select("scope", "type", rank.alias("idx"), "identity", "value")
-    top = before.groupBy("scope", "type").agg(F.max("idx").alias("top"))
-    new = seen.join(before.select("scope", "type", "identity"), ["scope", "type", "identity"], "left_anti").join(top, ["scope", "type"], "left")
-    new = new.select("scope", "type", (rank + F.coalesce("top", F.lit(0))).alias("idx"), "identity", "value")
-    return before.select("scope", "type", "idx", "identity", "value").unionByName(new)
-
+def quoting_scopes(decided: DataFrame, shortest: int = 3) -> DataFrame:
+    """(scope, turn) of texts whose scope's name holds a value that is not allowed to leave."""
+    return decided.where(F.exists("entities", lambda e: (e["action"] != "allow") & (F.length(e["value"]) >= shortest) & F.col("scope").contains(e["value"]))).select("scope", "turn")
 
-STYLES = {"angle": "<%s_%03d>", "square": "[%s_%03d]", "curly": "{%s_%03d}"}
 
+def inspect(decided: DataFrame) -> DataFrame:
+    """(scope, turn, types): sorted distinct types that are not allowed; nothing is allocated."""
+    found = F.filter("entities", lambda e: e["action"] != "allow")
+    return decided.select("scope", "turn", F.array_sort(F.array_distinct(F.transform(found, lambda e: e["type"]))).alias("types"))
 
-def protect(decided: DataFrame, mappings: DataFrame, policy: Policy, style: str = "angle") -> DataFrame:
-    """(scope, turn, status, protected_text, reversible): null text where blocked or refused."""
-    ok = decided.where("status = 'ok'")
-    e = ok.where(F.size("entities") > 0).select("scope", "turn", F.explode("entities").alias("e")).withColumn("type", F.col("e.type")).withColumn("identity", canonical(F.col("e.value")))
-    e = e.join(mappings.select("scope", "type", "identity", "idx"), ["scope", "type", "identity"], "left")
-    shown = F.when(F.col("e.action") == "allow", F.col("e.value")).when(F.col("e.action") == "mask", policy.mask_token).otherwise(F.format_string(STYLES[style], "type", "idx"))
-    cuts = e.groupBy("scope", "turn").agg(F.array_sort(F.collect_list(F.struct(F.col("e.start").alias("start"), F.col("e.end").alias("end"), shown.alias("shown")))).alias("cuts"), F.max((F.col("e.action") == "mask").cast("int")).alias("masked"))
-    df = decided.join(cuts, ["scope", "turn"], "left")
-    spliced = F.aggregate("cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda a, c: F.struct(c["end"].alias("at"), F.concat(a["out"], F.col("text").substr(a["at"] + 1, c["start"] - a["at"]), c["shown"]).alias("out")))
-    tail = F.concat(spliced["out"], F.col("text").substr(spliced["at"] + 1, F.length("text")))
-    text = F.when(F.col("status") == "ok", F.coalesce(tail, F.col("text")))
-    return df.select("scope", "turn", "status", text.alias("protected_text"), (F.coalesce("masked", F.lit(0)) == 0).alias("reversible"))
 
+def counts(decided: DataFrame) -> DataFrame:
+    """(scope, turn, entities, anonymized, masked_types, reversible, by_type) of each text."""
+    df = decided.select("scope", "turn", F.col("entities").alias("_e"))
+    of = lambda action: F.filter("_e", lambda e: e["action"] == action)
+    df = df.withColumn("_types", F.array_sort(F.array_distinct(F.transform("_e", lambda e: e["type"]))))
+    by_type = F.map_from_arrays("_types", F.transform("_types", lambda t: F.size(F.filter("_e", lambda e: e["type"] == t))))
+    masked = F.array_sort(F.array_distinct(F.transform(of("mask"), lambda e: e["type"])))
+    return df.select("scope", "turn", F.size("_e").alias("entities"), F.size(of("anonymize")).alias("anonymized"), masked.alias("masked_types"), (F.size(masked) == 0).alias("reversible"), by_type.alias("by_type"))
 
-_TOKEN = re.compile(r"(?P<open>[<\[{][ \t]{0,4})?(?<![A-Za-z0-9])(?P<type>[A-Za-z][A-Za-z0-9]{0,62}(?:[ \t]{0,4}[_-][ \t]{0,4}[A-Za-z][A-Za-z0-9]{0,30}){0,4})[ \t]{0,4}[\s_-][ \t]{0,4}(?P<n>[0-9]{1,6})(?![A-Za-z0-9])(?P<close>[ \t]{0,4}[>\]}])?")
-_PAIR = {"<": ">", "[": "]", "{": "}"}
 
-
-def restore_text(text: str, known: dict[tuple[str, int], str], types: set[str] | None = None) -> tuple[str, list[str], list[str], int]:
-    """(restored text, tokens nobody minted, tokens that were altered, restored).  One pass: what is put in is not read again.
-
-    Tolerates brackets dropped or changed, lower case, lost padding, spaces and full width.  Without brackets a
-    token counts only if its type is in use: in ``types``, or else in ``known``.
-    """
-    from veilframe.functions.normalize import fold_text
-
-    view, starts, ends = fold_text(text)
-    types = {t for t, _ in known} if types is None else types
-    out, at, unknown, tampered, n = [], 0, [], [], 0
-    for m in _TOKEN.finditer(view):
-        kind, idx = re.sub(r"[\s_-]+", "_", m["type"]).upper(), int(m["n"])
-        whole = bool(m["open"]) and bool(m["close"]) and _PAIR[m["open"][0]] == m["close"][-1]
-        if idx < 1 or not whole and kind not in types:
-            continue
-        a, b = m.span() if whole else (m.start("type"), m.end("n"))
-        a, b = (starts[a], ends[b - 1]) if starts else (a, b)
-        if (kind, idx) not in known:
-            unknown.append(f"{kind}_{idx:03d}")
-            continue
-        if text[a:b] != f"<{kind}_{idx:03d}>":
-            tampered.append(f"{kind}_{idx:03d}")
-        out += [text[at:a], known[kind, idx]]
-        at, n = b, n + 1
-    return "".join(out) + text[at:], unknown, tampered, n
-
-
-def _named(m: re.Match) -> tuple[str, int]:
-    return re.sub(r"[\s_-]+", "_", m["type"]).upper(), int(m["n"])
-
-
-def restore(replies: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(scope, response_id, restored_text, unknown, missing, tampered, is_clean): only tokens of the reply's own scope are resolved.
-
-    A reply's candidate tokens are joined to the mappings one by one; of its scope it meets only runs of indices of
-    each type.  Replies of a scope without mappings pass unchanged.  ``missing`` is as long as what a scope minted,
-    and made only where it is read.
-    """
-    from veilframe.functions.normalize import fold_text
-
-    maps = mappings.select("scope", "type", F.col("idx").cast("long").alias("idx"), "value")
-    key = ["scope", "type", "idx"]
-
-    # a run begins at an index without one before it, and ends at one without one behind it
-    near = maps.select("scope", "type", F.explode(F.array(*(F.struct((F.col("idx") + k).alias("idx"), F.lit(k).alias("by")) for k in (0, 1, -1)))).alias("n"))
-    at = near.groupBy("scope", "type", "n.idx").agg(*(F.max((F.col("n.by") == k).cast("int")).alias(name) for k, name in ((0, "own"), (1, "before"), (-1, "behind")))).where("own = 1")
-    edge = lambda other: F.array_sort(F.collect_list(F.when(F.col(other) == 0, F.struct("type", "idx"))))
-    runs = at.groupBy("scope").agg(edge("before").alias("low"), edge("behind").alias("high"))
-    runs = runs.select("scope", F.zip_with("low", "high", lambda a, b: F.struct(a["type"].alias("type"), a["idx"].alias("low"), b["idx"].alias("high"))).alias("runs"))
-
-    @F.pandas_udf("array<struct<type:string,idx:long>>")
-    def candidates(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"type": k, "idx": n} for k, n in {_named(m) for m in _TOKEN.finditer(fold_text(t or "")[0])}] for t in text], dtype=object)
-
-    @F.pandas_udf("array<string>")
-    def seen(text: pd.Series) -> pd.Series:
-        return pd.Series([["{}_{:03d}".format(*_named(m)) for m in _TOKEN.finditer(t or "")] for t in text], dtype=object)
-
-    @F.pandas_udf("struct<text:string,unknown:array<string>,tampered:array<string>>")
-    def run(text: pd.Series, known: pd.Series, types: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, ks, kinds in zip(text, known, types):
-            own = {(k["type"], int(k["idx"])): k["value"] for k in (ks if ks is not None else [])}
-            rows.append(restore_text(t or "", own, set(kinds if kinds is not None else []))[:3])
-        return pd.DataFrame(rows, columns=["text", "unknown", "tampered"])
-
-    found = replies.select("scope", "response_id", F.explode(candidates("text")).alias("c")).select("scope", "response_id", "c.type", "c.idx").join(maps, key)
-    # replies that share an id share what is looked up, all of it their own scope's
-    known = found.groupBy(F.col("scope").alias("_scope"), F.col("response_id").alias("_id")).agg(F.collect_set(F.struct("type", "idx", "value")).alias("known"))
-    df = replies.join(known, (F.col("scope") == F.col("_scope")) & F.col("response_id").eqNullSafe(F.col("_id")), "left").join(runs, "scope", "left")
-    df = df.withColumn("r", run("text", "known", F.array_distinct(F.transform("runs", lambda x: x["type"]))))
-    minted = F.flatten(F.transform("runs", lambda x: F.transform(F.sequence(x["low"], x["high"]), lambda i: F.format_string("%s_%03d", x["type"], i))))
-    missing = F.array_except(F.coalesce(minted, F.array().cast("array<string>")), seen("text"))
-    return df.select("scope", "response_id", F.col("r.text").alias("restored_text"), "r.unknown", missing.alias("missing"), "r.tampered", (F.size("r.unknown") == 0).alias("is_clean"))
+def host_class(host: Column, trusted: tuple[str, ...] = ()) -> Column:
+    """same_host, private_network, declared or external, without asking any name server; a numeric last label that is no address is external."""
+    h = F.lower(F.regexp_replace(F.regexp_replace(host, "[。．｡]", "."), r"\.$", ""))
+    address = h.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    inside = F.when(h.startswith("127."), "same_host").when(VALIDATORS["private_ipv4"](h), "private_network").otherwise("external")
+    return F.when(h.isin(*trusted) if trusted else F.lit(False), "declared").when(h.isin("localhost", "::1", "[::1]") | h.endswith(".localhost"), "same_host").when(address, inside).when(h.rlike(r"(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)$"), "external").when(~h.contains(".") | h.rlike(r"\.(?:internal|local|lan|intranet|corp|home\.arpa)$"), "private_network").otherwise("external")

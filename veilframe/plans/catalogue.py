@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.checks import entropy, luhn, preview, private_ipv4
+from veilframe.functions.shared import settled
 from veilframe.functions.spans import spans
+from veilframe.operators import mappings as M
 from veilframe.operators import privacy as P
+from veilframe.operators import restore as R
 from veilframe.operators import sessions as S
-from veilframe.operators.rules import UNIVERSAL, Rule
+from veilframe.operators.rules import Rule, rules_for
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 PHONE = r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,4}(?:[ -]?[0-9]{2,4}){1,4}"
@@ -23,13 +26,14 @@ SLICE = [Rule("EMAIL", EMAIL, 1.0, need="@"), Rule("PHONE", PHONE, 0.7, need="+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table is one file, read as few tasks: deal it out where rows are worked on."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are read; only where that gives fewer tasks than there are cores (a small file) are they dealt out."""
     d = _table(spark, sf_dir, "documents").select(F.col("lang").alias("scope"), F.col("doc_id").alias("turn"), "text")
-    return d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= cores else d.repartition(4 * cores)
 
 
 def _spans(pattern: str, grouped: bool = False) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,25 +100,25 @@ def inspect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def placeholder_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of placeholders per scope and type, and the largest index: dense, so both agree."""
-    m = P.allocate(_decided(spark, sf_dir))
+    m = M.allocate(_decided(spark, sf_dir))
     return m.groupBy("scope", "type").agg(F.count("*").alias("n"), F.max("idx").cast("long").alias("top"), F.min(F.when(F.col("idx") == 1, F.col("value"))).alias("first_value"))
 
 
 def email_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with mail addresses masked."""
     policy = P.Policy(rules={"EMAIL": "mask", "TEXT": "anonymize"})
-    decided = P.decide(P.detect(_texts(spark, sf_dir), SLICE[:1], normalize=False), policy)
-    out = P.protect(decided, P.allocate(decided), policy)
+    decided = settled(P.decide(P.detect(_texts(spark, sf_dir), SLICE[:1], normalize=False), policy))
+    out = M.protect(decided, M.allocate(decided), policy)
     return out.where(F.col("protected_text").contains("[REDACTED]")).select(F.col("turn").alias("doc_id"), F.sha2("protected_text", 256).alias("digest"), "reversible")
 
 
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sendable text, protected and restored again: as many as come back unchanged."""
-    decided = _decided(spark, sf_dir)
-    maps = P.allocate(decided)
-    sent = P.protect(decided, maps, P.Policy()).where("status = 'ok'")
-    back = P.restore(sent.select("scope", F.col("turn").alias("response_id"), F.col("protected_text").alias("text")), maps)
-    same = back.join(_texts(spark, sf_dir).select(F.col("turn").alias("response_id"), "text"), "response_id").withColumn("same", F.col("restored_text") == F.col("text"))
+    decided = settled(_decided(spark, sf_dir))
+    maps = settled(M.allocate(decided))
+    sent = M.protect(decided, maps, P.Policy()).where("status = 'ok'")
+    back = R.restore(sent.select("scope", F.col("turn").alias("response_id"), F.col("protected_text").alias("text")), maps)
+    same = back.join(decided.select(F.col("turn").alias("response_id"), "text"), "response_id").withColumn("same", F.col("restored_text") == F.col("text"))
     return same.groupBy("scope").agg(F.count("*").alias("texts"), F.sum(F.col("same").cast("long")).alias("unchanged"))
 
 
@@ -145,19 +149,20 @@ def lru_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    return S.expired(e.join(F.broadcast(now)), "ts", F.col("now"), 7 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
+    now = e.agg(F.max("ts")).first()[0]
+    return S.expired(e.withColumn("now", F.lit(now)), "ts", F.col("now"), 7 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def full_rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each universal rule fires, rules that never do included."""
-    hits = P.detect(_texts(spark, sf_dir), UNIVERSAL, normalize=False).select(F.explode("dets").alias("d")).groupBy(F.col("d.rule").alias("rule")).count()
-    names = spark.createDataFrame(sorted({(r.id,) for r in UNIVERSAL}), "rule string")
+    """How often each rule of all packs fires, rules that never do included."""
+    rules = rules_for()
+    hits = P.detect(_texts(spark, sf_dir), rules).select(F.explode(F.transform("dets", lambda d: d["rule"])).alias("rule")).groupBy("rule").count()
+    names = spark.createDataFrame([(r.id,) for r in rules], "rule string")
     return names.join(hits, "rule", "left").select("rule", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def html_page_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts that pages link to or are served from, per scheme, of pages with a mail address or without."""
+    """Schemes that pages are served by, of pages with a mail address and without."""
     p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), (F.size(spans(F.regexp_replace("html", "<[^>]*>", " "), EMAIL)) > 0).alias("has_mail"))
     return p.groupBy("scheme", "has_mail").agg(F.count("*").alias("n"))
 

@@ -1,60 +1,135 @@
-"""Restoring streamed replies chunk by chunk, in state keyed by stream."""
+"""Restoring streamed replies: keyed state cuts them where no token can lie, the batch operator restores the pieces."""
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veilframe.operators.privacy import restore_text
+from veilframe.functions.normalize import fold_text
+from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, restore
 
-#: Characters a stream may hold back: no token is longer.
+#: Fixed value: characters of the folded text that may be held back, for no token is longer.
 HOLD = 266
-_PARTIAL = re.compile(r"(?:[<\[{][ \t]{0,4})?(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9]{0,62}(?:[ \t]{0,4}[_-][ \t]{0,4}[A-Za-z0-9]{0,31}){0,5}[ \t]{0,4}[\s_-]?[ \t]{0,4}[0-9]{0,6}[ \t]{0,4}$|[<\[{][ \t]{0,4}$")
+
+
+def _run(text: str, at: int, ok, most: int) -> int:
+    end = at
+    while end < len(text) and end - at < most and ok(text[end]):
+        end += 1
+    return end
+
+
+def _word(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def _open(text: str, at: int) -> bool:
+    """Whether what begins at ``at``, an opening bracket or a name, reaches the end of the text and may go on as a token."""
+    n, blank = len(text), lambda c: c in " \t"
+    if text[at] in "<[{":
+        at = _run(text, at + 1, blank, BLANKS)
+        if at == n:
+            return True
+    if not (text[at].isascii() and text[at].isalpha()):
+        return False
+    at = _run(text, at, _word, NAME + 1)
+    for _ in range(PARTS + 2):
+        if at == n:
+            return True
+        at = _run(text, at, blank, BLANKS)
+        if at == n:
+            return True
+        joined = text[at] in "_-"
+        if joined or text[at] in "\n\r\f\v":
+            at += 1
+        elif text[at - 1] not in " \t":
+            return False
+        at = _run(text, at, blank, BLANKS + 1)
+        if at == n:
+            return True
+        if text[at] in "0123456789":
+            end = _run(text, at, lambda c: c in "0123456789", DIGITS)
+            return end == n or not _word(text[end]) and _run(text, end, blank, BLANKS) == n
+        if not (joined and text[at].isascii() and text[at].isalpha()):
+            return False
+        at = _run(text, at, _word, PART + 1)
+    return False
 
 
 def hold_from(text: str) -> int:
-    """Where the suffix begins that a later chunk might still make a token of."""
-    m = _PARTIAL.search(text, max(0, len(text) - HOLD))
-    return m.start() if m else len(text)
+    """Where the suffix begins that a later chunk might still make a token of, or fold otherwise."""
+    last = len(text)
+    while last and unicodedata.combining(text[last - 1]):
+        last -= 1
+    last = max(0, last - 1)  # marks may still follow the last character
+    view, starts, _ = fold_text(text)
+    for at in range(max(0, len(view) - HOLD), len(view)):
+        if (view[at] in "<[{" or view[at].isascii() and view[at].isalpha()) and (at == 0 or not _word(view[at - 1]) or view[at] in "<[{") and _open(view, at):
+            return min(last, starts[at] if starts else at)
+    return last
 
 
-def feed(buffer: str, chunk: str, known: dict[tuple[str, int], str], last: bool) -> tuple[str, str]:
-    """(text released, text held)."""
-    text = buffer + chunk
-    cut = len(text) if last else hold_from(text)
-    return restore_text(text[:cut], known)[0], text[cut:]
+def cut(context: str, held: str, chunk: str, last: bool) -> tuple[str, str, str]:
+    """(context, held, released): the context is the character released before, which a token must not follow."""
+    text = held + chunk
+    whole = context + text
+    at = len(whole) if last else max(len(context), hold_from(whole))
+    released = whole[len(context) : at]
+    return (whole[at - 1 : at] if at else ""), whole[at:], released
 
 
-def restore_stream(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
-    """(scope, stream_id, seq, text): restored text of streamed chunks (scope, stream_id, seq, chunk, is_last).
+def segments(chunks: DataFrame) -> DataFrame:
+    """(scope, stream_id, seq, context, text) of streamed chunks (scope, stream_id, seq, chunk, is_last).
 
-    However a reply is cut, the released texts together are the batch result.  Mappings are those known when the
-    query starts, joined to each chunk by scope.  Chunks of a stream come in order of micro-batches; within one
-    they are sorted.
+    The texts of a stream together are its chunks together, however those were cut; no token lies across two of
+    them.  Chunks of a stream come in order of micro-batches; within one they are sorted.  A stream's state is one
+    character and at most what may still become a token; it goes with the last chunk.  For separate runs of one
+    stream (prose, arguments of calls) give each its own stream_id.
     """
-    known = mappings.groupBy("scope").agg(F.to_json(F.collect_list(F.struct("type", "idx", "value"))).alias("known"))
-    rows = chunks.join(known, "scope", "left")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        buffer = state.get[0] if state.exists else ""
+        context, held = state.get if state.exists else ("", "")
         f = pd.concat(list(frames)).sort_values("seq")
         out, done = [], False
-        for seq, chunk, last, js in zip(f["seq"], f["chunk"], f["is_last"], f["known"]):
-            own = {(m["type"], m["idx"]): m["value"] for m in json.loads(js)} if js else {}
-            text, buffer = feed(buffer, chunk or "", own, bool(last))
-            out.append((*key, seq, text))
+        for seq, chunk, last in zip(f["seq"], f["chunk"], f["is_last"]):
+            before = context
+            context, held, text = cut(context, held, chunk or "", bool(last))
+            out.append((*key, seq, before, text))
             done = done or bool(last)
         if done:
             state.remove()
         else:
-            state.update((buffer,))
-        yield pd.DataFrame(out, columns=["scope", "stream_id", "seq", "text"])
+            state.update((context, held))
+        yield pd.DataFrame(out, columns=["scope", "stream_id", "seq", "context", "text"])
+
+    schema = "scope string, stream_id string, seq long, context string, text string"
+    return chunks.groupBy("scope", "stream_id").applyInPandasWithState(run, schema, "context string, held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def restore_segments(pieces: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(scope, stream_id, seq, text): segments restored by the batch operator, their contexts taken off again."""
+    key = F.to_json(F.struct("stream_id", "seq"))
+    # a letter before a segment is told by a digit: neither lets a token follow, and a digit begins none
+    lead = F.when(F.col("context") == "", "").when(F.col("context").rlike("[A-Za-z0-9]"), "0").otherwise(" ")
+    whole = pieces.select("scope", key.alias("response_id"), F.concat(lead, "text").alias("text"), F.length("context").alias("_skip"), "stream_id", "seq")
+    back = restore(whole, mappings).select(F.col("scope").alias("_s"), F.col("response_id").alias("_r"), "restored_text")
+    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("response_id") == F.col("_r"))
+    return whole.join(back, same).select("scope", "stream_id", "seq", F.col("restored_text").substr(F.col("_skip") + 1, F.length("restored_text")).alias("text"))
+
+
+def restore_stream(chunks: DataFrame, mappings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts writing (scope, stream_id, seq, text) below ``path``, a folder a micro-batch; run again, a batch is overwritten.
+
+    Mappings are those known when the query starts.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        restore_segments(batch, mappings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return rows.groupBy("scope", "stream_id").applyInPandasWithState(run, "scope string, stream_id string, seq long, text string", "buffer string", "append", GroupStateTimeout.NoTimeout)
+    return segments(chunks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
