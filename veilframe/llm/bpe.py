@@ -268,6 +268,10 @@ class ByteBPE:
         get = self._words.__getitem__
         return [b"".join(map(get, own)) for own in split]
 
+    def forget(self) -> None:
+        """Gives the caches' memory back: a worker goes on to other tasks, which need it."""
+        self._words, self._pieces = {}, {}
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 

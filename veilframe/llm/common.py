@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from veilframe.functions.shared import scratch, settled, shared_folder  # noqa: F401
+
 #: Where the public tokenizer files are; a parameter of every operator that needs one.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settings(spark: SparkSession) -> None:
     """Rows come to Python in batches that stay small though some texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def by_batches(rows: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: str) -> DataFrame:
@@ -54,27 +55,6 @@ def fold(col: Column, of: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % of, F.lit(-1))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, which has to be set."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once, its rows in the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def parts_for(spark: SparkSession, n_bytes: int, each: int) -> int:
     """So many partitions that each holds about ``each`` bytes; at least those the session asks for."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))

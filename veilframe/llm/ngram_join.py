@@ -48,7 +48,7 @@ EXTRA = 0.15
 #: Documents that make an element hot: it comes last in the order that prefixes are taken in.
 HOT = 64
 #: Elements a block of a cluster holds, about.
-BLOCK = 150_000
+BLOCK = 400_000
 _U = np.uint64
 
 
@@ -430,7 +430,8 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         # A probe goes to those blocks that hold a set of another component with an element of its prefix, if that
         # may be their first common one: sizes are near enough, and as much follows it in both as they must share.
         placed = prefix.join(_side(label.select("doc_id", "cluster", "block", "component", "n"), 128), "doc_id")
-        there = placed.groupBy("element", F.col("block").alias("to")).agg(
+        # sets of about one size together, so that the filter by sizes stays sharp
+        there = placed.groupBy("element", F.col("block").alias("to"), F.floor(F.log(1.2, "n")).alias("about")).agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest")
         )
         fits = (F.col("least_n") * SIMILAR <= 100 * F.col("n")) & (F.col("n") * SIMILAR <= 100 * F.col("most_n"))

@@ -101,6 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
                 out, base = flush(pieces, base)
                 pieces = []
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
+        bpe.forget()
         if pieces:
             yield pa.RecordBatch.from_pydict(flush(pieces, base)[0], schema=kinds)
 

@@ -99,6 +99,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     idx.write(np.array([key or 0, at, len(payload)], "<i8").tobytes())
                     at += _HEAD + len(payload) + _TAIL
                     n, tokens = n + 1, tokens + len(ids)
+        bpe.forget()
         for kind in ("rec", "idx"):
             store.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_records": [n], "n_tokens": [tokens]})

@@ -30,6 +30,7 @@ DISCOUNT = 0.75
 #: Letters of the longest gram; words whose difference a task remembers; words of a stretch.
 ORDER = 6
 CACHE = 400_000
+CHUNK = 1 << 20
 STRETCH = 30
 THRESHOLD = 0.3
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -50,11 +51,11 @@ class Model:
                 for w in set(words(t)):
                     seen[w] = seen.get(w, 0) + 1
         every = sorted(set().union(*counts))
-        keys = self._keys(every)
-        n_letters = [len(w) + 1 for w in every]
+        keys, times = self._gram_counts(every, [np.array([seen.get(w, 0) for w in every], float) for seen in counts])
+        del every
         # Shared continuation counts: of each shorter gram, how many letters stand before it in some word of either class.
         self.low: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        longer = np.unique(keys)
+        longer = keys
         grams = {}
         for k in range(ORDER - 1, 0, -1):
             grams[k] = np.unique(longer & np.uint64((1 << 8 * k) - 1), return_counts=True)
@@ -65,15 +66,26 @@ class Model:
             below = self._level(gram, n.astype(float), k, below)
             self.low.append(below)
         self.top = []
-        for seen in counts:
-            weight = np.repeat([seen.get(w, 0) for w in every], n_letters).astype(float)
-            gram, inv = np.unique(keys, return_inverse=True)
-            n = np.bincount(inv, weight, minlength=len(gram)) if len(gram) else np.empty(0)
-            self.top.append(self._level(gram[n > 0], n[n > 0], ORDER, below))
+        for n in times:
+            self.top.append(self._level(keys[n > 0], n[n > 0], ORDER, below))
         self.known: dict[bytes, float] = {}
         self.weights = np.array([0.0, 1.0, 0.0, 0.0, 0.0])
         self.mean, self.sd = np.zeros(4), np.ones(4)
 
+    @classmethod
+    def _gram_counts(cls, words: list[bytes], weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct longest grams of words, and how often each occurs by each of the weights; some words at a time."""
+        grams, sums = [np.empty(0, np.uint64)], [[np.empty(0)] for _ in weights]
+        for i in range(0, len(words), 50_000):
+            part = slice(i, i + 50_000)
+            some, inv = np.unique(cls._keys(words[part]), return_inverse=True)
+            letters = [len(w) + 1 for w in words[part]]
+            grams.append(some)
+            for s, w in zip(sums, weights):
+                s.append(np.bincount(inv, np.repeat(w[part], letters), minlength=len(some)))
+        every, inv = np.unique(np.concatenate(grams), return_inverse=True)
+        return every, [np.bincount(inv, np.concatenate(s), minlength=len(every)) for s in sums]
+
     @staticmethod
     def _keys(words: list[bytes]) -> np.ndarray:
         """The longest gram that ends at each letter of each word, end mark included, packed into an integer."""
@@ -193,14 +205,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with score and predicted; empty and null texts get the score of no evidence, and 0 where nothing was learned.
 
-    Columns of docs stay; of these, score and predicted are replaced.
+    Equal texts get equal scores, repeated rows stay, and a score at the threshold counts as toxic.  Columns of docs
+    stay; of these, score and predicted are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_CLASS documents
     keep = docs.drop("score", "predicted")
 
     def run(text: pd.Series) -> pd.Series:
-        m = held.value
-        return pd.Series(m.scores([words(t) for t in text]) if m is not None else np.zeros(len(text)))
+        m, out, texts, i = held.value, [np.empty(0)], text.tolist(), 0
+        while m is not None and i < len(texts):  # about so many characters are cut into words at once
+            j, n = i, 0
+            while j < len(texts) and n < CHUNK:
+                n += len(texts[j] or "") + 1
+                j += 1
+            out.append(m.scores([words(t) for t in texts[i:j]]))
+            i = j
+        return pd.Series(np.concatenate(out) if m is not None else np.zeros(len(texts)))
 
     out = keep.withColumn("score", F.pandas_udf(run, "double")("text"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
