@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,14 @@ def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system: a worker lives on, and its next tasks and neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_batches(rows: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: str) -> DataFrame:
     """rows, an Arrow batch at a time, through the function that ``make`` gives once a task.
 
@@ -46,6 +55,7 @@ def by_batches(rows: DataFrame, make: Callable[[], Callable[[dict[str, list]], I
             if b.num_rows:
                 for out in one({name: c.to_pylist() for name, c in zip(b.schema.names, b.columns)}):
                     yield pa.RecordBatch.from_pydict(out, schema=kinds)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, settings
+from .common import fold, give_back, settings
 from .samples import labelled_sample
 
 WINDOW = 192
@@ -170,6 +170,7 @@ def predict(docs: DataFrame, model: Tables | None) -> DataFrame:
                 p = None if t is None else next(prob)
                 out.append(("und", 0.0) if p is None else (m.labels[int(p.argmax())], float(min(1.0, p.max()))))
             i = j
+        give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     guess = F.pandas_udf(run, "lang_pred string, score double")

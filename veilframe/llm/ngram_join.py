@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, scratch, settings, settled
+from .common import give_back, parts_for, scratch, settings, settled
 from .components import components
 
 WORDS = 5
@@ -181,6 +181,7 @@ def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame
                     at = order[i:j]
                     rows.append((k, name, ids if own else b"", len(sets), sizes if own else b"", tok[at].astype("<u8").tobytes(), loc[at].tobytes(), count[at].tobytes() if whole else b"", here.astype("<i4").tobytes() if own else b"", hot[0] if own else b""))
             batch += 1
+            give_back()
             yield pd.DataFrame(rows, columns=["part", "batch", "ids", "many", "ns", "tok", "loc", "count", "here", "hot"])
 
     def answer(f: pd.DataFrame) -> pd.DataFrame:
@@ -206,6 +207,7 @@ def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame
             more = loc[busy].astype("<i4").tobytes() + t[busy].tobytes()
             some = np.flatnonzero(number)
             out.append((batch, ids, ns, some.astype("<i4").tobytes() + number[some].astype("<i4").tobytes(), [b for b in (more, hot) if b]))
+        give_back()
         return pd.DataFrame(out, columns=["batch", "ids", "ns", "number", "hot"])
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:

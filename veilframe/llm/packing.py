@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .bpe import by_library
+from .common import give_back
 
 #: Pieces that are packed at once; a partition with more is packed in several rounds.
 ROUND = 250_000
@@ -102,6 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
                 pieces = []
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
         bpe.forget()
+        give_back()
         if pieces:
             yield pa.RecordBatch.from_pydict(flush(pieces, base)[0], schema=kinds)
 

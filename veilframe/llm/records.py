@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_library
-from .common import scratch
+from .common import give_back, scratch
 
 _MASK = 0xA282EAD8  # fixed value
 _HEAD, _TAIL = 12, 4
@@ -100,6 +100,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
                     at += _HEAD + len(payload) + _TAIL
                     n, tokens = n + 1, tokens + len(ids)
         bpe.forget()
+        give_back()
         for kind in ("rec", "idx"):
             store.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_records": [n], "n_tokens": [tokens]})

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, settings
+from .common import fold, give_back, settings
 from .samples import labelled_sample
 
 #: Documents of each class that the models are fitted on; of these, the share that fits the logistic function.
@@ -220,6 +220,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 j += 1
             out.append(m.scores([words(t) for t in texts[i:j]]))
             i = j
+        give_back()
         return pd.Series(np.concatenate(out) if m is not None else np.zeros(len(texts)))
 
     out = keep.withColumn("score", F.pandas_udf(run, "double")("text"))
