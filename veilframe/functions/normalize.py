@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 NORMALIZED = "struct<text:string,starts:array<int>,ends:array<int>>"
 ASCII = r"^\p{ASCII}*$"
+_BEYOND = re.compile("[\u0300-\U0010ffff]")
 
 
 def fold_text(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -17,7 +19,8 @@ def fold_text(text: str) -> tuple[str, list[int] | None, list[int] | None]:
 
     A character and the combining marks behind it fold together, so all characters of a fold share one span.
     """
-    if text.isascii() or unicodedata.is_normalized("NFKC", text):
+    marks = _BEYOND.search(text) and any(map(unicodedata.combining, text))  # none are below
+    if text.isascii() or unicodedata.is_normalized("NFKC", text) and not marks:
         return text, None, None
     out, starts, ends, i, n = [], [], [], 0, len(text)
     while i < n:

@@ -23,7 +23,7 @@ def spans(text: Column, pattern: str | Column, grouped: bool = False) -> Column:
     # before, value, before, value, ..., rest
     fold = lambda pieces: F.aggregate(
         pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.from_json(F.lit("[]"), SPAN).alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(SPAN).alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x)).alias("at"),
             (~acc["inside"]).alias("inside"),
@@ -32,7 +32,7 @@ def spans(text: Column, pattern: str | Column, grouped: bool = False) -> Column:
         lambda acc: acc["out"],
     )
     pieces = F.split(marked, f"[{_MARKS}]", -1)
-    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, fold(p)).otherwise(F.from_json(F.lit("[]"), SPAN)))[0]
+    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, fold(p)).otherwise(F.array().cast(SPAN)))[0]
 
 
 def overlap(a: Column, b: Column) -> Column:

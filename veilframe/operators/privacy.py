@@ -5,6 +5,7 @@ Everything up to the decision is one pass over a row and shuffles nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
@@ -47,7 +48,7 @@ class Policy:
 
 
 def _none() -> Column:
-    return F.from_json(F.lit("[]"), DETS)
+    return F.array().cast(DETS)
 
 
 def detection(span: Column, kind: str | Column, confidence: float | Column, source: str, rule: str | Column, severity: Column | None = None, category: Column | None = None) -> Column:
@@ -102,6 +103,12 @@ def literal_placeholders(text: Column) -> Column:
     return F.when(text.contains("_"), F.transform(spans(text, PLACEHOLDER), lambda x: detection(x, "TEXT", 1.0, "literal", "literal.TEXT"))).otherwise(_none())
 
 
+@functools.lru_cache(maxsize=16)
+def _built(rules: tuple[Rule, ...], session: object) -> Column:
+    """``detections`` over the columns that ``detect`` prepares; building it for many rules takes the driver some seconds."""
+    return detections(F.col("_text"), list(rules), F.col("_low"), F.col("_run"))
+
+
 SEEDS = ("PERSON", "COMPANY_NAME", "PROJECT_NAME", "EMPLOYEE_ID")
 
 
@@ -163,7 +170,7 @@ def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool =
     df = df.withColumn("_text", F.coalesce(F.col("_norm.text"), "text") if normalize else F.col("text"))
     df = df.withColumn("_low", F.lower("_text")).withColumn("_run", longest_digits(F.col("_text")))
     text = F.col("_text")
-    df = df.withColumn("_hits", detections(text, rules, F.col("_low"), F.col("_run")))
+    df = df.withColumn("_hits", _built(tuple(rules), texts.sparkSession))
     if co_occurrence:
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(co_occurrences(text, F.col("_hits")), _none())))
     if secrets:

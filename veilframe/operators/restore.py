@@ -19,7 +19,7 @@ from .privacy import occurrences
 BLANKS, NAME, PART, PARTS, DIGITS = 4, 62, 30, 4, 6
 _B = rf"[ \t]{{0,{BLANKS}}}"
 CORE = rf"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9]{{0,{NAME}}}(?:{_B}[_-]{_B}[A-Za-z][A-Za-z0-9]{{0,{PART}}}){{0,{PARTS}}}{_B}[\s_-]{_B}[0-9]{{1,{DIGITS}}}(?![A-Za-z0-9])"
-STRICT = r"^<([A-Z][A-Z0-9_]{0,62})_([0-9]{3,6})>$"
+STRICT = r"^<([A-Z][A-Z0-9_]{0,62})_([0-9]{3,6})>\z"
 TOKENS = "array<struct<start:int,end:int,type:string,idx:int,whole:boolean,surface:string>>"
 
 
@@ -34,7 +34,7 @@ def tokens(text: Column, norm: Column) -> Column:
     view = F.coalesce(norm["text"], text)
 
     def whole(x: Column) -> Column:
-        before = F.regexp_extract(view.substr(F.greatest(x["start"] - BLANKS, F.lit(1)), F.least(x["start"], F.lit(BLANKS + 1))), rf"([<\[{{]{_B})$", 1)
+        before = F.regexp_extract(view.substr(F.greatest(x["start"] - BLANKS, F.lit(1)), F.least(x["start"], F.lit(BLANKS + 1))), rf"([<\[{{]{_B})\z", 1)
         after = F.regexp_extract(view.substr(x["end"] + 1, F.lit(BLANKS + 1)), rf"^({_B}[>\]}}])", 1)
         pair = F.concat(F.substring(before, 1, 1), F.substring(after, -1, 1)).isin("<>", "[]", "{}")
         at = F.when(pair, x["start"] - F.length(before)).otherwise(x["start"])

@@ -106,8 +106,8 @@ ENGLISH = _pack("en", [
     ("POSTAL_CODE", rf"(?i)((?:zip(?: code)?|postal code|postcode){_LABEL})([0-9]{{5}}(?:-[0-9]{{4}})?|[A-Z]{{1,2}}[0-9][A-Z0-9]? ?[0-9][A-Z]{{2}})", 0.9, _G | {"need": ("zip", "postal code", "postcode")}),
     ("POSTAL_CODE", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}(?![A-Za-z0-9])", 0.7, {"digits": 1}),
     ("DATE_OF_BIRTH", rf"(?i)((?:date of birth|dob|born(?: on)?){_LABEL})([0-9]{{1,4}}[/.-][0-9]{{1,2}}[/.-][0-9]{{1,4}}|[A-Z][a-z]{{2,8}} [0-9]{{1,2}}, [0-9]{{4}})", 0.9, _G | {"need": ("date of birth", "dob", "born")}),
-    ("ADDRESS", rf"(?<![0-9])[0-9]{{1,5}} (?:{_CAP} ){{1,4}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way)\b", 0.7, {"digits": 1}),
-    ("COMPANY_NAME", rf"(?<![A-Za-z])(?:{_CAP} ){{1,4}}(?:Inc|LLC|Ltd|Corp|Corporation|GmbH|PLC)\b", 0.7, {"validator": "no_opener", "need": (" inc", " llc", " ltd", " corp", " gmbh", " plc")}),
+    ("ADDRESS", rf"(?<![0-9])[0-9]{{1,5}} (?:{_CAP} ){{1,4}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way)(?![A-Za-z0-9_])", 0.7, {"digits": 1}),
+    ("COMPANY_NAME", rf"(?<![A-Za-z])(?:{_CAP} ){{1,4}}(?:Inc|LLC|Ltd|Corp|Corporation|GmbH|PLC)(?![A-Za-z0-9_])", 0.7, {"validator": "no_opener", "need": (" inc", " llc", " ltd", " corp", " gmbh", " plc")}),
     ("EMPLOYEE_ID", rf"(?i)((?:employee|staff)(?: id| no\.?| number){_LABEL})([A-Z0-9-]{{3,20}})", 0.9, _G | {"need": ("employee", "staff")}),
     ("PROJECT_NAME", rf"(Project )({_CAP})", 0.5, _G | {"need": "project "}),
     ("PROJECT_NAME", rf"(?i)(project(?: name)?{_LABEL})([A-Z][A-Za-z0-9 -]{{1,40}})", 0.5, _G | {"need": "project"}),
@@ -126,7 +126,7 @@ JAPANESE = _pack("ja", [
     ("POSTAL_CODE", r"(〒\s{0,2})([0-9]{3}-?[0-9]{4})", 0.9, _G | {"need": "〒"}),
     ("ADDRESS", rf"{_HAN}{{2,3}}[都道府県][{_HAN}\p{{IsHiragana}}\p{{IsKatakana}}ヶ]{{1,20}}[市区町村][{_HAN}\p{{IsHiragana}}\p{{IsKatakana}}0-9-]{{0,30}}[0-9](?:-[0-9]{{1,4}}){{0,3}}", 0.7, {"digits": 1}),
     ("DATE_OF_BIRTH", rf"(生年月日{_LABEL}|生年月日は)((?:[0-9]{{4}}|[昭平令]{_HAN}[0-9]{{1,2}})[年/.-][0-9]{{1,2}}[月/.-][0-9]{{1,2}}日?)", 0.9, _G | {"need": "生年月日"}),
-    ("MY_NUMBER", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9 -])", 0.9, {"validator": "my_number", "digits": 4}),
+    ("MY_NUMBER", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9]|[ -][0-9])", 0.9, {"validator": "my_number", "digits": 4}),
     ("COMPANY_NAME", rf"(?:株式会社|有限会社|合同会社)[{_HAN}\p{{IsKatakana}}A-Za-z0-9ー]{{1,20}}|[{_HAN}\p{{IsKatakana}}A-Za-z0-9ー]{{1,20}}(?:株式会社|有限会社|合同会社)", 0.9, {"need": ("株式会社", "有限会社", "合同会社")}),
     ("COMPANY_NAME", rf"[{_HAN}\p{{IsKatakana}}ー]{{2,20}}(?:商事|工業|製作所|銀行|電機|建設)", 0.7, {"need": ("商事", "工業", "製作所", "銀行", "電機", "建設")}),
     ("EMPLOYEE_ID", rf"((?:社員番号|従業員番号|職員番号){_LABEL})([A-Za-z0-9-]{{3,20}})", 0.9, _G | {"need": "番号"}),

@@ -31,6 +31,14 @@ def windows(text: str, size: int, overlap: int = 400) -> list[tuple[int, str]]:
     return out
 
 
+def longest_whole(size: int, overlap: int = 400) -> int:
+    """Length up to which every value lies whole in some window; windows that promise less than 64 are refused."""
+    whole = min(overlap, size // 2)
+    if whole < 64:
+        raise ValueError("windows must keep values of 64 characters whole")
+    return whole
+
+
 def explode_windows(texts: DataFrame, size: int = 8000, overlap: int = 400) -> DataFrame:
     """texts with a row per window: offset and window replace text."""
     cut = F.pandas_udf(lambda s: pd.Series([[{"offset": a, "window": w} for a, w in windows(t or "", size, overlap)] for t in s]), "array<struct<offset:int,window:string>>")

@@ -65,6 +65,7 @@ def walk_pattern(rule: Rule) -> str:
         rest = f"({rest[: ahead.start()]}){ahead[0]}" if ahead else f"({rest})"
     rest = re.sub(r"\(\?!(\[[^\]]*\]|\\p\{Han\})\)$", lambda m: "(?:[^" + m[1].removeprefix("[").removesuffix("]") + "]|$)", rest)
     rest = rest.replace(r"(?![0-9]|\.[0-9])", r"(?:$|[^0-9.]|\.(?:$|[^0-9]))")
+    rest = rest.replace("(?![0-9]|[ -][0-9])", "(?:$|[^0-9 -]|[ -](?:$|[^0-9]))")
     rest = re.sub(r"\(\?=", "(?:", rest)
     return rf"{flags}^([\s\S]{'*' if prefix.startswith('[^') else '+'}?(?:{prefix})){rest}"
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from veilframe.operators.evaluate import parse_annotated
 from veilframe.operators.mappings import COLUMNS
 from veilframe.operators.privacy import detection, occurrences
 from veilframe.operators.restore import parse_token
@@ -122,10 +124,6 @@ DATASET = "format_version int, name string, locale string, samples array<struct<
 
 def read_datasets(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, locale, sample_id, text, gold) of labelled JSON files; other versions, missing texts, broken marks and repeated ids are errors."""
-    from veilframe.operators.evaluate import parse_annotated
-
-    import pandas as pd
-
     files_ = spark.read.option("multiLine", "true").option("mode", "FAILFAST").schema(DATASET).json(path)
     rows = files_.withColumn("s", F.explode("samples")).select("format_version", F.col("name").alias("dataset"), "locale", F.col("s.id").alias("sample_id"), F.col("s.annotated").alias("annotated"))
     fine = (F.col("format_version") == 1) & F.col("sample_id").isNotNull() & F.col("annotated").isNotNull()
@@ -148,7 +146,7 @@ SUFFIXES = "png jpg jpeg gif webp ico pdf zip gz bz2 xz 7z tar whl so dll dylib
 
 
 def files(spark: SparkSession, path: str, exclude: tuple[str, ...] = (), max_bytes: int = 1_000_000) -> DataFrame:
-    """(path, text, skip_reason) of every file below path; binary, large, excluded and tool-made files are named, not read.
+    """(path, text, skip_reason) of every file below path that isn't empty; binary, large, excluded and tool-made files are named, not read.
 
     ``exclude`` are patterns with * and ? on the path below ``path`` or on the file's name.
     """

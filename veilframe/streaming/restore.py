@@ -29,8 +29,9 @@ def _word(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def _open(text: str, at: int) -> bool:
-    """Whether what begins at ``at``, an opening bracket or a name, reaches the end of the text and may go on as a token."""
+def _open(text: str, at: int, limit: int) -> bool:
+    """Whether what begins at ``at``, an opening bracket or a name, may be a token that goes on behind the text, or is one
+    that goes beyond ``limit``."""
     n, blank = len(text), lambda c: c in " \t"
     if text[at] in "<[{":
         at = _run(text, at + 1, blank, BLANKS)
@@ -55,7 +56,10 @@ def _open(text: str, at: int) -> bool:
             return True
         if text[at] in "0123456789":
             end = _run(text, at, lambda c: c in "0123456789", DIGITS)
-            return end == n or not _word(text[end]) and _run(text, end, blank, BLANKS) == n
+            if end == n or _word(text[end]):
+                return end == n
+            close = _run(text, end, blank, BLANKS)
+            return close == n or (close + 1 if text[close] in ">]}" else end) > limit
         if not (joined and text[at].isascii() and text[at].isalpha()):
             return False
         at = _run(text, at, _word, PART + 1)
@@ -69,10 +73,18 @@ def hold_from(text: str) -> int:
         last -= 1
     last = max(0, last - 1)  # marks may still follow the last character
     view, starts, _ = fold_text(text)
-    for at in range(max(0, len(view) - HOLD), len(view)):
-        if (view[at] in "<[{" or view[at].isascii() and view[at].isalpha()) and (at == 0 or not _word(view[at - 1]) or view[at] in "<[{") and _open(view, at):
-            return min(last, starts[at] if starts else at)
-    return last
+    limit = next((i for i, k in enumerate(starts) if k >= last), len(view)) if starts else last
+    at = last
+    for k in range(max(0, len(view) - HOLD), len(view)):
+        if (view[k] in "<[{" or view[k].isascii() and view[k].isalpha() and (k == 0 or not _word(view[k - 1]))) and _open(view, k, limit):
+            at = min(last, starts[k] if starts else k)
+            break
+    # a word is not cut, for what follows a number decides whether it ends a token
+    word = lambda c: any(map(_word, unicodedata.normalize("NFKC", c)))
+    back = at
+    while 0 < back < len(text) and len(text) - back < HOLD and word(text[back - 1]) and word(text[back]):
+        back -= 1
+    return back
 
 
 def cut(context: str, held: str, chunk: str, last: bool) -> tuple[str, str, str]:
