@@ -31,6 +31,8 @@ from .common import by_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries a cache may hold before it starts anew.
 CACHE_WORDS = 400_000
+#: Characters of the texts that are cut up at once.
+GROUP = 2 << 20
 _WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
@@ -53,7 +55,7 @@ class ByteBPE:
         self.vocab = {bytes(as_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t.encode() not in self.special}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.rank: dict[tuple[bytes, bytes], int] = {}
-        for k, m in enumerate(spec["model"]["merges"]):
+        for k, m in enumerate(spec["model"]["merges"] if encoder is None else ()):  # the library has its own
             a, b = m.split(" ") if isinstance(m, str) else m
             self.rank[bytes(as_byte[c] for c in a), bytes(as_byte[c] for c in b)] = k
         self.dtype = np.dtype("<u2" if max(self.token) < 1 << 16 else "<u4")
@@ -74,7 +76,8 @@ class ByteBPE:
         self._pattern = regex.compile(PATTERN)
         self._encoder = encoder
         self.n_bytes = np.array([len(self.token.get(i, b"")) for i in range(max(self.token) + 1)])
-        self._rank_table()
+        if encoder is None:
+            self._rank_table()
         self._words: dict[bytes, bytes] = {}
         self._pieces: dict[bytes, bytes] = {}
 
@@ -244,6 +247,18 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null is empty.  Special tokens' strings become their ids, as by default."""
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):  # about so many characters are cut up at once
+            j, n = i, 0
+            while j < len(texts) and n < GROUP:
+                n += len(texts[j] or "") + 1
+                j += 1
+            out += self._encode_group(texts[i:j])
+            i = j
+        return out
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[bytes]] = []
         marks = {}
         for t in texts:
