@@ -240,7 +240,7 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.slots(_requests(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "status", "path", "where", "is_key", F.md5("text").alias("digest"))
+    return J.slots(_requests(spark, sf_dir)).select(F.col("payload_id").alias("doc_id"), "status", "path", F.col("where").alias("field"), "is_key", F.md5("text").alias("digest"))
 
 
 def _in_scope(texts: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def restored_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit('{"choices":[{"message":{"role":"assistant","content":"to <EMAIL_001>","tool_calls":[{"id":"c","type":"function","function":{"name":"f","arguments":"{\\"to\\":\\"<EMAIL_001>\\"}"}}]},"finish_reason":"stop"}]}')
     replies = decided.select(F.col("turn").alias("payload_id"), "scope", one.alias("payload"))
     out = J.restore_replies(replies, lambda t: R.restore(t, maps))
-    return out.groupBy("status", F.get_json_object("payload", "$.choices[0].message.content").alias("content"), F.get_json_object(F.get_json_object("payload", "$.choices[0].message.tool_calls[0].function.arguments"), "$.to").alias("to")).agg(F.count("*").alias("n"))
+    return out.groupBy("status", F.get_json_object("payload", "$.choices[0].message.content").alias("content"), F.get_json_object(F.get_json_object("payload", "$.choices[0].message.tool_calls[0].function.arguments"), "$.to").alias("recipient")).agg(F.count("*").alias("n"))
 
 
 # model answers
@@ -387,7 +387,7 @@ def _sql(doc: Column | None = None) -> dict[str, str]:
           SELECT scope, type, replies * n - held AS n FROM (SELECT scope, type, count(*) AS n FROM m GROUP BY ALL) JOIN r USING (scope) JOIN h USING (scope, type) WHERE replies * n > held""",
         "restoration_records": _REPLIES + " SELECT scope, false AS clean, count(DISTINCT type || idx)::INT AS restored, count(DISTINCT CASE WHEN turn % 4 <> 0 THEN type || idx END)::INT AS tampered, 'PERSON_999' AS unknown FROM own GROUP BY scope",
         "streamed_replies": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
-        "payload_slots": """SELECT doc_id, 'invalid' AS status, NULL AS path, NULL AS "where", NULL::BOOLEAN AS is_key, NULL AS digest FROM documents WHERE doc_id % 7 = 0
+        "payload_slots": """SELECT doc_id, 'invalid' AS status, NULL AS path, NULL AS field, NULL::BOOLEAN AS is_key, NULL AS digest FROM documents WHERE doc_id % 7 = 0
           UNION ALL SELECT doc_id, 'ok', path, w, k, md5(t) FROM (
             SELECT doc_id, '["model"]' AS path, 'plain' AS w, false AS k, 'm' AS t FROM documents WHERE doc_id % 7 <> 0
             UNION ALL SELECT doc_id, '["messages", 0, "role"]', 'plain', false, 'user' FROM documents WHERE doc_id % 7 <> 0
@@ -396,7 +396,7 @@ def _sql(doc: Column | None = None) -> dict[str, str]:
             UNION ALL SELECT doc_id, '["note"]', NULL, false, 'write to odd@example.com' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0
             UNION ALL SELECT doc_id, '[]', NULL, true, 'note' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0)""",
         "protected_requests": _ENTITIES + """SELECT status, count(*) AS n, 0::BIGINT AS open, count(*) AS json FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'invalid' WHEN doc_id % 5 = 0 OR doc_id IN (SELECT turn FROM blocked) THEN 'blocked' ELSE 'ok' END AS status FROM documents) GROUP BY status""",
-        "restored_chats": _ALLOC + """ SELECT 'ok' AS status, 'to ' || coalesce(v, '<EMAIL_001>') AS content, coalesce(v, '<EMAIL_001>') AS "to", count(*) AS n FROM documents LEFT JOIN (SELECT scope, value AS v FROM m WHERE type = 'EMAIL' AND idx = 1) ON scope = lang GROUP BY ALL""",
+        "restored_chats": _ALLOC + """ SELECT 'ok' AS status, 'to ' || coalesce(v, '<EMAIL_001>') AS content, coalesce(v, '<EMAIL_001>') AS recipient, count(*) AS n FROM documents LEFT JOIN (SELECT scope, value AS v FROM m WHERE type = 'EMAIL' AND idx = 1) ON scope = lang GROUP BY ALL""",
         "model_answers": f"""SELECT doc_id, CASE WHEN f = '' THEN 0 ELSE len(list_filter(regexp_extract_all(text, '{EMAIL}'), lambda v: v = f)) END::INT AS found, f = '' AS unparsable, CASE WHEN f = '' THEN 0 ELSE 2 END::INT AS rejected FROM (SELECT *, regexp_extract(text, '{EMAIL}', 0) AS f FROM documents WHERE text IS NOT NULL)""",
         "unanswered_questions": """WITH q AS (SELECT doc_id, sha256('m' || chr(0) || 'find' || chr(0) || coalesce(text, '')) AS key FROM documents) SELECT DISTINCT key FROM q WHERE key NOT IN (SELECT key FROM q WHERE doc_id % 3 = 0)""",
         "evaluation_report": _EVAL + f""", c AS (SELECT lang AS dataset, sum(length(text)) AS chars FROM documents WHERE text IS NOT NULL GROUP BY lang), t AS (SELECT dataset, sum(CASE WHEN type = 'PHONE' THEN length(v) END) AS may FROM g GROUP BY dataset),
