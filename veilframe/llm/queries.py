@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_forest, html, language, mixing, ngram_join, packing, prefix_trie, records, tiff, toxicity, url_rules
+from . import bpe, embedding_forest, filter_audit, html, language, mixing, ngram_join, packing, prefix_trie, records, tiff, toxicity, url_rules
 from .common import settings, table, tokenizer_path
 
 
@@ -62,5 +62,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_html, op4_mixing, op5_bpe, op6_toxicity, op7_tiff, op8_ngram_join, op9_packing, op10_forest, op11_url_rules, op12_prefix_trie)}
-ORACLE_SQL: dict[str, str] = {"op8_ngram_join": ngram_join.ORACLE_SQL, "op10_forest": embedding_forest.ORACLE_SQL, "op11_url_rules": url_rules.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_records, op3_html, op4_mixing, op5_bpe, op6_toxicity, op7_tiff, op8_ngram_join, op9_packing, op10_forest, op11_url_rules, op12_prefix_trie, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op8_ngram_join": ngram_join.ORACLE_SQL, "op10_forest": embedding_forest.ORACLE_SQL, "op11_url_rules": url_rules.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}
