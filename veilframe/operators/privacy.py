@@ -8,12 +8,17 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from veilframe.functions.checks import VALIDATORS, preview
+from veilframe.functions.intervals import FOUND, NUMBERS, IntervalSet, let, places_with, settled_overlaps
+from veilframe.functions.literals import Literals
 from veilframe.functions.normalize import normalized, original_end, original_start
 from veilframe.functions.spans import overlap, spans
 
@@ -109,6 +114,48 @@ def _built(rules: tuple[Rule, ...], session: object) -> Column:
     return detections(F.col("_text"), list(rules), F.col("_low"), F.col("_run"))
 
 
+#: Bound on values ruled in by hand: an automaton over so many is held by every task that looks for them.
+MOST_RULINGS = 100_000
+
+
+def _places(dets: Column) -> Column:
+    return F.transform(dets, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end")))
+
+
+def _span(text: Column, o: Column) -> Column:
+    return F.struct(o["start"].alias("start"), o["end"].alias("end"), text.substr(o["start"] + 1, o["end"] - o["start"]).alias("value"))
+
+
+def _taken(places) -> IntervalSet:
+    return IntervalSet((p["start"], p["end"]) for p in places) if places is not None else IntervalSet()
+
+
+@F.pandas_udf(FOUND)
+def _find_seeds(text: pd.Series, seeds: pd.Series, taken: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or s is None else Literals(s).claimed(t, _taken(p)) for t, s, p in zip(text, seeds, taken)], dtype=object)
+
+
+@F.pandas_udf(NUMBERS)
+def _free(places: pd.Series, taken: pd.Series) -> pd.Series:
+    def one(spans, claims):
+        if spans is None:
+            return None
+        held = _taken(claims)
+        return [k for k, x in enumerate(spans) if not held.overlaps(x["start"], x["end"])]
+
+    return pd.Series([one(*x) for x in zip(places, taken)], dtype=object)
+
+
+_find_seeds, _free = _find_seeds.asNondeterministic(), _free.asNondeterministic()
+
+
+def unclaimed(hits: Column, taken: Column) -> Column:
+    """Spans of ``hits`` that overlap none of ``taken``; rows where either has none don't leave the JVM."""
+    both = (F.size(hits) > 0) & (F.size(taken) > 0)
+    free = _free(F.when(both, _places(hits)), F.when(both, _places(taken)))
+    return let(F.struct(hits.alias("hits"), free.alias("free")), lambda x: F.when(x["free"].isNull(), x["hits"]).otherwise(F.transform(x["free"], lambda k: F.get(x["hits"], k))))
+
+
 SEEDS = ("PERSON", "COMPANY_NAME", "PROJECT_NAME", "EMPLOYEE_ID")
 
 
@@ -123,40 +170,57 @@ def occurrences(text: Column, value: Column, fold_case: bool = False) -> Column:
 def co_occurrences(text: Column, dets: Column, min_confidence: float = 0.85, min_length: int = 2) -> Column:
     """Occurrences of confident names that nothing claims: the longest names first, then the earliest."""
     seeds = F.filter(dets, lambda d: d["type"].isin(*SEEDS) & (d["confidence"] >= min_confidence) & (F.length(d["value"]) >= min_length))
-    order = F.array_sort(F.transform(seeds, lambda d: F.struct((-F.length(d["value"])).alias("size"), d["start"].alias("start"), d.alias("d"))))
-    sort = F.transform(order, lambda x: x["d"])
+    order = F.transform(F.array_sort(F.transform(seeds, lambda d: F.struct((-F.length(d["value"])).alias("size"), d["start"].alias("start"), d.alias("d")))), lambda x: x["d"])
+    first = let(F.struct(order.alias("d"), F.transform(order, lambda d: d["value"]).alias("v")), lambda x: F.filter(x["d"], lambda d, i: F.array_position(x["v"], d["value"]) == i + 1))
+    asked = F.size(first) > 0
+    found = _find_seeds(F.when(asked, text), F.when(asked, F.transform(first, lambda d: d["value"])), F.when(asked, _places(dets)))
 
-    def one(sorted_: Column) -> Column:
-        values = F.transform(sorted_, lambda d: d["value"])
-        first = F.filter(sorted_, lambda d, i: F.array_position(values, d["value"]) == i + 1)
+    def one(x: Column, o: Column) -> Column:
+        s = F.get(x["first"], o["k"])
+        return detection(_span(text, o), s["type"], s["confidence"], "co_occurrence", F.concat(F.lit("co_occurrence."), s["type"]), s["severity"], s["category"])
 
-        def claim(acc: Column, s: Column) -> Column:
-            free = F.filter(occurrences(text, s["value"]), lambda o: ~F.exists(acc, lambda a: overlap(a, o)))
-            return F.concat(acc, F.transform(free, lambda o: detection(o, s["type"], s["confidence"], "co_occurrence", F.concat(F.lit("co_occurrence."), s["type"]), s["severity"], s["category"])))
+    return let(F.struct(first.alias("first"), found.alias("found")), lambda x: F.when(F.size(x["found"]) > 0, F.transform(x["found"], lambda o: one(x, o))).otherwise(_none()))
 
-        return F.aggregate(first, dets, claim, lambda acc: F.slice(acc, F.size(dets) + 1, F.greatest(F.size(acc) - F.size(dets), F.lit(0))))
 
-    return F.when(F.size(seeds) > 0, one(sort)).otherwise(_none())
+def entropy_runs(text: Column) -> Column:
+    """Runs of high entropy."""
+    return F.filter(spans(text, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=-])"), lambda x: VALIDATORS["high_entropy"](x["value"]))
 
 
-def entropy_hits(text: Column, taken: Column) -> Column:
+def entropy_hits(text: Column, runs: Column, taken: Column) -> Column:
     """Runs of high entropy that nothing else claims; a hash word before one lowers its confidence, else a secret word raises it."""
-    runs = F.filter(spans(text, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,200}={0,2}(?![A-Za-z0-9+/_=-])"), lambda x: VALIDATORS["high_entropy"](x["value"]) & ~F.exists(taken, lambda t: overlap(t, x)))
     before = lambda x: F.lower(text.substr(F.greatest(x["start"] - 60, F.lit(0)) + 1, F.least(x["start"], F.lit(60))))
     level = lambda x: F.when(before(x).rlike(r"sha-?[0-9]|md5|checksum|commit|digest|hash"), 0.5).when(before(x).rlike(r"key|token|secret|password|credential"), 0.7).otherwise(0.5)
-    return F.transform(runs, lambda x: detection(x, "API_KEY", level(x), "entropy", "entropy.API_KEY"))
+    return F.transform(unclaimed(runs, taken), lambda x: detection(x, "API_KEY", level(x), "entropy", "entropy.API_KEY"))
+
+
+def _ruled(always: list[tuple[str, str]]) -> Callable:
+    """Looks for all ruled values in one walk over a text, by an automaton built once a task."""
+
+    @F.pandas_udf(places_with("type", StringType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        literals = Literals(v for v, _ in always)
+        for texts, taken in batches:
+            yield pd.Series([None if t is None else [(s, e, always[k][1]) for s, e, k in literals.claimed(t, _taken(p))] for t, p in zip(texts, taken)], dtype=object)
+
+    return run.asNondeterministic()
 
 
 def ruled_in(text: Column, taken: Column, always: list[tuple[str, str]]) -> Column:
-    """Unclaimed occurrences of values that were ruled sensitive by hand, each of a known type, as certain."""
-    def add(out: Column, value: str, kind: str) -> Column:
-        free = F.filter(occurrences(text, F.lit(value)), lambda o: ~F.exists(out, lambda t: overlap(t, o)))
-        return F.when(text.contains(value), F.concat(out, F.transform(free, lambda o: detection(o, kind, 1.0, "corrections", f"corrections.{kind}")))).otherwise(out)
+    """Unclaimed occurrences of values that were ruled sensitive by hand, each of a known type, as certain.
 
-    out = taken
-    for value, kind in always:
-        out = add(out, value, kind)
-    return F.slice(out, F.size(taken) + 1, F.greatest(F.size(out) - F.size(taken), F.lit(0))) if always else _none()
+    Values earlier in the list claim first.  More than ``MOST_RULINGS`` values, and types nobody knows, are errors.
+    """
+    if not always:
+        return _none()
+    if len(always) > MOST_RULINGS:
+        raise ValueError(f"{len(always)} rulings are more than {MOST_RULINGS}")
+    if unknown := {k for _, k in always} - set(ENTITY_TYPES):
+        raise ValueError(f"unknown types: {sorted(unknown)}")
+    kinds = F.create_map(*(x for k in sorted({k for _, k in always}) for x in (F.lit(k), F.struct(F.lit(ENTITY_TYPES[k][0]).alias("severity"), F.lit(ENTITY_TYPES[k][1]).alias("category")))))
+    found = _ruled(list(always))(text, _places(taken)).alias("found")
+    one = lambda o: detection(_span(text, o), o["type"], 1.0, "corrections", F.concat(F.lit("corrections."), o["type"]), kinds[o["type"]]["severity"], kinds[o["type"]]["category"])
+    return let(found, lambda x: F.when(F.size(x) > 0, F.transform(x, one)).otherwise(_none()))
 
 
 def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool = True, co_occurrence: bool = False, secrets: bool = False, always: list[tuple[str, str]] = ()) -> DataFrame:
@@ -174,7 +238,7 @@ def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool =
     if co_occurrence:
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(co_occurrences(text, F.col("_hits")), _none())))
     if secrets:
-        df = df.withColumn("_hits", F.concat("_hits", F.coalesce(entropy_hits(text, F.col("_hits")), _none())))
+        df = df.withColumn("_runs", entropy_runs(text)).withColumn("_hits", F.concat("_hits", F.coalesce(entropy_hits(text, F.col("_runs"), F.col("_hits")), _none()))).drop("_runs")
     if always:
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(ruled_in(text, F.col("_hits"), list(always)), _none())))
     back = F.col("_hits")
@@ -185,9 +249,14 @@ def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool =
     return df.withColumn("dets", F.concat(back, F.coalesce(literal_placeholders(F.col("text")), _none()))).drop("_norm", "_text", "_low", "_run", "_hits")
 
 
-def corrected(dets: Column, never: Column) -> Column:
-    """dets without values ruled out by hand; a ruling never uncovers a secret."""
-    return F.filter(dets, lambda d: ~F.coalesce(F.array_contains(never, d["value"]), F.lit(False)) | (d["category"] == "SECRET"))
+def ruled_out(d: Column, never: tuple[str, ...]) -> Column:
+    """Whether a detection's value was ruled out by hand; a ruling never uncovers a secret."""
+    return (d["value"].isin(list(never)) if never else F.lit(False)) & (d["category"] != "SECRET")
+
+
+def corrected(dets: Column, never: tuple[str, ...]) -> Column:
+    """dets without values ruled out by hand."""
+    return F.filter(dets, lambda d: ~ruled_out(d, never)) if never else dets
 
 
 def rank_key(d: Column) -> Column:
@@ -201,8 +270,7 @@ def ranked(dets: Column) -> Column:
 
 def resolved(dets: Column) -> Column:
     """Greedy in rank order: a candidate stays unless it overlaps one that stayed.  Losers block nothing."""
-    kept = F.aggregate(ranked(dets), _none(), lambda acc, d: F.when(F.exists(acc, lambda k: overlap(k, d)), acc).otherwise(F.concat(acc, F.array(d))))
-    return F.when(F.size(dets) > 1, F.array_sort(kept)).otherwise(dets)
+    return settled_overlaps(dets)
 
 
 def disjoint(entities: Column) -> Column:
@@ -213,15 +281,13 @@ def disjoint(entities: Column) -> Column:
 def trace(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) -> DataFrame:
     """A row per candidate and what became of it; for displaced ones who won and by which criterion.  Values leave as previews only."""
     sure = F.filter("dets", lambda d: d["confidence"] >= policy.min_confidence)
-    out = F.array(*map(F.lit, never)) if never else F.array().cast("array<string>")
-    df = detected.withColumn("_kept", ranked(resolved(corrected(sure, out)))).withColumn("d", F.explode("dets"))
+    df = detected.withColumn("_kept", ranked(resolved(corrected(sure, never)))).withColumn("d", F.explode("dets"))
     d = F.col("d")
     winner = F.filter("_kept", lambda k: overlap(k, F.col("d")))
     df = df.withColumn("_won", F.get(winner, F.lit(0)))
     w = F.col("_won")
     reason = F.when(w["end"] - w["start"] != d["end"] - d["start"], "length").when(w["severity"] != d["severity"], "severity").when(w["confidence"] != d["confidence"], "confidence").when(w["start"] != d["start"], "start").when(w["source"] != d["source"], "source").otherwise("type")
-    ruled = F.coalesce(F.array_contains(out, d["value"]), F.lit(False)) & (d["category"] != "SECRET")
-    outcome = F.when(d["confidence"] < policy.min_confidence, "below_confidence").when(ruled, "corrected_away").when(w == d, "kept").otherwise("displaced")
+    outcome = F.when(d["confidence"] < policy.min_confidence, "below_confidence").when(ruled_out(d, never), "corrected_away").when(w == d, "kept").otherwise("displaced")
     df = df.withColumn("outcome", outcome)
     shown = F.when(F.col("outcome") == "displaced", F.struct(w["type"].alias("type"), w["start"].alias("start"), w["end"].alias("end"), reason.alias("reason")))
     return df.select("scope", "turn", d["start"].alias("start"), d["end"].alias("end"), d["type"].alias("type"), preview(d["value"]).alias("preview"), d["source"].alias("source"), d["rule"].alias("rule"), d["confidence"].alias("confidence"), "outcome", shown.alias("winner"))
@@ -240,7 +306,7 @@ def decide(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) ->
     confident = F.filter("dets", lambda d: d["confidence"] >= policy.min_confidence)
     action = F.create_map(*[F.lit(x) for pair in policy.actions().items() for x in pair])
     df = detected.withColumn("_unsure", F.exists("dets", lambda d: d["confidence"] < policy.min_confidence) & F.lit(policy.uncertain == "refuse"))
-    df = df.withColumn("_kept", resolved(corrected(confident, F.array(*map(F.lit, never))) if never else confident))
+    df = df.withColumn("_kept", resolved(corrected(confident, never)))
     df = df.withColumn("entities", F.transform("_kept", lambda d: d.withField("action", F.coalesce(F.element_at(action, d["type"]), F.lit(policy.default_action)))))
     status = F.when(F.col("_unsure"), "refused").when(F.exists("entities", lambda e: e["action"] == "block"), "blocked").otherwise("ok")
     return df.withColumn("status", status).drop("_unsure", "_kept", "dets")

@@ -7,13 +7,16 @@ where they make a pair.
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.intervals import FOUND, IntervalSet
+from veilframe.functions.literals import Literals
 from veilframe.functions.normalize import normalized, original_end, original_start
-from veilframe.functions.spans import overlap, spans, splice
-
-from .privacy import occurrences
+from veilframe.functions.spans import spans, splice
 
 # How long the parts of a token may be.
 BLANKS, NAME, PART, PARTS, DIGITS = 4, 62, 30, 4, 6
@@ -52,7 +55,7 @@ def restore(replies: DataFrame, mappings: DataFrame) -> DataFrame:
     Only tokens that the reply's own scope minted are resolved; all claims are made on the reply as received, so what
     is put in is not read again.  Others are unknown: in brackets whatever they name, bare only if their type is in
     use in the scope.  A restored token that isn't written exactly is tampered with.  Surfaces of stand-ins are put
-    back too, where ``mappings`` has them, the longest first and tokens before all.  Replies are joined token by
+    back too, where ``mappings`` has them, in any case and wrapped over a line, the longest first and tokens before all.  Replies are joined token by
     token, so none carries its scope's mappings.  (scope, response_id) is the key of replies; null text is empty.
     """
     df = replies.select("scope", "response_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_norm", normalized(F.col("text")))
@@ -77,16 +80,37 @@ def restore(replies: DataFrame, mappings: DataFrame) -> DataFrame:
     )
 
 
-def _with_surfaces(replies: DataFrame, mappings: DataFrame) -> DataFrame:
-    """replies with claims of stand-ins added.  Stand-ins come from pools of fixed size, so a scope has few of them."""
-    own = mappings.where("surface is not null").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.length("surface")).alias("size"), "surface", "value", F.format_string("%s_%03d", "type", "idx").alias("token")))).alias("_own"))
+def scope_surfaces(mappings: DataFrame) -> DataFrame:
+    """(scope, own): each scope's stand-ins, the longest first.  They come from pools of fixed size, so a scope has few."""
+    return mappings.where("surface is not null").groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.length("surface")).alias("size"), "surface", "value", F.format_string("%s_%03d", "type", "idx").alias("token")))).alias("own"))
+
+
+@functools.lru_cache(maxsize=64)
+def surface_literals(surfaces: tuple[str, ...]) -> Literals:
+    """The automaton over a scope's stand-ins, built once a worker; case and line breaks don't matter."""
+    return Literals(surfaces, fold_case=True, wrapped=True)
+
 
-    def add(acc: Column, s: Column) -> Column:
-        loose = F.filter(occurrences(F.col("text"), s["surface"], fold_case=True), lambda o: ~F.exists(acc, lambda c: overlap(c, o)))
-        return F.concat(acc, F.transform(loose, lambda o: F.struct(o["start"], o["end"], s["value"].alias("shown"), s["token"].alias("token"), F.lit(False).alias("tampered"))))
+@F.pandas_udf(FOUND)
+def _surface_claims(text: pd.Series, taken: pd.Series, surfaces: pd.Series) -> pd.Series:
+    def one(t, places, own):
+        if own is None:
+            return None
+        return surface_literals(tuple(own)).claimed(t, IntervalSet((p["start"], p["end"]) for p in places))
 
-    df = replies.join(own, "scope", "left")
-    return df.withColumn("claims", F.when(F.col("_own").isNull(), F.col("claims")).otherwise(F.array_sort(F.aggregate("_own", F.col("claims"), add)))).drop("_own")
+    return pd.Series([one(*x) for x in zip(text, taken, surfaces)], dtype=object)
+
+
+_surface_claims = _surface_claims.asNondeterministic()
+
+
+def _with_surfaces(replies: DataFrame, mappings: DataFrame) -> DataFrame:
+    """replies with claims of stand-ins added where no token is."""
+    df = replies.join(scope_surfaces(mappings), "scope", "left")
+    places = F.transform("claims", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+    df = df.withColumn("_found", _surface_claims(F.when(F.col("own").isNotNull(), F.col("text")), F.when(F.col("own").isNotNull(), places), F.transform("own", lambda s: s["surface"])))
+    more = F.transform("_found", lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), F.get("own", o["k"])["value"].alias("shown"), F.get("own", o["k"])["token"].alias("token"), F.lit(False).alias("tampered")))
+    return df.withColumn("claims", F.when(F.size("_found") > 0, F.array_sort(F.concat("claims", more))).otherwise(F.col("claims"))).drop("own", "_found")
 
 
 def missing(replies: DataFrame, restored: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -111,12 +111,21 @@ def hand_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SRC.last_rulings(_rulings_log(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"), F.min("value").alias("first_value"))
 
 
+#: Words of ten letters or more that begin with ``th``: a rule that competes with rulings on words.
+LONG_TH = Rule("EMPLOYEE_ID", r"(?<![A-Za-z0-9])th[a-z]{8,}(?![A-Za-z0-9])", 0.9, "custom", id="custom.EMPLOYEE_ID.1")
+
+
+def _word_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of rulings on words: each document's first long one, ruled in or out by turns, in order of documents."""
+    word = F.regexp_extract("text", r"(?<![A-Za-z0-9])([a-z]{10,})(?![A-Za-z0-9])", 1)
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), word.alias("value")).where("value <> ''")
+    return d.select("seq", "value", F.when(F.col("seq") % 2 == 0, "NEVER").otherwise("ALWAYS").alias("verdict"), F.lit("PROJECT_NAME").alias("entity_type"))
+
+
 def ruled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two values ruled by hand, one in and one out: what is found of each where no rule looks for addresses, and where one does."""
-    text = _texts(spark, sf_dir)
-    never, always = ("the",), [("and", "PROJECT_NAME")]
-    word = Rule("EMPLOYEE_ID", r"(?<![A-Za-z0-9])the(?![A-Za-z0-9])", 0.9, "custom", id="custom.EMPLOYEE_ID.1")
-    d = P.decide(P.detect(text, [word], normalize=False, always=always), POLICY, never)
+    """What is found of the words that a log rules in, and what a rule still finds of those it doesn't rule out."""
+    never, always = SRC.hand_rulings(_word_log(spark, sf_dir))
+    d = P.decide(P.detect(_texts(spark, sf_dir), [LONG_TH], normalize=False, always=always), POLICY, never)
     return _entities(d).groupBy("scope", "type", "source").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("docs"))
 
 
@@ -360,7 +369,11 @@ def _sql(doc: Column | None = None) -> dict[str, str]:
           FROM (SELECT *, lower(right(left(text, strpos(text, run) - 1), 60)) AS b FROM v JOIN h USING (id)) WHERE CASE WHEN regexp_matches(run, '^[0-9a-fA-F]+$') THEN bits >= 3 ELSE bits >= 4.5 AND regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') AND regexp_matches(run, '[0-9]') END""",
         "hand_rulings": f"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents), l AS (SELECT value, arg_max(CASE WHEN doc_id % 2 = 0 THEN 'NEVER' ELSE 'ALWAYS' END, doc_id) AS verdict FROM e GROUP BY value)
           SELECT verdict, count(*) AS n, min(value) AS first_value FROM l GROUP BY verdict""",
-        "ruled_texts": """WITH t AS (SELECT lang AS scope, doc_id, len(list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: x = 'and')) AS k FROM documents WHERE text IS NOT NULL) SELECT scope, 'PROJECT_NAME' AS type, 'corrections' AS source, sum(k)::BIGINT AS n, count(*) AS docs FROM t WHERE k > 0 GROUP BY scope""",
+        "ruled_texts": """WITH w AS (SELECT lang AS scope, doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS value FROM documents),
+          l AS (SELECT doc_id, list_filter(string_split_regex(text, '[^A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[a-z]{10,}'))[1] AS value FROM documents),
+          r AS (SELECT value, arg_max(CASE WHEN doc_id % 2 = 0 THEN 'NEVER' ELSE 'ALWAYS' END, doc_id) AS verdict FROM l WHERE value IS NOT NULL GROUP BY value),
+          h AS (SELECT scope, doc_id, regexp_full_match(value, 'th[a-z]{8,}') AS rule, verdict FROM w LEFT JOIN r USING (value))
+          SELECT scope, CASE WHEN rule THEN 'EMPLOYEE_ID' ELSE 'PROJECT_NAME' END AS type, CASE WHEN rule THEN 'custom' ELSE 'corrections' END AS source, count(*) AS n, count(DISTINCT doc_id) AS docs FROM h WHERE CASE WHEN rule THEN verdict IS DISTINCT FROM 'NEVER' ELSE verdict = 'ALWAYS' END GROUP BY ALL""",
         "host_classes": r"""WITH hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, '@([A-Za-z0-9.-]+)', 1)) FROM documents UNION ALL SELECT unnest(regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}')) FROM documents),
           x AS (SELECT regexp_replace(lower(host), '\.$', '') AS h, regexp_matches(h, '^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$') AS ip, CASE WHEN ip THEN list_transform(string_split(h, '.'), lambda o: o::INT) END AS o FROM hosts)
           SELECT CASE WHEN h = 'localhost' OR h LIKE '%.localhost' THEN 'same_host' WHEN ip THEN CASE WHEN h LIKE '127.%' THEN 'same_host' WHEN list_max(o) <= 255 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113)) THEN 'private_network' ELSE 'external' END

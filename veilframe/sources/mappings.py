@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.evaluate import parse_annotated
 from veilframe.operators.mappings import COLUMNS
-from veilframe.operators.privacy import detection, occurrences
+from veilframe.operators.privacy import MOST_RULINGS, detection, occurrences
 from veilframe.operators.restore import parse_token
 from veilframe.operators.rules import ENTITY_TYPES
 
@@ -65,10 +65,6 @@ def last_rulings(corrections: DataFrame) -> DataFrame:
     return corrections.where(fine).groupBy("value").agg(F.max_by(F.struct("verdict", "entity_type"), "seq").alias("r")).select("value", "r.*")
 
 
-#: Rulings a plan can hold: they are written by hand, one at a time.
-MOST_RULINGS = 10_000
-
-
 def hand_rulings(corrections: DataFrame) -> tuple[tuple[str, ...], list[tuple[str, str]]]:
     """(values never to hide, (value, type) always to hide), for ``decide`` and ``detect``; more than MOST_RULINGS are an error."""
     rows = last_rulings(corrections).orderBy("value").limit(MOST_RULINGS + 1).collect()
