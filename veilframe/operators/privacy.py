@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from veilframe.functions.checks import VALIDATORS, preview
-from veilframe.functions.intervals import FOUND, NUMBERS, IntervalSet, let, places_with, settled_overlaps
+from veilframe.functions.intervals import FOUND, NUMBERS, IntervalSet, clear, let, places_with, settled_overlaps
 from veilframe.functions.literals import Literals
 from veilframe.functions.normalize import normalized, original_end, original_start
 from veilframe.functions.spans import overlap, spans
@@ -132,7 +132,17 @@ def _taken(places) -> IntervalSet:
 
 @F.pandas_udf(FOUND)
 def _find_seeds(text: pd.Series, seeds: pd.Series, taken: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or s is None else Literals(s).claimed(t, _taken(p)) for t, s, p in zip(text, seeds, taken)], dtype=object)
+    def one(t, names, claims):
+        if t is None or names is None:
+            return None
+        order = sorted(range(len(names)), key=lambda k: (-len(names[k]["value"]), names[k]["start"]))
+        first: dict[str, int] = {}
+        for k in order:
+            first.setdefault(names[k]["value"], k)
+        which = list(first.values())
+        return [(a, b, which[k]) for a, b, k in Literals(first).claimed(t, _taken(claims))]
+
+    return pd.Series([one(*x) for x in zip(text, seeds, taken)], dtype=object)
 
 
 @F.pandas_udf(NUMBERS)
@@ -170,16 +180,15 @@ def occurrences(text: Column, value: Column, fold_case: bool = False) -> Column:
 def co_occurrences(text: Column, dets: Column, min_confidence: float = 0.85, min_length: int = 2) -> Column:
     """Occurrences of confident names that nothing claims: the longest names first, then the earliest."""
     seeds = F.filter(dets, lambda d: d["type"].isin(*SEEDS) & (d["confidence"] >= min_confidence) & (F.length(d["value"]) >= min_length))
-    order = F.transform(F.array_sort(F.transform(seeds, lambda d: F.struct((-F.length(d["value"])).alias("size"), d["start"].alias("start"), d.alias("d")))), lambda x: x["d"])
-    first = let(F.struct(order.alias("d"), F.transform(order, lambda d: d["value"]).alias("v")), lambda x: F.filter(x["d"], lambda d, i: F.array_position(x["v"], d["value"]) == i + 1))
-    asked = F.size(first) > 0
-    found = _find_seeds(F.when(asked, text), F.when(asked, F.transform(first, lambda d: d["value"])), F.when(asked, _places(dets)))
+    asked = F.size(seeds) > 0
+    bare = F.transform(seeds, lambda d: F.struct(d["start"].alias("start"), d["value"].alias("value")))
+    found = _find_seeds(F.when(asked, text), F.when(asked, bare), F.when(asked, _places(dets)))
 
     def one(x: Column, o: Column) -> Column:
-        s = F.get(x["first"], o["k"])
+        s = F.get(x["seeds"], o["k"])
         return detection(_span(text, o), s["type"], s["confidence"], "co_occurrence", F.concat(F.lit("co_occurrence."), s["type"]), s["severity"], s["category"])
 
-    return let(F.struct(first.alias("first"), found.alias("found")), lambda x: F.when(F.size(x["found"]) > 0, F.transform(x["found"], lambda o: one(x, o))).otherwise(_none()))
+    return let(F.struct(seeds.alias("seeds"), found.alias("found")), lambda x: F.when(F.size(x["found"]) > 0, F.transform(x["found"], lambda o: one(x, o))).otherwise(_none()))
 
 
 def entropy_runs(text: Column) -> Column:
@@ -275,7 +284,7 @@ def resolved(dets: Column) -> Column:
 
 def disjoint(entities: Column) -> Column:
     """Whether spans are in order and none overlaps the next."""
-    return F.forall(F.sequence(F.lit(1), F.greatest(F.size(entities) - 1, F.lit(1))), lambda i: F.coalesce(F.get(entities, i - 1)["end"] <= F.get(entities, i)["start"], F.lit(True)))
+    return clear(entities)
 
 
 def trace(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) -> DataFrame:

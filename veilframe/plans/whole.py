@@ -219,15 +219,13 @@ def restoration_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("scope", "r.clean", F.size("r.restored").alias("restored"), F.size("r.tampered").alias("tampered"), F.concat_ws(",", "r.unknown").alias("unknown"))
 
 
-def streamed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sendable texts, protected, cut into chunks of 1 to 97 characters and streamed: as many as come back as they were."""
-    decided = _slice(spark, sf_dir)
-    maps = settled(M.allocate(decided))
-    sent = M.protect(decided, maps, POLICY).where("status = 'ok' and protected_text is not null")
+def _streamed(decided: DataFrame, sent: DataFrame, maps: DataFrame) -> DataFrame:
+    """Texts that were sent (scope, turn, text), cut into chunks of 97 to 496 characters and streamed: as many as come back as they were."""
+    spark = decided.sparkSession
     size = 97 + F.col("turn") % 400
-    n = F.ceil(F.length("protected_text") / size)
-    cut = sent.select("scope", F.col("turn").cast("string").alias("stream_id"), "turn", "protected_text", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).alias("seq"), size.alias("size"), n.alias("n"))
-    cut = cut.select("scope", "stream_id", "seq", F.col("protected_text").substr((F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("chunk"), (F.col("seq") >= F.col("n") - 1).alias("is_last"))
+    n = F.ceil(F.length("text") / size)
+    cut = sent.select("scope", F.col("turn").cast("string").alias("stream_id"), "turn", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)).alias("seq"), size.alias("size"), n.alias("n"))
+    cut = cut.select("scope", "stream_id", "seq", F.col("text").substr((F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int")).alias("chunk"), (F.col("seq") >= F.col("n") - 1).alias("is_last"))
     source, out, checkpoint = (scratch(spark, x) for x in ("chunks", "restored", "stream"))
     cut.write.parquet(source)
     query = restore_stream(spark.readStream.schema("scope string, stream_id string, seq long, chunk string, is_last boolean").parquet(source), maps, out, checkpoint)
@@ -237,6 +235,28 @@ def streamed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.groupBy("scope").agg(F.count("*").alias("texts"), F.sum((F.col("text") == F.col("was")).cast("long")).alias("unchanged"))
 
 
+def _sent(decided: DataFrame, maps: DataFrame) -> DataFrame:
+    return M.protect(decided, maps, POLICY).where("status = 'ok' and protected_text is not null").select("scope", "turn", F.col("protected_text").alias("text"))
+
+
+def streamed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sendable texts, protected by tokens and streamed back."""
+    decided = _slice(spark, sf_dir)
+    maps = settled(M.allocate(decided))
+    return _streamed(decided, _sent(decided, maps), maps)
+
+
+def streamed_stand_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sendable texts in which stand-ins show for addresses, numbers and opening words, streamed back; names among them
+    come in capitals and wrapped over a line in every other text."""
+    decided = settled(P.decide(P.detect(_texts(spark, sf_dir), [*SLICE, OPENING], normalize=False), POLICY))
+    maps = settled(M.with_surrogates(M.allocate(decided), _texts(spark, sf_dir)))
+    wrapped = F.col("text")
+    for name in M.POOLS["PERSON", "en"]:
+        wrapped = F.replace(wrapped, F.lit(name), F.lit(name.upper().replace(" ", "\n")))
+    return _streamed(decided, _sent(decided, maps).withColumn("text", F.when(F.col("turn") % 2 == 0, wrapped).otherwise(F.col("text"))), maps)
+
+
 # payloads
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,6 +420,7 @@ def _sql(doc: Column | None = None) -> dict[str, str]:
           SELECT scope, type, replies * n - held AS n FROM (SELECT scope, type, count(*) AS n FROM m GROUP BY ALL) JOIN r USING (scope) JOIN h USING (scope, type) WHERE replies * n > held""",
         "restoration_records": _REPLIES + " SELECT scope, false AS clean, count(DISTINCT type || idx)::INT AS restored, count(DISTINCT CASE WHEN turn % 4 <> 0 THEN type || idx END)::INT AS tampered, 'PERSON_999' AS unknown FROM own GROUP BY scope",
         "streamed_replies": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
+        "streamed_stand_ins": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
         "payload_slots": """SELECT doc_id, 'invalid' AS status, NULL AS path, NULL AS field, NULL::BOOLEAN AS is_key, NULL AS digest FROM documents WHERE doc_id % 7 = 0
           UNION ALL SELECT doc_id, 'ok', path, w, k, md5(t) FROM (
             SELECT doc_id, '["model"]' AS path, 'plain' AS w, false AS k, 'm' AS t FROM documents WHERE doc_id % 7 <> 0
@@ -426,7 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         rule_spans, resolved_entities, text_counts, inspect_all, decision_trace, confidence_floor, stance_gap, overlap_halves, co_occurrence, entropy_runs, hand_rulings, ruled_texts, host_classes, window_slices,
-        placeholder_rows, placeholders_continued, stand_ins, sealed_mappings, purged_scopes, protection_records, restored_replies, missing_placeholders, restoration_records, streamed_replies,
+        placeholder_rows, placeholders_continued, stand_ins, sealed_mappings, purged_scopes, protection_records, restored_replies, missing_placeholders, restoration_records, streamed_replies, streamed_stand_ins,
         payload_slots, protected_requests, restored_chats, model_answers, unanswered_questions, evaluation_report, exact_matches, leaking_samples, compared_runs,
     )
 }

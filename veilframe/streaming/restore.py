@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from veilframe.functions.literals import GAP, combining_from, gaps_fit
 from veilframe.functions.normalize import fold_text
-from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, restore
+from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, restore, scope_surfaces, surface_literals
 
 #: Fixed value: characters of the folded text that may be held back, for no token is longer.
 HOLD = 266
@@ -66,52 +68,86 @@ def _open(text: str, at: int, limit: int) -> bool:
     return False
 
 
-def hold_from(text: str) -> int:
-    """Where the suffix begins that a later chunk might still make a token of, or fold otherwise."""
-    last = len(text)
-    while last and unicodedata.combining(text[last - 1]):
-        last -= 1
-    last = max(0, last - 1)  # marks may still follow the last character
-    view, starts, _ = fold_text(text)
-    limit = next((i for i, k in enumerate(starts) if k >= last), len(view)) if starts else last
-    at = last
-    for k in range(max(0, len(view) - HOLD), len(view)):
+def _word_char(c: str) -> bool:
+    return any(map(_word, unicodedata.normalize("NFKC", c)))
+
+
+def _token_from(view: str, starts: list[int] | None, last: int) -> int:
+    """The least place at or before ``last`` that doesn't cut a token, nor what may become one."""
+    limit = bisect_left(starts, last) if starts else last
+    for k in range(max(0, limit - HOLD), min(limit, len(view))):
         if (view[k] in "<[{" or view[k].isascii() and view[k].isalpha() and (k == 0 or not _word(view[k - 1]))) and _open(view, k, limit):
-            at = min(last, starts[k] if starts else k)
-            break
-    # a word is not cut, for what follows a number decides whether it ends a token
-    word = lambda c: any(map(_word, unicodedata.normalize("NFKC", c)))
+            return min(last, starts[k] if starts else k)
+    return last
+
+
+def _whole_word(text: str, at: int) -> int:
+    """``at``, or where the word begins that it would cut: what follows a number decides whether it ends a token."""
     back = at
-    while 0 < back < len(text) and len(text) - back < HOLD and word(text[back - 1]) and word(text[back]):
+    while 0 < back < len(text) and len(text) - back < HOLD and _word_char(text[back - 1]) and _word_char(text[back]):
         back -= 1
     return back
 
 
-def cut(context: str, held: str, chunk: str, last: bool) -> tuple[str, str, str]:
+def _surface_from(text: str, surfaces: tuple[str, ...]) -> int:
+    """Where the suffix begins that is a stand-in's beginning, or all of one whose last edge isn't known yet."""
+    firsts: dict[str, list[str]] = {}
+    reach = 0
+    for s in map(str.strip, surfaces):
+        if s:
+            firsts.setdefault(s[0].lower(), []).append(s)
+            reach = max(reach, len(s) + s.count(" ") * (2 * GAP + 2))
+    for at in range(max(0, len(text) - reach), len(text)):
+        if at and _word(text[at]) and _word(text[at - 1]):
+            continue
+        if any(gaps_fit(text[at:], s) >= 0 for s in firsts.get(text[at].lower(), ())):
+            return at
+    return len(text)
+
+
+def hold_from(text: str, surfaces: tuple[str, ...] = ()) -> int:
+    """Where the suffix begins that a later chunk might still make a token or a stand-in of, or fold otherwise."""
+    last = max(0, combining_from(text) - 1)  # marks may still follow the last character
+    view, starts, _ = fold_text(text)
+    at = _whole_word(text, _token_from(view, starts, last))
+    if not surfaces:
+        return at
+    found = [(s, e) for s, e, _ in surface_literals(surfaces).occurrences(text)]
+    at = min(at, _surface_from(text, surfaces))
+    while True:  # a place that cuts nothing: neither a stand-in, nor a token beside it, nor a word
+        back = min([at, *(s for s, e in found if s < at < e)])
+        back = _whole_word(text, _token_from(view, starts, back))
+        if back == at:
+            return at
+        at = back
+
+
+def cut(context: str, held: str, chunk: str, last: bool, surfaces: tuple[str, ...] = ()) -> tuple[str, str, str]:
     """(context, held, released): the context is the character released before, which a token must not follow."""
     text = held + chunk
     whole = context + text
-    at = len(whole) if last else max(len(context), hold_from(whole))
+    at = len(whole) if last else max(len(context), hold_from(whole, surfaces))
     released = whole[len(context) : at]
     return (whole[at - 1 : at] if at else ""), whole[at:], released
 
 
-def segments(chunks: DataFrame) -> DataFrame:
+def segments(chunks: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """(scope, stream_id, seq, context, text) of streamed chunks (scope, stream_id, seq, chunk, is_last).
 
     The texts of a stream together are its chunks together, however those were cut; no token lies across two of
-    them.  Chunks of a stream come in order of micro-batches; within one they are sorted.  A stream's state is one
-    character and at most what may still become a token; it goes with the last chunk.  For separate runs of one
-    stream (prose, arguments of calls) give each its own stream_id.
+    them, nor a stand-in that ``mappings`` shows in the stream's scope.  Chunks of a stream come in order of
+    micro-batches; within one they are sorted.  A stream's state is one character and at most what may still become a
+    token or a stand-in; it goes with the last chunk.  For separate runs of one stream (prose, arguments of calls)
+    give each its own stream_id.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         context, held = state.get if state.exists else ("", "")
         f = pd.concat(list(frames)).sort_values("seq")
         out, done = [], False
-        for seq, chunk, last in zip(f["seq"], f["chunk"], f["is_last"]):
+        for seq, chunk, last, own in zip(f["seq"], f["chunk"], f["is_last"], f["own"]):
             before = context
-            context, held, text = cut(context, held, chunk or "", bool(last))
+            context, held, text = cut(context, held, chunk or "", bool(last), tuple(own) if own is not None else ())
             out.append((*key, seq, before, text))
             done = done or bool(last)
         if done:
@@ -120,8 +156,13 @@ def segments(chunks: DataFrame) -> DataFrame:
             state.update((context, held))
         yield pd.DataFrame(out, columns=["scope", "stream_id", "seq", "context", "text"])
 
+    rows = chunks.select("scope", "stream_id", "seq", "chunk", "is_last")
+    if mappings is not None and "surface" in mappings.columns:
+        rows = rows.join(scope_surfaces(mappings).select("scope", F.transform("own", lambda s: s["surface"]).alias("own")), "scope", "left")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("array<string>"))
     schema = "scope string, stream_id string, seq long, context string, text string"
-    return chunks.groupBy("scope", "stream_id").applyInPandasWithState(run, schema, "context string, held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("scope", "stream_id").applyInPandasWithState(run, schema, "context string, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def restore_segments(pieces: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -144,4 +185,4 @@ def restore_stream(chunks: DataFrame, mappings: DataFrame, path: str, checkpoint
     def write(batch: DataFrame, number: int) -> None:
         restore_segments(batch, mappings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return segments(chunks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return segments(chunks, mappings).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
