@@ -7,11 +7,11 @@ import os
 import duckdb
 import pytest
 
-from veilframe.plans import catalogue, whole
+from veilframe.plans import catalogue, plugged, whole
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**catalogue.QUERIES, **whole.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **whole.ORACLE_SQL}
+QUERIES = {**catalogue.QUERIES, **whole.QUERIES, **plugged.QUERIES}
+ORACLE_SQL = {**catalogue.ORACLE_SQL, **whole.ORACLE_SQL, **plugged.ORACLE_SQL}
 
 
 def plain(x):

@@ -232,11 +232,11 @@ def ruled_in(text: Column, taken: Column, always: list[tuple[str, str]]) -> Colu
     return let(found, lambda x: F.when(F.size(x) > 0, F.transform(x, one)).otherwise(_none()))
 
 
-def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool = True, co_occurrence: bool = False, secrets: bool = False, always: list[tuple[str, str]] = ()) -> DataFrame:
+def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool = True, co_occurrence: bool = False, secrets: bool = False, always: list[tuple[str, str]] = (), passes: tuple = ()) -> DataFrame:
     """texts with ``dets``: candidates in places and values of the original text.  Null texts have none.
 
     Passes run in a fixed order, each seeing what the ones before found: rules, co-occurrence, high-entropy
-    secrets, values ruled in by hand.  They see the NFKC view; token-shaped literals are looked for in the original.
+    secrets, those plugged in (``passes``, in their order), values ruled in by hand.  They see the NFKC view; token-shaped literals are looked for in the original.
     """
     rules = rules_for() if rules is None else rules
     df = texts.withColumn("_norm", normalized(F.col("text"))) if normalize else texts
@@ -248,6 +248,8 @@ def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool =
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(co_occurrences(text, F.col("_hits")), _none())))
     if secrets:
         df = df.withColumn("_runs", entropy_runs(text)).withColumn("_hits", F.concat("_hits", F.coalesce(entropy_hits(text, F.col("_runs"), F.col("_hits")), _none()))).drop("_runs")
+    for p in passes:
+        df = df.withColumn("_hits", F.concat("_hits", F.coalesce(p.run(text, F.col("_hits")), _none())))
     if always:
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(ruled_in(text, F.col("_hits"), list(always)), _none())))
     back = F.col("_hits")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators.evaluate import parse_annotated
 from veilframe.operators.mappings import COLUMNS
+from veilframe.operators.passes import ALIASES
 from veilframe.operators.privacy import MOST_RULINGS, detection, occurrences
 from veilframe.operators.restore import parse_token
 from veilframe.operators.rules import ENTITY_TYPES
@@ -73,10 +74,6 @@ def hand_rulings(corrections: DataFrame) -> tuple[tuple[str, ...], list[tuple[st
     return tuple(r["value"] for r in rows if r["verdict"] == "NEVER"), [(r["value"], r["entity_type"]) for r in rows if r["verdict"] == "ALWAYS"]
 
 
-# Names that models use for types.
-ALIASES = {"NAME": "PERSON", "FULL_NAME": "PERSON", "ORGANIZATION": "COMPANY_NAME", "COMPANY": "COMPANY_NAME", "ORG": "COMPANY_NAME", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "PHONE", "TELEPHONE": "PHONE", "LOCATION": "ADDRESS", "DOB": "DATE_OF_BIRTH", "ZIP": "POSTAL_CODE", "ZIP_CODE": "POSTAL_CODE", "CREDIT_CARD_NUMBER": "CREDIT_CARD", "IP_ADDRESS": "INTERNAL_IP", "PROJECT": "PROJECT_NAME", "SECRET": "API_KEY", "TOKEN": "ACCESS_TOKEN"}
-
-
 def parse_answers(answers: DataFrame) -> DataFrame:
     """(scope, turn, dets, unparsable, rejected) of what a model answered about texts: (scope, turn, text, raw).
 
