@@ -123,19 +123,30 @@ def purge(mappings: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def outgrown(mappings: DataFrame, most: int = 5_000) -> DataFrame:
-    """(scope, mappings) of conversations that have to end: as many mappings as the limit, or more."""
-    return mappings.groupBy("scope").agg(F.count("*").alias("mappings")).where(F.col("mappings") >= most)
+    """(scope, mappings) of conversations that have to end: more mappings than the limit."""
+    return mappings.groupBy("scope").agg(F.count("*").alias("mappings")).where(F.col("mappings") > most)
 
 
-def protection_record(decided: DataFrame, mappings: DataFrame, policy: Policy) -> DataFrame:
-    """(scope, record): a value-free JSON document a scope: tokens and kinds, what was protected and masked; no place, length or value."""
+def protection_record(decided: DataFrame, mappings: DataFrame, policy: Policy, by: str = "", recall: str | None = None) -> DataFrame:
+    """(scope, record): a value-free JSON document a scope: tokens and kinds, what was protected and masked; no place, length or value.
+
+    ``mode`` tells how values are shown: by placeholders, by stand-ins (``surrogate``) or by both (``mixed``).  A
+    stand-in is no token: its kind is counted under ``stand_ins`` of the second contract, which scopes with stand-ins
+    have.  ``by`` and ``recall`` are told where they are known.
+    """
+    surface = F.col("surface") if "surface" in mappings.columns else F.lit(None).cast("string")
+    maps = mappings.select("scope", F.col("type").alias("kind"), surface.isNotNull().alias("shown"))
     e = decided.where("status = 'ok'").select("scope", F.explode("entities").alias("e")).select("scope", F.col("e.type").alias("kind"), "e.action")
-    of = lambda action, name: e.where(F.col("action") == action).groupBy("scope", "kind").agg(F.count("*").alias("count")).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("kind", "count"))).alias(name))
-    kinds = mappings.groupBy("scope", "type").agg(F.count("*").alias("tokens")).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct(F.col("type").alias("kind"), "tokens"))).alias("placeholders"))
-    none = F.from_json(F.lit("[]"), "array<struct<kind:string,count:bigint>>")
-    df = decided.select("scope").distinct().join(kinds, "scope", "left").join(of("anonymize", "protected"), "scope", "left").join(of("mask", "masked"), "scope", "left")
+    lists = lambda df, n, name: df.groupBy("scope", "kind").agg(F.count("*").alias(n)).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("kind", n))).alias(name))
+    df = decided.select("scope").distinct()
+    for part in (lists(maps.where("not shown"), "tokens", "placeholders"), lists(maps.where("shown"), "count", "stand_ins"), lists(e.where("action = 'anonymize'"), "count", "protected"), lists(e.where("action = 'mask'"), "count", "masked")):
+        part = part.withColumnRenamed("scope", "_s")
+        df = df.join(part, F.col("scope").eqNullSafe(F.col("_s")), "left").drop("_s")
+    none = lambda n: F.from_json(F.lit("[]"), f"array<struct<kind:string,{n}:bigint>>")
+    stood, tokens = F.col("stand_ins").isNotNull(), F.col("placeholders").isNotNull()
+    told = lambda value: F.lit(value or None).cast("string")
     body = F.struct(
-        F.lit("protection-scope/1").alias("contract"), "scope", F.col("masked").isNull().alias("reversible"), F.lit("placeholder").alias("mode"),
-        F.coalesce("placeholders", F.from_json(F.lit("[]"), "array<struct<kind:string,tokens:bigint>>")).alias("placeholders"), F.coalesce("protected", none).alias("protected"), F.coalesce("masked", none).alias("masked"), F.lit(policy.digest()).alias("policy_hash"),
+        F.when(stood, "protection-scope/2").otherwise("protection-scope/1").alias("contract"), told(by).alias("by"), "scope", F.col("masked").isNull().alias("reversible"), F.when(stood & tokens, "mixed").when(stood, "surrogate").otherwise("placeholder").alias("mode"),
+        F.coalesce("placeholders", none("tokens")).alias("placeholders"), "stand_ins", F.coalesce("protected", none("count")).alias("protected"), F.coalesce("masked", none("count")).alias("masked"), told(recall).alias("recall"), F.lit(policy.digest()).alias("policy_hash"),
     )
     return df.select("scope", F.to_json(body).alias("record"))

@@ -9,13 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions.shared import scratch, settled
+from veilframe.operators import mappings as M
 from veilframe.operators import passes as X
 from veilframe.operators import privacy as P
 from veilframe.operators.rules import Rule
+from veilframe.sources.audit import AuditTrail
+from veilframe.sources.store import MappingStore
+from veilframe.streaming import sessions as SS
 
-from .catalogue import _table, _texts
+from .catalogue import _ENTITIES, SLICE, _table, _texts
 from .rule_sql import candidates
-from .whole import OPENING
+from .whole import _ALLOC, OPENING
 
 #: The least windows that keep values of 64 characters whole are far smaller than these; texts are up to some thousand characters long.
 SIZE, OVERLAP = 400, 130
@@ -69,6 +74,77 @@ def phone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("d.source = 'phone'").groupBy(F.col("d.rule").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("d.value").alias("least"))
 
 
+IDLE, HELD = 1800, 2700
+
+
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a use of its user's conversation; purchases are held for longer than a conversation may be idle."""
+    held = F.when(F.col("event_type") == "purchase", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + HELD * 1_000_000))
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("start"), held.alias("end"), "event_id")
+
+
+def _conversations(df: DataFrame) -> DataFrame:
+    micros = lambda c: F.unix_micros(c).alias(c)
+    return df.select(F.col("key").cast("long").alias("user_id"), micros("started"), micros("last_used"), micros("expires"), "uses")
+
+
+def held_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of all users, none ended under a use that is held."""
+    return _conversations(SS.conversations(_uses(spark, sf_dir), IDLE))
+
+
+def expired_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, streamed: four slices of time, every other event a slice late, each in a run of its own; the last one only moves the watermark."""
+    uses = _uses(spark, sf_dir)
+    low, high = uses.agg(F.min(F.unix_micros("start")), F.max(F.unix_micros("start"))).first()
+    if low is None:
+        return held_conversations(spark, sf_dir)
+    step = (high - low) // 4 + 1
+    which = F.floor((F.unix_micros("start") - low) / step) + F.col("event_id") % 2
+    source, out, checkpoint = (scratch(spark, x) for x in ("uses", "expired", "stream"))
+    schema = "key long, start timestamp, end timestamp"
+    end = spark.createDataFrame([(None, high + 3 * step + (IDLE + HELD) * 1_000_000)], "key long, at long").select("key", F.timestamp_micros("at").alias("start"), F.lit(None).cast("timestamp").alias("end"))
+    for k in range(6):
+        part = uses.where(which == k).select("key", "start", "end") if k < 5 else end
+        part.write.mode("append").parquet(source)
+        SS.write_expired(spark.readStream.schema(schema).parquet(source), out, checkpoint, f"{2 * step // 1_000_000 + 1} seconds", IDLE).awaitTermination()
+    return _conversations(spark.read.schema(SS.CLOSED + ", batch int").parquet(out))
+
+
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of protection records of each language's documents, written in three batches, one of which runs twice; records of odd days aren't audited."""
+    decided = settled(P.decide(P.detect(_texts(spark, sf_dir), SLICE, normalize=False), P.Policy()))
+    maps = settled(M.allocate(decided))
+    trail = AuditTrail(scratch(spark, "audit"), strict=False)
+    records = M.protection_record(decided, maps, P.Policy(), by="queries", recall="recall_first")
+    odd = records.withColumn("record", F.lit('{"contract":"diary/1"}'))
+    counts = [trail.append(r, n, "2026-01-01T00:00:00.000Z") for n, r in ((0, records), (1, records.unionByName(odd)), (1, records.unionByName(odd)), (2, odd))]
+    lines = trail.read(spark).groupBy("batch", F.col("at").alias("stamped"), F.get_json_object("record", "$.mode").alias("mode"), F.get_json_object("record", "$.by").alias("by_whom")).agg(F.count("*").alias("lines"))
+    kept = spark.createDataFrame([(n, counts[k].written, counts[k].dropped) for n, k in ((0, 0), (1, 2), (2, 3))], "batch int, written long, dropped long")
+    return kept.join(lines, "batch", "left")
+
+
+def stored_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a store: even documents' values, then all, then without two languages; in each, mappings and the largest number a scope and type."""
+    decided = settled(P.decide(P.detect(_texts(spark, sf_dir), SLICE, normalize=False), P.Policy()))
+    store = MappingStore(spark, scratch(spark, "store"))
+    store.allocate(decided.where("turn % 2 = 0"))
+    store.allocate(decided)
+    store.purge(decided.where("scope in ('de', 'fr')").select("scope"))
+    out = [store.read(v).groupBy("scope", "type").agg(F.count("*").alias("n"), F.max("idx").alias("top")).withColumn("version", F.lit(v)) for v in range(1, store.version() + 1)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def record_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How scopes' values are shown where stand-ins are used while they last: kinds of tokens and of stand-ins a scope."""
+    decided = settled(P.decide(P.detect(_texts(spark, sf_dir), SLICE[:2], normalize=False), P.Policy()))
+    maps = settled(M.with_surrogates(M.allocate(decided), _texts(spark, sf_dir)))
+    r = M.protection_record(decided, maps, P.Policy())
+    body = F.from_json("record", "contract string, mode string, placeholders array<struct<kind:string,tokens:bigint>>, stand_ins array<struct<kind:string,count:bigint>>")
+    total = lambda c, f: F.aggregate(F.coalesce(F.transform(F.col(c), lambda x: x[f]), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return r.withColumn("r", body).select("scope", "r.contract", "r.mode", total("r.placeholders", "tokens").alias("tokens"), total("r.stand_ins", "count").alias("stand_ins"))
+
+
 def windows_sql(table: str, key: str, size: int, overlap: int, name: str = "win") -> str:
     """Common tables that end in ``name`` (key, text, pos, stop): the windows of each text."""
     tail = size // 4
@@ -98,7 +174,12 @@ _IP_SQL = r"""WITH RECURSIVE walk AS (SELECT doc_id, chr(10) || text AS rest, 0
       UNION ALL SELECT doc_id, right(v, 1) || substr(rest, length(b) + length(v) + 1), pos + length(b) - 1 + length(v), v, pos + length(b) - 1
       FROM (SELECT *, regexp_extract(rest, '^([\s\S]*?[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:[^0-9]|$)', 1) AS b, regexp_extract(rest, '^([\s\S]*?[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:[^0-9]|$)', 2) AS v FROM walk) WHERE v <> '') SELECT doc_id, s, s + length(value) AS e FROM walk WHERE value IS NOT NULL"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans)}
+_HELD = f"""WITH u AS (SELECT user_id, epoch_us(ts) AS lo, epoch_us(ts) + CASE WHEN event_type = 'purchase' THEN {HELD}000000 ELSE {IDLE}000000 END AS reach FROM events),
+      b AS (SELECT *, max(reach) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u),
+      r AS (SELECT *, sum(CASE WHEN lo >= before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
+      SELECT user_id, min(lo) AS started, max(lo) AS last_used, max(reach) AS expires, count(*) AS uses FROM r GROUP BY user_id, run"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
 ORACLE_SQL: dict[str, str] = {
     "model_pass": f"""WITH RECURSIVE c AS (SELECT row_number() OVER () AS k, * FROM conversations), {windows_sql("c", "k", SIZE, OVERLAP)},
       numbered AS (SELECT k || '/' || pos AS id, k, pos, win FROM win), piece AS ({_PIECES.format(key="id", text="win", table="numbered")}),
@@ -113,4 +194,13 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT k, run, min(place) AS s, max(place + length(x)) AS e FROM g GROUP BY ALL)
       SELECT conv_id, turn, count(r.k)::INT AS names, coalesce(sum(e - s), 0)::INT AS letters FROM c LEFT JOIN r ON r.k = c.k AND r.s >= length(regexp_extract(c.text, '^[A-Z][a-z]{{2,20}}', 0)) GROUP BY c.k, conv_id, turn""",
     "phone_plans": _phone_sql(),
+    "held_conversations": _HELD,
+    "expired_stream": _HELD,
+    "audit_trail": """WITH k AS (SELECT count(DISTINCT lang) AS k FROM documents) SELECT batch, CASE WHEN batch < 2 THEN k ELSE 0 END AS written, CASE WHEN batch > 0 THEN k ELSE 0 END AS dropped,
+      CASE WHEN batch < 2 THEN '2026-01-01T00:00:00.000Z' END AS stamped, CASE WHEN batch < 2 THEN 'placeholder' END AS mode, CASE WHEN batch < 2 THEN 'queries' END AS by_whom, CASE WHEN batch < 2 THEN k END AS lines FROM k, (VALUES (0), (1), (2)) b(batch)""",
+    "stored_mappings": _ALLOC + """, one AS (SELECT scope, type, count(*) AS n, count(*)::INT AS top, 1 AS version FROM (SELECT DISTINCT scope, type, value FROM ok WHERE turn % 2 = 0) GROUP BY ALL),
+      two AS (SELECT scope, type, count(*) AS n, count(*)::INT AS top, 2 AS version FROM m GROUP BY ALL)
+      SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT scope, type, n, top, 3 FROM two WHERE scope NOT IN ('de', 'fr')""",
+    "record_modes": _ENTITIES.replace("WHERE turn NOT IN (SELECT turn FROM blocked)", "WHERE type IN ('EMAIL', 'PHONE')") + f""", k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL), s AS (SELECT scope, sum(least(n, CASE type WHEN 'EMAIL' THEN {len(M.POOLS["EMAIL", "*"])} ELSE {len(M.POOLS["PHONE", "en"])} END)) AS stand_ins, sum(n) AS n FROM k GROUP BY scope)
+      SELECT DISTINCT lang AS scope, CASE WHEN stand_ins > 0 THEN 'protection-scope/2' ELSE 'protection-scope/1' END AS contract, CASE WHEN stand_ins = n THEN 'surrogate' WHEN stand_ins > 0 THEN 'mixed' ELSE 'placeholder' END AS mode, coalesce(n - stand_ins, 0)::BIGINT AS tokens, coalesce(stand_ins, 0)::BIGINT AS stand_ins FROM documents LEFT JOIN s ON scope = lang""",
 }

@@ -410,7 +410,7 @@ def _sql(doc: Column | None = None) -> dict[str, str]:
         "placeholders_continued": _ALLOC + " SELECT scope, type, count(*) AS n, max(idx)::INT AS top, sum(idx)::BIGINT AS total FROM m GROUP BY ALL",
         "stand_ins": _ALLOC + f""", pool(type, names) AS (VALUES ('EMAIL', {list(M.POOLS['EMAIL', '*'])}), ('PHONE', {list(M.POOLS['PHONE', 'en'])})) SELECT scope, type, idx::INT AS idx, names[idx] AS surface FROM m JOIN pool USING (type) WHERE idx <= len(names)""",
         "sealed_mappings": _ALLOC + " SELECT way, scope, type, count(*) AS n, max(idx)::INT AS top, min(value) AS first_value FROM m, (VALUES ('sealed'), ('plain')) w(way) GROUP BY ALL",
-        "purged_scopes": _ALLOC + " SELECT scope, count(*) AS n, count(*) >= 50 AS purged FROM m GROUP BY scope",
+        "purged_scopes": _ALLOC + " SELECT scope, count(*) AS n, count(*) > 50 AS purged FROM m GROUP BY scope",
         "protection_records": _ALLOC + f""", k AS (SELECT scope, '[' || string_agg('{{"kind":"' || type || '","tokens":' || n || '}}', ',' ORDER BY type) || ']' AS j FROM (SELECT scope, type, count(*) AS n FROM m GROUP BY ALL) GROUP BY scope),
           p AS (SELECT scope, '[' || string_agg('{{"kind":"' || type || '","count":' || n || '}}', ',' ORDER BY type) || ']' AS j FROM (SELECT scope, type, count(*) AS n FROM ok GROUP BY ALL) GROUP BY scope)
           SELECT scope, '{{"line":"audit-line/1","at":"2026-01-01T00:00:00.000Z","record":{{"contract":"protection-scope/1","scope":"' || scope || '","reversible":true,"mode":"placeholder","placeholders":' || coalesce(k.j, '[]') || ',"protected":' || coalesce(p.j, '[]') || ',"masked":[],"policy_hash":"{POLICY.digest()}"}}}}' AS value

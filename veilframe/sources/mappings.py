@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from veilframe.sources.audit import CONTRACTS
 from veilframe.operators.evaluate import parse_annotated
 from veilframe.operators.mappings import COLUMNS
 from veilframe.operators.passes import ALIASES
@@ -51,7 +52,7 @@ def import_lines(lines: DataFrame) -> DataFrame:
 
 def audit_lines(records: DataFrame, at: str) -> DataFrame:
     """(value): one JSON line a record (scope, record), stamped; a record of another contract is refused."""
-    known = F.get_json_object("record", "$.contract").isin("protection-scope/1", "restoration-scope/1")
+    known = F.get_json_object("record", "$.contract").isin(*CONTRACTS)
     line = F.concat(F.lit('{"line":"audit-line/1","at":"'), F.lit(at), F.lit('","record":'), F.col("record"), F.lit("}"))
     return records.select(F.when(known, line).otherwise(F.raise_error(F.lit("not a record that is audited"))).alias("value"))
 
