@@ -69,6 +69,15 @@ def test_empty_table_and_repeated_ids(spark):
     assert sorted(map(tuple, ngram_join.join(rows).collect()), key=str) == [(1, 2, 1), (2, 2, 1), (None, 2, None)]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_id_repeated_over_batches(spark, turned):
+    """Two partitions of one and the same id: sizes are its largest text's, whichever comes first."""
+    rows = [(5, "a b c d e f g h i"), (5, "a b c d e"), (6, "a b c d e f g h i")]
+    parts = [spark.createDataFrame([r], "doc_id long, text string").coalesce(1) for r in (rows[::-1] if turned else rows)]
+    docs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert sorted(map(tuple, ngram_join.join(docs).collect())) == [(5, 5, 5), (6, 5, 5)]
+
+
 def test_large_groups_of_one_least_element_are_salted(spark):
     rows = [(k, 100, 7 if k < 500 else k, 0) for k in range(600)]
     dealt = ngram_join._deal(spark.createDataFrame(rows, "doc_id long, n long, least long, cluster long"), 5000)

@@ -51,4 +51,4 @@ def test_clashing_columns_and_empty_tables(spark, folder):
 
 
 def test_registered():
-    assert sum(name.startswith("op") or name == "pipeline" for name in __spark_entry__.queries()) == 11
+    assert sum(name.startswith("op") or name == "pipeline" for name in __spark_entry__.queries()) == 14

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,7 +174,9 @@ def shared_counts(docs: DataFrame, parts: int, whole: bool = False) -> DataFrame
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
             ids, sizes = f["doc_id"].to_numpy("<i8").tobytes(), ns.astype("<i4").tobytes()
-            name = int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
+            # the same ids may stand in several batches, so a batch's name has its place too
+            place = np.array([TaskContext.get().partitionId(), batch], "<i8").tobytes()
+            name = int.from_bytes(hashlib.blake2b(place + ids, digest_size=8).digest(), "little", signed=True)
             rows = []
             for k, (i, j) in enumerate(zip(cut, cut[1:])):
                 own = k == batch % parts

@@ -28,6 +28,7 @@ DEFAULT = "allow"
 #: Where the index is too large to be sent to all tasks, each rule is dealt to so many places, and so are the urls of a common token.
 SALTS = 16
 
+RULE = "anchor string, items array<array<string>>, label string, confidence double, hits long, size int"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -70,11 +71,13 @@ def listed(url_host: Column, url_path: Column, rules: tuple[tuple[str, str], ...
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (anchor, items, label, confidence, hits) from all rows of ``labelled`` (items array<string>, label string).
+    """Rules (anchor, items, label, confidence, hits, size) from all rows of ``labelled`` (items array<string>, label string).
 
-    Tokens that stand in exactly the same rows tell the same, so the first by name stands for all of them: repeated
-    urls and chains of folders don't multiply the combinations.  ``hits`` counts the rows with all items and the
-    label.  A rule is dropped where one of its items can go without loss of confidence.  No labelled rows, no rules.
+    Tokens that stand in exactly the same rows tell the same.  The first by name is mined for all of them, so repeated
+    urls and chains of folders don't multiply the combinations, and a rule takes any of them in its place: an item is
+    the list of such tokens, and a url must have one of each.  ``hits`` counts the rows with all items and the label.
+    A rule is dropped where one of its items can go without loss of confidence.  It has a row for each token of its
+    rarest item, the anchor.  No labelled rows, no rules.
     """
     spark = labelled.sparkSession
     rows = labelled.where("label is not null").select(F.array_distinct("items").alias("items"), "label")
@@ -83,11 +86,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rows = spark.read.parquet(held)
     n = rows.count()
     if not n:
-        return spark.createDataFrame([], "anchor string, items array<string>, label string, confidence double, hits long")
+        return spark.createDataFrame([], RULE)
     # the same rows, told by their number and two sums over their hashes
     one = rows.select(F.explode("items").alias("item"), F.xxhash64("row").alias("a"), F.hash("row").cast("long").alias("b"))
     alike = one.groupBy("item").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum("b").alias("b"))
-    alike = alike.where(F.col("n") >= math.ceil(min_support * n)).groupBy("n", "a", "b").agg(F.min("item").alias("item"))
+    held = scratch(spark, "alike")
+    alike.where(F.col("n") >= math.ceil(min_support * n)).groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("item")).alias("alike")).select(F.col("alike")[0].alias("item"), "alike").write.parquet(held)
+    alike = spark.read.parquet(held)
     # a row of the list at most T / min_support, where T is the mean number of tokens: FP-growth brings as many to the driver
     kept = F.array(*(F.lit(r[0]) for r in sorted(alike.select("item").collect()))).cast("array<string>")
     baskets = rows.select(F.concat(F.array_intersect("items", kept), F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
@@ -107,9 +112,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = rules.where(F.col("confidence") >= min_confidence).join(dropped, ["items", "label"], "left_anti")
     # the rarest of a rule's tokens
     each = rules.withColumn("item", F.explode("items")).join(alone.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("hits").alias("n")), "item")
-    anchors = each.groupBy("items", "label").agg(F.min(F.struct("n", "item"))["item"].alias("anchor"))
+    each = each.join(alike, "item").groupBy("items", "label", "confidence", "hits").agg(F.min(F.struct("n", "item", "alike"))["alike"].alias("anchors"), F.array_sort(F.collect_list("alike")).alias("alike"))
     out = scratch(spark, "rules")
-    rules.join(anchors, ["items", "label"]).select("anchor", "items", "label", "confidence", "hits").write.parquet(out)
+    each.select(F.explode("anchors").alias("anchor"), F.col("alike").alias("items"), "label", "confidence", "hits", F.size("alike").alias("size")).write.parquet(out)
     return spark.read.parquet(out)
 
 
@@ -122,11 +127,11 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     token and salt, so that no task gets all urls of a common token.
     """
     keys = [c for c in urls.columns if c != "tokens"]
-    rules = rules.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.struct("confidence", "hits", (-F.size("items")).alias("size"), "label", "items").alias("_rule"))
+    rules = rules.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.struct("confidence", "hits", (-F.col("size")).alias("size"), "label", "items").alias("_rule"))
     dealt = urls.select(*keys, "tokens", F.explode_outer("tokens").alias("anchor"), F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int").alias("_salt"))
     met = dealt.join(rules, ["anchor", "_salt"], "left")
-    fits = F.when(F.size(F.array_except("_rule.items", "tokens")) == 0, F.col("_rule"))
-    order = F.struct("_rule.confidence", "_rule.hits", "_rule.size", "_rule.label", F.array_join("_rule.items", " ").alias("items"))
+    fits = F.when(F.forall("_rule.items", lambda alike: F.arrays_overlap(alike, F.col("tokens"))), F.col("_rule"))
+    order = F.struct("_rule.confidence", "_rule.hits", "_rule.size", "_rule.label", F.array_join(F.transform("_rule.items", lambda alike: F.array_join(alike, "|")), " ").alias("items"))
     best = met.withColumn("_fit", F.when(fits.isNotNull(), order)).groupBy(*keys, "tokens").agg(F.max("_fit").alias("mined"))
     return best.drop("tokens")
 
@@ -170,13 +175,14 @@ def oracle_sql(rules: tuple[tuple[str, str], ...] = RULES) -> str:
     fit AS (SELECT k, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS verdict FROM bag, listed WHERE (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath) GROUP BY k),
     train AS (SELECT k, tokens, verdict AS label FROM bag JOIN fit USING (k)), size AS (SELECT count(*) AS n FROM train),
     tok AS (SELECT token, list(k ORDER BY k) AS rows, count(*) AS n FROM (SELECT k, unnest(tokens) AS token FROM train) GROUP BY token HAVING count(*) >= (SELECT ceil({MIN_SUPPORT} * n) FROM size)),
-    rep AS (SELECT min(token) AS token FROM tok GROUP BY rows),
+    cls AS (SELECT token, min(token) OVER (PARTITION BY rows) AS rep FROM tok), rep AS (SELECT DISTINCT rep AS token FROM cls),
+    has AS (SELECT k, list(DISTINCT rep) AS reps FROM (SELECT k, unnest(tokens) AS token FROM bag) JOIN cls USING (token) GROUP BY k),
     slim AS (SELECT k, label, list_sort(list_intersect(tokens, reps)) AS t FROM train, (SELECT list(token) AS reps FROM rep)),
     sub AS (SELECT label, list_transform(list_filter(range(0, len(t)), lambda i: (m >> i) & 1 = 1), lambda i: t[i + 1]) AS items FROM (SELECT *, unnest(range(1, 1::BIGINT << len(t))) AS m FROM slim)),
     freq AS (SELECT items, label, count(*) AS hits FROM sub GROUP BY ALL),
     assoc AS (SELECT items, label, hits, hits / sum(hits) OVER (PARTITION BY items) AS confidence FROM freq),
     strong AS (SELECT * FROM assoc WHERE confidence >= {MIN_CONFIDENCE} AND hits >= (SELECT ceil({MIN_SUPPORT} * n) FROM size)),
-    best AS (SELECT k, arg_max(label, (confidence, hits, -len(items), label)) AS label FROM bag JOIN strong ON list_has_all(tokens, items) GROUP BY k)
+    best AS (SELECT k, arg_max(label, (confidence, hits, -len(items), label)) AS label FROM has JOIN strong ON list_has_all(reps, items) GROUP BY k)
     SELECT page_id, host, path, rule, coalesce(fit.verdict, best.label, '{DEFAULT}') AS verdict FROM bag LEFT JOIN fit USING (k) LEFT JOIN best USING (k)"""
 
 
