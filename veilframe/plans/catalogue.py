@@ -16,6 +16,8 @@ from veilframe.operators import restore as R
 from veilframe.operators import sessions as S
 from veilframe.operators.rules import Rule, rules_for
 
+from .rule_sql import actions, candidates, resolution
+
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 PHONE = r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,4}(?:[ -]?[0-9]{2,4}){1,4}"
 CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){3}"
@@ -54,7 +56,8 @@ def _spans_sql(pattern: str, group: int = 0) -> str:
 
 
 def _decided(spark: SparkSession, sf_dir: str, policy: P.Policy = P.Policy()) -> DataFrame:
-    return P.decide(P.detect(_texts(spark, sf_dir), SLICE, normalize=False), policy)
+    """All documents, judged by all rules of all packs over their normalized texts."""
+    return P.decide(P.detect(_texts(spark, sf_dir), rules_for()), policy)
 
 
 def _entities(decided: DataFrame) -> DataFrame:
@@ -73,6 +76,15 @@ ok AS (SELECT * FROM hits WHERE turn NOT IN (SELECT turn FROM blocked))
 """
 
 
+_ACTION = actions(P.Policy(), "k.type")
+#: What ``_decided`` finds, by all rules: hits, the documents that are blocked, and the hits of the others.
+_ALL = f"""WITH RECURSIVE {candidates(rules_for())}, {resolution()},
+hits AS (SELECT d.lang AS scope, d.doc_id AS turn, k.type AS type, k.value AS value, k.s AS place, k.sev AS severity, k.cat AS category, {_ACTION} AS action FROM kept JOIN documents d ON d.doc_id = kept.doc_id),
+blocked AS (SELECT DISTINCT turn FROM hits WHERE action = 'block'),
+ok AS (SELECT * FROM hits WHERE turn NOT IN (SELECT turn FROM blocked) AND action = 'anonymize')
+"""
+
+
 def sendable_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: documents, how many are blocked, and distinct placeholders of each type that the others need."""
     decided = _decided(spark, sf_dir)
@@ -181,18 +193,17 @@ ORACLE_SQL: dict[str, str] = {
       c AS (SELECT doc_id, r, ch, count(*) AS k FROM (SELECT doc_id, r, unnest(string_split(value, '')) AS ch FROM v) GROUP BY ALL)
       SELECT doc_id, round(-sum(k / 40.0 * log2(k / 40.0)), 6) AS bits FROM c GROUP BY doc_id, r""",
     "masked_preview": f"SELECT doc_id, left(value, 1) || repeat('*', length(value) - 1) AS preview FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents)",
-    "sendable_by_language": _ENTITIES + """, k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL)
+    "sendable_by_language": _ALL + """, k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL)
       SELECT lang, count(*) AS documents, count(*) FILTER (doc_id IN (SELECT turn FROM blocked)) AS blocked, coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'EMAIL')), 0) AS email,
       coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'PHONE')), 0) AS phone, coalesce(max((SELECT n FROM k WHERE scope = lang AND type = 'CREDIT_CARD')), 0) AS credit_card FROM documents GROUP BY lang""",
-    "detections_by_type": _ENTITIES + "SELECT type, count(*) AS n, count(DISTINCT turn) AS n_docs FROM hits GROUP BY type",
-    "blocked_documents": _ENTITIES + "SELECT turn AS doc_id FROM blocked",
-    "policy_actions": _ENTITIES + """SELECT type, CASE type WHEN 'PASSWORD' THEN 'block' ELSE 'anonymize' END AS action, CASE type WHEN 'PASSWORD' THEN 'SECRET' ELSE 'PII' END AS category,
-      CASE type WHEN 'PASSWORD' THEN 100 WHEN 'CREDIT_CARD' THEN 95 ELSE 75 END AS severity, count(*) AS n FROM hits GROUP BY ALL""",
-    "inspect_types": _ENTITIES + "SELECT turn AS doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM hits GROUP BY turn",
-    "placeholder_allocation": _ENTITIES + """, f AS (SELECT scope, type, value, min(turn) AS turn FROM ok GROUP BY ALL), g AS (SELECT f.*, min(strpos(d.text, f.value)) AS place FROM f JOIN documents d ON d.doc_id = f.turn GROUP BY ALL),
-      r AS (SELECT *, row_number() OVER (PARTITION BY scope, type ORDER BY turn, place) AS idx FROM g) SELECT scope, type, count(*) AS n, max(idx) AS top, min(value) FILTER (idx = 1) AS first_value FROM r GROUP BY ALL""",
+    "detections_by_type": _ALL + "SELECT type, count(*) AS n, count(DISTINCT turn) AS n_docs FROM hits GROUP BY type",
+    "blocked_documents": _ALL + "SELECT turn AS doc_id FROM blocked",
+    "policy_actions": _ALL + "SELECT type, action, category, severity, count(*) AS n FROM hits GROUP BY ALL",
+    "inspect_types": _ALL + "SELECT turn AS doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM hits GROUP BY turn",
+    "placeholder_allocation": _ALL + """, f AS (SELECT scope, type, value, min((turn, place)) AS place FROM ok GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY scope, type ORDER BY place, value) AS idx FROM f) SELECT scope, type, count(*) AS n, max(idx) AS top, min(value) FILTER (idx = 1) AS first_value FROM r GROUP BY ALL""",
     "email_protected": f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[REDACTED]', 'g')) AS digest, false AS reversible FROM documents WHERE regexp_matches(text, '{EMAIL}')",
-    "restore_roundtrip": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
+    "restore_roundtrip": _ALL + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
     "session_expiry": """WITH g AS (SELECT user_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
       SELECT user_id, count(*) FILTER (gap >= 1800000000) + 1 AS sessions, count(*) AS events FROM g GROUP BY user_id""",
     "lru_conversations": "SELECT user_id FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 64",
