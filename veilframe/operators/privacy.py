@@ -20,7 +20,8 @@ from veilframe.functions.checks import VALIDATORS, preview
 from veilframe.functions.intervals import FOUND, NUMBERS, IntervalSet, clear, let, places_with, settled_overlaps
 from veilframe.functions.literals import Literals
 from veilframe.functions.normalize import normalized, original_end, original_start
-from veilframe.functions.spans import overlap, spans
+from veilframe.functions.scripts import class_of, everywhere, regions
+from veilframe.functions.spans import SPAN, overlap, spans
 
 from .rules import ENTITY_TYPES, PACKS, Rule, rules_for
 
@@ -86,21 +87,13 @@ def longest_digits(text: Column) -> Column:
     return F.array_max(F.transform(F.split(text, "[^0-9]+"), lambda x: F.length(x)))
 
 
-def detections(text: Column, rules: list[Rule], low: Column | None = None, run: Column | None = None) -> Column:
-    """All hits of the rules, packs guarded by the scripts a text holds; overlaps are not resolved here."""
-    parts = []
-    for name, (_, trigger, suppressor) in {**PACKS, "custom": ((), None, None)}.items():
-        own = [rule_hits(text, r, low, run) for r in rules if r.pack == name]
-        if own:
-            hits = F.concat(*own)
-            if suppressor:
-                # hits that touch a sentence with the silencing script are dropped, all of them where such
-                # sentences are all of the text but two characters each
-                silent = spans(text, rf"[^。！？!?\n「」『』（）()]*{suppressor}[^。！？!?\n「」『』（）()]*")
-                outside = F.transform(F.array(silent), lambda s: F.when(F.aggregate(s, F.lit(0), lambda n, x: n + x["end"] - x["start"]) >= F.length(text) - 2 * F.size(s), _none()).otherwise(F.filter(hits, lambda h: ~F.exists(s, lambda x: overlap(h, x)))))[0]
-                hits = F.when(text.rlike(suppressor), outside).otherwise(hits)
-            parts.append(hits if trigger is None else F.when(F.substring(text, 1, 20_000).rlike(trigger), hits).otherwise(_none()))
-    return F.coalesce(F.concat(*parts), _none()) if parts else _none()
+def pack_hits(text: Column, rules: list[Rule], name: str, low: Column | None = None, run: Column | None = None) -> Column | None:
+    """All hits of a pack's rules in texts that hold its scripts; None where none of the rules is of the pack."""
+    trigger = PACKS[name][1] if name in PACKS else None
+    own = [rule_hits(text, r, low, run) for r in rules if r.pack == name]
+    if not own:
+        return None
+    return F.concat(*own) if trigger is None else F.when(text.rlike(trigger), F.concat(*own)).otherwise(_none())
 
 
 def literal_placeholders(text: Column) -> Column:
@@ -108,10 +101,32 @@ def literal_placeholders(text: Column) -> Column:
     return F.when(text.contains("_"), F.transform(spans(text, PLACEHOLDER), lambda x: detection(x, "TEXT", 1.0, "literal", "literal.TEXT"))).otherwise(_none())
 
 
-@functools.lru_cache(maxsize=16)
-def _built(rules: tuple[Rule, ...], session: object) -> Column:
-    """``detections`` over the columns that ``detect`` prepares; building it for many rules takes the driver some seconds."""
-    return detections(F.col("_text"), list(rules), F.col("_low"), F.col("_run"))
+@functools.lru_cache(maxsize=64)
+def _built(rules: tuple[Rule, ...], name: str, session: object) -> Column | None:
+    """``pack_hits`` over the columns that ``detect`` prepares; building it for many rules takes the driver some seconds."""
+    return pack_hits(F.col("_text"), list(rules), name, F.col("_low"), F.col("_run"))
+
+
+def _ruled_hits(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """df with ``_hits``: all hits of the rules, overlapping or not.
+
+    Where a script silences a pack, hits that touch a sentence with that script are dropped, all of them where such
+    sentences are the whole text.
+    """
+    text, parts = F.col("_text"), []
+    for name, (_, _, silencer) in {**PACKS, "custom": ((), None, None)}.items():
+        hits = _built(rules, name, df.sparkSession)
+        if hits is None:
+            continue
+        if silencer:
+            own, silent = F.col(f"_{name}"), F.col(f"_not_{name}")
+            df = df.withColumn(f"_{name}", hits).withColumn(f"_not_{name}", F.when((F.size(own) > 0) & text.rlike(class_of(*silencer)), regions(text, *silencer)))
+            kept = F.when(everywhere(silent, text), _none()).otherwise(unclaimed(own, F.coalesce(silent, F.array().cast(SPAN))))
+            df = df.withColumn(f"_{name}", kept).drop(f"_not_{name}")
+            hits = own
+        parts.append(hits)
+    hits = F.coalesce(F.concat(*parts), _none()) if parts else _none()
+    return df.withColumn("_hits", hits).drop(*(f"_{n}" for n in PACKS))
 
 
 #: Bound on values ruled in by hand: an automaton over so many is held by every task that looks for them.
@@ -243,7 +258,7 @@ def detect(texts: DataFrame, rules: list[Rule] | None = None, normalize: bool =
     df = df.withColumn("_text", F.coalesce(F.col("_norm.text"), "text") if normalize else F.col("text"))
     df = df.withColumn("_low", F.lower("_text")).withColumn("_run", longest_digits(F.col("_text")))
     text = F.col("_text")
-    df = df.withColumn("_hits", _built(tuple(rules), texts.sparkSession))
+    df = _ruled_hits(df, tuple(rules))
     if co_occurrence:
         df = df.withColumn("_hits", F.concat("_hits", F.coalesce(co_occurrences(text, F.col("_hits")), _none())))
     if secrets:

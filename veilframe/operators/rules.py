@@ -163,8 +163,8 @@ CHINESE = _pack("zh", [
     ("POSTAL_CODE", r"(?<![0-9])[1-8][0-9]{5}(?![0-9])", 0.5, _W | {"digits": 6}),
 ])
 
-#: Rules of each pack; scripts that must be in a text; a script whose presence silences the pack around it.
-PACKS = {"universal": (UNIVERSAL, None, None), "en": (ENGLISH, r"[A-Za-z]", None), "ja": (JAPANESE, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", None), "zh": (CHINESE, r"\p{IsHan}", r"[\p{IsHiragana}\p{IsKatakana}]")}
+#: Rules of each pack; scripts that must be in a text; scripts whose presence silences the pack around it.
+PACKS = {"universal": (UNIVERSAL, None, None), "en": (ENGLISH, r"[A-Za-z]", None), "ja": (JAPANESE, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", None), "zh": (CHINESE, r"\p{IsHan}", ("kana",))}
 
 
 def rules_for(packs: tuple[str, ...] = tuple(PACKS), stance: str = "recall_first") -> list[Rule]:

@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.functions.scripts import RANGES, class_of, regions, scripts_in, sentences_sql
 from veilframe.functions.shared import scratch, settled
 from veilframe.operators import mappings as M
 from veilframe.operators import passes as X
 from veilframe.operators import privacy as P
-from veilframe.operators.rules import Rule
+from veilframe.operators.rules import Rule, rules_for
 from veilframe.sources.audit import AuditTrail
 from veilframe.sources.store import MappingStore
 from veilframe.streaming import sessions as SS
@@ -74,6 +75,32 @@ def phone_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("d.source = 'phone'").groupBy(F.col("d.rule").alias("rule")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("d.value").alias("least"))
 
 
+NAME, KANA = "王小明先生", "です"
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a Chinese name for every ``and`` and kana for every ``the``: sentences of either, both and neither."""
+    text = F.regexp_replace(F.regexp_replace("text", r"\band\b", NAME), r"\bthe\b", KANA)
+    return _texts(spark, sf_dir).withColumn("text", text)
+
+
+def script_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of each text, and how many sentences hold kana, Chinese characters or either, with the characters of those."""
+    t = F.col("text")
+    size = lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    kana, either = regions(t, "kana"), regions(t, "kana", "han")
+    df = _mixed(spark, sf_dir).where("text is not null")
+    return df.select(F.col("turn").alias("doc_id"), F.concat_ws(",", scripts_in(t)).alias("scripts"), F.size(kana).alias("kana"), size(kana).alias("kana_size"), F.size(regions(t, "han")).alias("han"), F.size(either).alias("either"), size(either).alias("either_size"))
+
+
+def silenced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese names that stand in no sentence with kana, and what the Japanese pack makes of all of them, a language."""
+    d = P.detect(_mixed(spark, sf_dir), [r for r in rules_for(("ja", "zh")) if r.id in ("zh.PERSON.1", "ja.PERSON.1")], normalize=False)
+    rule = F.transform("dets", lambda d: d["rule"])
+    n = lambda name: F.coalesce(F.sum(F.size(F.filter(rule, lambda r: r == name)).cast("long")), F.lit(0))
+    return d.groupBy("scope").agg(n("zh.PERSON.1").alias("chinese"), n("ja.PERSON.1").alias("japanese"))
+
+
 IDLE, HELD = 1800, 2700
 
 
@@ -174,12 +201,14 @@ _IP_SQL = r"""WITH RECURSIVE walk AS (SELECT doc_id, chr(10) || text AS rest, 0
       UNION ALL SELECT doc_id, right(v, 1) || substr(rest, length(b) + length(v) + 1), pos + length(b) - 1 + length(v), v, pos + length(b) - 1
       FROM (SELECT *, regexp_extract(rest, '^([\s\S]*?[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:[^0-9]|$)', 1) AS b, regexp_extract(rest, '^([\s\S]*?[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?:[^0-9]|$)', 2) AS v FROM walk) WHERE v <> '') SELECT doc_id, s, s + length(value) AS e FROM walk WHERE value IS NOT NULL"""
 
+_q = lambda pattern: pattern.replace("'", "''")
+_MIXED = rf"""WITH mixed AS (SELECT lang AS scope, doc_id, regexp_replace(regexp_replace(text, '\band\b', '{NAME}', 'g'), '\bthe\b', '{KANA}', 'g') AS text FROM documents)"""
 _HELD = f"""WITH u AS (SELECT user_id, epoch_us(ts) AS lo, epoch_us(ts) + CASE WHEN event_type = 'purchase' THEN {HELD}000000 ELSE {IDLE}000000 END AS reach FROM events),
       b AS (SELECT *, max(reach) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u),
       r AS (SELECT *, sum(CASE WHEN lo >= before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
       SELECT user_id, min(lo) AS started, max(lo) AS last_used, max(reach) AS expires, count(*) AS uses FROM r GROUP BY user_id, run"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, script_regions, silenced_names, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
 ORACLE_SQL: dict[str, str] = {
     "model_pass": f"""WITH RECURSIVE c AS (SELECT row_number() OVER () AS k, * FROM conversations), {windows_sql("c", "k", SIZE, OVERLAP)},
       numbered AS (SELECT k || '/' || pos AS id, k, pos, win FROM win), piece AS ({_PIECES.format(key="id", text="win", table="numbered")}),
@@ -194,6 +223,11 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT k, run, min(place) AS s, max(place + length(x)) AS e FROM g GROUP BY ALL)
       SELECT conv_id, turn, count(r.k)::INT AS names, coalesce(sum(e - s), 0)::INT AS letters FROM c LEFT JOIN r ON r.k = c.k AND r.s >= length(regexp_extract(c.text, '^[A-Z][a-z]{{2,20}}', 0)) GROUP BY c.k, conv_id, turn""",
     "phone_plans": _phone_sql(),
+    "script_regions": f"""{_MIXED} SELECT doc_id, array_to_string([x FOR x IN [{', '.join(f"CASE WHEN regexp_matches(text, '{class_of(n)}') THEN '{n}' END" for n in sorted(RANGES))}] IF x IS NOT NULL], ',') AS scripts, len(k)::INT AS kana, coalesce(list_sum(list_transform(k, lambda x: length(x))), 0)::INT AS kana_size, len(h)::INT AS han, len(e)::INT AS either, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::INT AS either_size
+      FROM (SELECT *, regexp_extract_all(text, '{_q(sentences_sql("kana"))}') AS k, regexp_extract_all(text, '{_q(sentences_sql("han"))}') AS h, regexp_extract_all(text, '{_q(sentences_sql("kana", "han"))}') AS e FROM mixed WHERE text IS NOT NULL)""",
+    "silenced_names": f"""{_MIXED}, k AS (SELECT *, regexp_extract_all(text, '{_q(sentences_sql("kana"))}') AS k FROM mixed),
+      c AS (SELECT scope, len(regexp_extract_all(text, '{NAME}')) AS n, len(regexp_extract_all(array_to_string(k, ' '), '{NAME}')) AS silent, len(k) > 0 AND list_sum(list_transform(k, lambda x: length(x))) >= length(text) - 2 * len(k) AS whole FROM k)
+      SELECT scope, coalesce(sum(CASE WHEN whole THEN 0 ELSE n - silent END), 0)::BIGINT AS chinese, coalesce(sum(n), 0)::BIGINT AS japanese FROM c GROUP BY scope""",
     "held_conversations": _HELD,
     "expired_stream": _HELD,
     "audit_trail": """WITH k AS (SELECT count(DISTINCT lang) AS k FROM documents) SELECT batch, CASE WHEN batch < 2 THEN k ELSE 0 END AS written, CASE WHEN batch > 0 THEN k ELSE 0 END AS dropped,

@@ -79,7 +79,7 @@ def candidates(rules: list[Rule], name: str = "cand") -> str:
     valid = " ".join(f"WHEN '{k}' THEN {v}" for k, v in checks.items() if any(r.validator == k for r in rules))
     return rf"""rules(rule, rx, type, conf, source, sev, cat, valid, script) AS (VALUES {rows}),
     step AS (
-      SELECT rule, rx, doc_id, chr(10) || text AS rest, 0 AS pos, NULL::VARCHAR AS value, 0 AS s FROM rules, documents WHERE text IS NOT NULL AND regexp_matches(substr(text, 1, 20000), script)
+      SELECT rule, rx, doc_id, chr(10) || text AS rest, 0 AS pos, NULL::VARCHAR AS value, 0 AS s FROM rules, documents WHERE text IS NOT NULL AND regexp_matches(text, script)
       UNION ALL
       SELECT rule, rx, doc_id, right(v, 1) || substr(rest, length(b) + length(v) + 1), pos + length(b) - 1 + length(v), v, pos + length(b) - 1
       FROM (SELECT *, regexp_extract(rest, rx, 1) AS b, regexp_extract(rest, rx, 2) AS v FROM step) WHERE v <> ''),
