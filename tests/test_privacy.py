@@ -73,6 +73,17 @@ def test_each_rule_by_cases(spark):
         assert (value in own) if value else not own, (text, kind, own)
 
 
+def test_every_rule_finds_its_value_and_refuses_its_near_miss(spark):
+    from veilframe.plans.rule_cases import CASES as EACH
+
+    assert list(EACH) == [r.id for r in rules_for()]
+    rows = [("x", 2 * k + j, t) for k, (text, _, miss) in enumerate(EACH.values()) for j, t in enumerate((text, miss))]
+    got = {r["turn"]: {(d["rule"], d["value"]) for d in r["dets"]} for r in P.detect(spark.createDataFrame(rows, "scope string, turn long, text string")).collect()}
+    missed = [rule for k, (rule, (_, value, _)) in enumerate(EACH.items()) if (rule, value) not in got[2 * k]]
+    wrong = [rule for k, rule in enumerate(EACH) if any(r == rule for r, _ in got[2 * k + 1])]
+    assert not missed and not wrong, (missed, wrong)
+
+
 def test_all_rules_against_plain_regular_expressions(spark):
     """The same matches, in the same places, as Python's finditer gives for every rule over random pieces."""
     r = random.Random(5)

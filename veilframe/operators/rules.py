@@ -47,8 +47,8 @@ def _numbered(rules: list[Rule]) -> list[Rule]:
 _LABEL = r"\s{0,3}[:=：]\s{0,3}"
 _KEY = lambda names: rf"""(?i)("(?:{names})"\s{{0,4}}:\s{{0,4}}")((?:[^"\\]|\\.){{1,200}})(?=")"""
 _CAP = r"[A-Z][a-z]{1,20}"
-# Common family names, the most frequent first.
-JA_FAMILY = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 清水 山崎 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田 長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 斉藤 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 中川 原田 松田 竹内 小野 田村".split()
+# Common family names, by the published rankings of how many people have them, the most frequent first.
+JA_FAMILY = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 清水 山崎 池田 橋本 阿部 石川 山下 中島 石井 小川 前田 岡田 長谷川 藤田 後藤 近藤 村上 遠藤 青木 坂本 斉藤 福田 太田 西村 藤井 金子 岡本 藤原 三浦 中野 中川 原田 松田 竹内 小野 田村 丸山 小島 中山 和田 石田 森田 上田 内田 柴田 酒井 宮崎 横山 高木 安藤 宮本 大野 小松 谷口 今井 工藤 河野 高野 武田 杉山 増田 平野 大塚 千葉 久保 松井 岩崎 桜井 木下 野口 野村 松尾 菊地 菅原 佐野 大西 杉本 新井 古川 浜田 市川 小池 水野 荒木 岩田 本田".split()
 JA_SHORT = "林 森 原 辻 堀 関 東 南 岡 谷 星 浜".split()
 ZH_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛"
 _HAN = r"\p{IsHan}"
@@ -72,7 +72,7 @@ UNIVERSAL = _numbered([
     Rule("PASSWORD", r"""(?i)((?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|パスワード|密码)\s{0,3}[:=：]\s{0,3}["']?)([^\s"',;]{4,200})""", 0.7, grouped=True, need=("password", "passwd", "pwd", "secret", "token", "api", "パスワード", "密码")),
     Rule("PASSWORD", r"(?i)((?<![a-z])(?:password|passphrase) is )([^\s\"',;.]{4,200})", 0.7, grouped=True, validator="looks_secret", need=("password is ", "passphrase is ")),
     Rule("PASSWORD", r"(パスワードは)([^\s、。「」]{4,64}?)(?=です|[\s、。]|$)", 0.7, grouped=True, validator="looks_secret", need="パスワードは"),
-    Rule("PASSWORD", r"(密码是|密碼是)([^\s，。]{4,64})", 0.7, grouped=True, validator="looks_secret", need=("密码是", "密碼是")),
+    Rule("PASSWORD", r"(密码是|密碼是)([^\s,，。]{4,64})", 0.7, grouped=True, validator="looks_secret", need=("密码是", "密碼是")),
     Rule("INTERNAL_URL", r"https?://(?:localhost|[A-Za-z0-9.-]{1,200}\.(?:internal|local|corp|lan|intranet))(?::[0-9]{1,5})?(?:/[^\s\"'<>]{0,300})?", 0.9, need="://"),
     Rule("INTERNAL_IP", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", 0.9, validator="private_ipv4", digits=1),
     Rule("PERSON", r"((?:/home/|/Users/|C:\\Users\\))([A-Za-z][A-Za-z0-9._-]{1,31})", 0.7, grouped=True, validator="no_system_account", need=("/home/", "/users/", "\\users\\")),
@@ -154,7 +154,7 @@ CHINESE = _pack("zh", [
     ("ADDRESS", rf"{_HAN}{{2,6}}(?:省|市|自治区){_HAN}{{1,12}}[区县市]{_HAN}{{1,20}}[路街道巷][0-9]{{1,5}}号?", 0.7, {"digits": 1}),
     ("COMPANY_NAME", rf"{_HAN}{{2,20}}(?:有限责任公司|股份有限公司|有限公司|集团)", 0.9, {"need": ("公司", "集团")}),
     ("EMPLOYEE_ID", rf"((?:工号|员工编号|职工号){_LABEL})([A-Za-z0-9-]{{3,20}})", 0.9, _G | {"need": ("工号", "编号")}),
-    ("PROJECT_NAME", rf"((?:项目名称|项目){_LABEL})([^\s，。]{{1,30}})", 0.5, _G | {"need": "项目"}),
+    ("PROJECT_NAME", rf"((?:项目名称|项目){_LABEL})([^\s,，。]{{1,30}})", 0.5, _G | {"need": "项目"}),
     ("PROJECT_NAME", r"((?:项目|工程)[“「])([^”」\n]{1,30})(?=[”」])", 0.5, _G | {"need": ("项目", "工程")}),
     ("EMPLOYEE_ID", rf"((?:客户编号|会员号|客户号){_LABEL})([A-Za-z0-9-]{{3,20}})", 0.9, _G | {"need": ("客户", "会员号")}),
     ("PERSON", rf"((?<!{_HAN}))([{ZH_FAMILY}]{_HAN}{{0,2}})(?=(?:先生|女士|小姐|老师|经理))", 0.9, _G | {"need": ("先生", "女士", "小姐", "老师", "经理")}),

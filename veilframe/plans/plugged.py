@@ -20,6 +20,7 @@ from veilframe.sources.store import MappingStore
 from veilframe.streaming import sessions as SS
 
 from .catalogue import _ENTITIES, SLICE, _table, _texts
+from .rule_cases import CASES
 from .rule_sql import candidates
 from .whole import _ALLOC, OPENING
 
@@ -101,6 +102,20 @@ def silenced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("scope").agg(n("zh.PERSON.1").alias("chinese"), n("ja.PERSON.1").alias("japanese"))
 
 
+def rules_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule: documents that a text it must find something in is planted behind, and near misses, and how often it finds just that value there."""
+    ids = list(CASES)
+    pick = (F.col("turn") % (2 * len(ids))).cast("int")
+    case = F.get(F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(v).alias("value"), F.lit(t).alias("planted"), F.lit(near).alias("near")) for k, (text, v, miss) in CASES.items() for t, near in ((text, False), (miss, True)))), pick)
+    d = _texts(spark, sf_dir).where("turn is not null").withColumn("case", case)
+    d = d.select(F.to_json(F.struct("case.rule", "case.value", "case.near", (F.length(F.coalesce("text", F.lit(""))) + 2).alias("from"))).alias("scope"), "turn", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), "case.planted").alias("text"))
+    told = F.from_json("scope", "rule string, value string, near boolean, `from` int")
+    hits = P.detect(d, rules_for()).withColumn("c", told)
+    there = F.filter("dets", lambda x: (x["rule"] == F.col("c.rule")) & (x["start"] >= F.col("c.from")))
+    hit = F.when(F.col("c.near"), F.size(there) > 0).otherwise(F.exists(there, lambda x: x["value"] == F.col("c.value")))
+    return hits.groupBy("c.rule", "c.near").agg(F.count("*").alias("planted"), F.sum(hit.cast("long")).alias("found"))
+
+
 IDLE, HELD = 1800, 2700
 
 
@@ -208,7 +223,7 @@ _HELD = f"""WITH u AS (SELECT user_id, epoch_us(ts) AS lo, epoch_us(ts) + CASE W
       r AS (SELECT *, sum(CASE WHEN lo >= before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
       SELECT user_id, min(lo) AS started, max(lo) AS last_used, max(reach) AS expires, count(*) AS uses FROM r GROUP BY user_id, run"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, script_regions, silenced_names, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, script_regions, silenced_names, rules_shown, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
 ORACLE_SQL: dict[str, str] = {
     "model_pass": f"""WITH RECURSIVE c AS (SELECT row_number() OVER () AS k, * FROM conversations), {windows_sql("c", "k", SIZE, OVERLAP)},
       numbered AS (SELECT k || '/' || pos AS id, k, pos, win FROM win), piece AS ({_PIECES.format(key="id", text="win", table="numbered")}),
@@ -223,6 +238,7 @@ ORACLE_SQL: dict[str, str] = {
       r AS (SELECT k, run, min(place) AS s, max(place + length(x)) AS e FROM g GROUP BY ALL)
       SELECT conv_id, turn, count(r.k)::INT AS names, coalesce(sum(e - s), 0)::INT AS letters FROM c LEFT JOIN r ON r.k = c.k AND r.s >= length(regexp_extract(c.text, '^[A-Z][a-z]{{2,20}}', 0)) GROUP BY c.k, conv_id, turn""",
     "phone_plans": _phone_sql(),
+    "rules_shown": f"""WITH c(k, rule, near) AS (VALUES {", ".join(f"({2 * k + j}, '{r}', {bool(j)})" for k, r in enumerate(CASES) for j in (0, 1))}) SELECT rule, near, count(*) AS planted, CASE WHEN near THEN 0 ELSE count(*) END::BIGINT AS found FROM documents JOIN c ON doc_id % {2 * len(CASES)} = k GROUP BY rule, near""",
     "script_regions": f"""{_MIXED} SELECT doc_id, array_to_string([x FOR x IN [{', '.join(f"CASE WHEN regexp_matches(text, '{class_of(n)}') THEN '{n}' END" for n in sorted(RANGES))}] IF x IS NOT NULL], ',') AS scripts, len(k)::INT AS kana, coalesce(list_sum(list_transform(k, lambda x: length(x))), 0)::INT AS kana_size, len(h)::INT AS han, len(e)::INT AS either, coalesce(list_sum(list_transform(e, lambda x: length(x))), 0)::INT AS either_size
       FROM (SELECT *, regexp_extract_all(text, '{_q(sentences_sql("kana"))}') AS k, regexp_extract_all(text, '{_q(sentences_sql("han"))}') AS h, regexp_extract_all(text, '{_q(sentences_sql("kana", "han"))}') AS e FROM mixed WHERE text IS NOT NULL)""",
     "silenced_names": f"""{_MIXED}, k AS (SELECT *, regexp_extract_all(text, '{_q(sentences_sql("kana"))}') AS k FROM mixed),
