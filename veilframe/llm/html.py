@@ -1,20 +1,27 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; blocks become lines with their
-text, its links and the tags met.  Each line's ratio of text to tags is smoothed
-by a Gaussian over the lines of its container, split in two clusters by the
-threshold between their means, and the containers whose lines are in the upper
-cluster are the content regions.  A region is kept whole: headings and short
-paragraphs between content lines are part of it.  An article or main element is
-a region as it stands, all of its lines; elsewhere a region's siblings in the same
-parent are taken back.  Elements that are never
-article text (menus, forms, scripts, notices, adverts, comments of readers ...)
-are told by name, role, class or id and leave no lines.
+text, its links and the tags met.  Each line's ratio of text to tags - linked
+text is no text, lines of an article or main element count more - is smoothed by
+a Gaussian over its neighbours and the ratios are split in two clusters by the
+threshold between their means.  On every page the lines of the upper cluster
+choose the content regions: the article elements that hold some, else the main
+elements, else the innermost container with most of their text and what stands
+beside it in the same parent.  A region is kept whole: headings and short paragraphs between content lines are part of it.
+
+Elements that are never article text (menus, forms, scripts, notices, adverts,
+comments of readers ...) are told by name, role, class or id and leave no lines;
+of parts of an article that only a part of their name hints at, those go that
+hold no line of the upper cluster.
+
+Reading a page takes time in proportion to its length, however deep its elements
+are nested, closed or not.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,8 +45,8 @@ _HINT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|b
 _PLAIN_HINT = re.compile(r"(?:^|\s)(?:notice|related|recommended|banner|legal|copyright|disclaimer|widget|share|social|promo|skip|hidden|popup|modal)(?:$|\s)|(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|comments?|commentlist|disqus|respon[ds]e?s?|replies|cookies?|consent|gdpr|newsletter|subscribe|signup|login|nav\w*|menu|sidebar|side-bar|footer|breadcrumbs?|sharing|pagination|pager|toolbar)(?:$|[-_\s\d])", re.I)
 _SPACE = re.compile(r"\s+")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Characters without links from which a doubtful part of an article is kept.
-LONG = 200
+#: How much more a line's ratio counts inside an article or main element.
+SEMANTIC = 4.0
 #: Lines that a line's smoothed ratio looks at on each side, in standard deviations of SIGMA lines.
 SIGMA = 1.0
 
@@ -51,14 +58,17 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.stack: list[str] = []
+        self.open: Counter[str] = Counter()  # elements on the stack, by name
+        self.quiet: Counter[str] = Counter()  # those of the silent part
         self.silent = 0  # depth at which silence began
         self.where = [0]  # containers, innermost last
         self.parent = {0: -1}
-        self.kind = {0: "body"}
+        #: Of each container, the outermost article and main element it lies in; -1 for none.
+        self.article, self.main = {0: -1}, {0: -1}
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
         self.heading = False
-        self.doubtful: list[int] = []
+        self.doubtful: set[int] = set()
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip() if self.text else ""
@@ -73,7 +83,7 @@ class _Lines(HTMLParser):
                 if name == "p":
                     self._close("p")
                 break
-        for name in reversed(self.stack) if tag in ENDS else ():
+        for name in reversed(self.stack) if tag in ENDS and any(self.open[n] for n in ENDS[tag]) else ():
             if name in ENDS[tag]:
                 self._close(name)
             if name in ENDS[tag] or name in HOLDS[tag]:
@@ -86,7 +96,7 @@ class _Lines(HTMLParser):
             self._implied_end(tag)
         if self.silent:
             if tag not in VOID:
-                self.stack.append(tag)
+                self._push(tag)
             return
         if tag in BLOCK:
             self.heading = tag in _HEADINGS
@@ -95,20 +105,23 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        self.stack.append(tag)
+        self._push(tag)
         if tag == "a":
             self.links += 1
-        inside = "article" in self.stack or "main" in self.stack
+        inside = self.open["article"] or self.open["main"]
         hinted = bool(attrs) and self._hinted(tag, attrs)
         doubtful = hinted and inside and tag in CONTAINERS and self._doubtful(attrs)
         if tag in SILENT or hinted and not doubtful or tag == "header" and not inside:
             self.silent = len(self.stack)
+            self.quiet = Counter((tag,))
         elif tag in CONTAINERS:
-            new = len(self.parent)
-            self.parent[new], self.kind[new] = self.where[-1], tag
+            new, around = len(self.parent), self.where[-1]
+            self.parent[new] = around
+            for kind, outermost in (("article", self.article), ("main", self.main)):
+                outermost[new] = new if tag == kind and outermost[around] < 0 else outermost[around]
             self.where.append(new)
             if doubtful:
-                self.doubtful.append(new)
+                self.doubtful.add(new)
 
     def _hinted(self, tag, attrs) -> bool:
         for name, value in attrs:
@@ -127,19 +140,24 @@ class _Lines(HTMLParser):
         names = " ".join(v for k, v in attrs if k in ("class", "id") and v)
         return not any(k not in ("class", "id") for k, _ in attrs) and not _PLAIN_HINT.search(names)
 
+    def _push(self, tag) -> None:
+        self.stack.append(tag)
+        self.open[tag] += 1
+        if self.silent:
+            self.quiet[tag] += 1
+
     def _close(self, tag) -> None:
-        if tag not in self.stack:
-            return
-        while self.stack:
-            if self.silent and len(self.stack) <= self.silent:
-                self.silent = 0
-                self.text, self.tags, self.linked = [], 0, 0
-                top = self.stack.pop()
+        while self.open[tag]:
+            top = self.stack.pop()
+            self.open[top] -= 1
+            if self.silent:
+                self.quiet[top] -= 1
+                if len(self.stack) < self.silent:
+                    self.silent = 0  # text before a silent part goes on behind it
             else:
-                top = self.stack.pop()
-                if top == "a" and not self.silent:
+                if top == "a":
                     self.links = max(0, self.links - 1)
-                if not self.silent and top in CONTAINERS and len(self.where) > 1:
+                if top in CONTAINERS and len(self.where) > 1:
                     self.where.pop()
             if top == tag:
                 break
@@ -147,9 +165,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if self.silent:
             # an end tag that isn't of the silent part leaves it only if it closes the element around it
-            if tag in self.stack[self.silent - 1 :]:
-                self._close(tag)
-            elif tag in BLOCK and tag != "p" and tag in self.stack:
+            if self.quiet[tag] or tag in BLOCK and tag != "p":
                 self._close(tag)
             return
         if tag in BLOCK:
@@ -168,9 +184,9 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def ratios(lines: list[list], sigma: float = SIGMA) -> np.ndarray:
-    """Smoothed text-to-tag ratio of each line; linked text counts as tags, not as text."""
-    raw = np.array([max(0, len(t) - linked) / max(1, tags) for t, linked, tags, _, _ in lines])
+def ratios(lines: list[list], counts: list[float], sigma: float = SIGMA) -> np.ndarray:
+    """Smoothed text-to-tag ratio of each line, times what the line counts; linked text is no text."""
+    raw = np.array([k * max(0, len(t) - linked) / max(1, tags) for (t, linked, tags, _, _), k in zip(lines, counts)])
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(raw)), kernel)[reach : reach + len(raw)]
@@ -202,55 +218,61 @@ def main_text(page: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    # An article or main element is the region: all that the rules for menus, adverts and comments left in it.
-    for kind in ("article", "main"):
-        inside = {c for c in parser.kind if _within(c, kind, parser)}
-        for d in parser.doubtful:  # long text without links is part of the article, whatever its class
-            own = {c for c in inside if _inside_any(c, {d}, parser)}
-            lines_ = [x for x in lines if x[3] in own]
-            plain = sum(len(x[0]) - x[1] for x in lines_)
-            if plain < LONG or 2 * plain < sum(len(x[0]) for x in lines_):
-                inside -= own
-        if own := [x[0] for x in lines if x[3] in inside]:
-            return "\n".join(own)
-    smooth = ratios(lines)
+    smooth = ratios(lines, [SEMANTIC if parser.article[x[3]] >= 0 or parser.main[x[3]] >= 0 else 1.0 for x in lines])
     chosen = smooth > threshold(smooth)
-    weight: dict[int, float] = {}
+    weight = _subtrees(parser, lines, chosen)
+    # a doubtful part of an article goes with all it holds where no line of it is chosen
+    gone = {-1: False}
+    for c in range(len(parser.parent)):
+        gone[c] = gone[parser.parent[c]] or c in parser.doubtful and not weight[c]
+    for outermost in (parser.article, parser.main):
+        regions = {outermost[x[3]] for x, c in zip(lines, chosen) if c} - {-1}
+        if regions:
+            return "\n".join(x[0] for x in lines if outermost[x[3]] in regions and not gone[x[3]])
+    return "\n".join(x[0] for x in _majority(parser, lines, weight))
+
+
+def _subtrees(parser: _Lines, lines: list[list], chosen: np.ndarray) -> list[int]:
+    """Per container: characters of chosen lines, without those of links, in it and all containers below."""
+    weight = [0] * len(parser.parent)
     for x, c in zip(lines, chosen):
         if c:
-            weight[x[3]] = weight.get(x[3], 0) + max(0, len(x[0]) - x[1])
-    if not weight:
-        return ""
-    top = max(weight.values())
-    regions = {c for c, w in weight.items() if w >= 0.15 * top}
-    # the page's outermost containers hold menus beside the text, so what lies in them isn't taken back
-    outer = {c for c, k in parser.kind.items() if k == "body"}
-    parents = {parser.parent[c] for c in regions} - outer - {-1}
-    whole = regions - outer | parents
-    keep = [x for x in lines if x[3] in regions or _inside_any(x[3], whole, parser)]
-    return "\n".join(x[0] for x in keep if not (x[1] >= 0.8 * len(x[0]) and not x[4]))
+            weight[x[3]] += max(0, len(x[0]) - x[1])
+    for c in range(len(weight) - 1, 0, -1):  # containers are numbered from the outermost in
+        weight[parser.parent[c]] += weight[c]
+    return weight
 
 
-def _within(c: int, kind: str, parser: _Lines) -> bool:
-    while c >= 0:
-        if parser.kind[c] == kind:
-            return True
-        c = parser.parent[c]
-    return False
+def _majority(parser: _Lines, lines: list[list], weight: list[int]) -> Iterator[list]:
+    """Lines of the innermost container with more than half of the chosen text, and of what stands beside it in the same parent.
 
-
-def _inside_any(c: int, regions: set[int], parser: _Lines) -> bool:
-    while c >= 0:
-        if c in regions:
-            return True
-        c = parser.parent[c]
-    return False
+    All is kept whole, but for lines of nothing but links; where it is the page itself, so are
+    those of its parts that hold chosen lines.
+    """
+    region = 0
+    for c in range(1, len(weight)):  # an inner one comes behind its outer one, and only one of two beside holds most
+        if 2 * weight[c] > weight[0] and parser.parent[c] == region:
+            region = c
+    region = max(0, parser.parent[region]) or region  # titles and short parts stand beside what is longest
+    outer = region == 0
+    part = [-1] * len(weight)  # the region's own part a container lies in; the region is its own
+    part[region] = region
+    for c in range(region + 1, len(weight)):
+        around = part[parser.parent[c]]
+        part[c] = c if around == region and outer else around
+    for x in lines:
+        mine = part[x[3]]
+        if mine < 0 or mine != region and not weight[mine]:
+            continue
+        if x[1] < len(x[0]) or x[4]:
+            yield x
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """op3: page_id, url, text, n_chars of every whole page.
 
     Null or empty html has empty text; repeated rows stay; columns other than page_id, url and html are not read.
+    Pages may be of any length and depth.
     """
 
     def one(f: dict[str, list]) -> Iterator[dict[str, list]]:
