@@ -132,3 +132,16 @@ def test_large_ids_beside_null_ones(spark):
     path = tokenizer_path()
     for out in (bpe.digests(docs, path), bpe.encode_decode(docs, path), packing.pack(docs, path), records.sequences(docs, path)):
         assert sorted((r["doc_id"] for r in out.collect()), key=str) == [big, big, None]
+
+
+def test_files_are_sized_by_bytes_even_of_one_id(spark, monkeypatch):
+    """All rows have one id and differ in their text: they fill files alike, and come back whole."""
+    monkeypatch.setattr(records, "EACH", 4000)
+    docs = spark.createDataFrame([(7, f"text {k} " * 10) for k in range(800)] + [(None, "a"), (None, "b")], "doc_id long, text string")
+    path = scratch(spark, "records")
+    manifest = records.write_sequences(docs, path, tokenizer_path())
+    sizes = [m["n_records"] for m in manifest]
+    assert len(manifest) >= 15 and sum(sizes) == 802 and max(sizes) < 4 * 802 / len(sizes)
+    back = records.scan(spark, path, manifest).collect()
+    assert len(back) == 802 and sorted(r["start"] for r in back)[-1] + 1 < sum(m["n_tokens"] for m in manifest)
+    assert [r["doc_id"] for r in sorted(back, key=lambda r: r["start"])][:3] == [None, None, 7]

@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_library
-from .common import give_back, scratch
+from .common import give_back, parts_for, scratch
 
 _MASK = 0xA282EAD8  # fixed value
+#: Bytes of text that a file is made of.
+EACH = 64 << 20
 _HEAD, _TAIL = 12, 4
 
 
@@ -76,11 +78,13 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
     """Encode every whole text, append ``end_id`` and write the sequences in ascending id order.
 
     Returns the manifest in file order: part, file, n_records, n_tokens, one entry a file.  Null text is a
-    sequence of the end id alone; null ids come first; rows with equal ids all stay, ordered by text; an empty
-    table makes files without records.  Other columns are not read.
+    sequence of the end id alone; null ids come first; rows with equal ids all stay, ordered by a hash of their text
+    and then by the text, over as many files as they take; an empty table makes files without records.  Other columns
+    are not read.  A file holds about ``EACH`` bytes of text, unless ``parts`` says how many there are.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = parts or parts_for(spark, rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, EACH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = by_library(tokenizer)
@@ -105,8 +109,8 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0,
             store.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_records": [n], "n_tokens": [tokens]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     found = rows.mapInArrow(run, "part long, file string, n_records long, n_tokens long").collect()  # one row a file
     return [r.asDict() for r in sorted(found, key=lambda r: r["part"])]
 
