@@ -365,3 +365,14 @@ def host_class(host: Column, trusted: tuple[str, ...] = ()) -> Column:
     address = h.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
     inside = F.when(h.startswith("127."), "same_host").when(VALIDATORS["private_ipv4"](h), "private_network").otherwise("external")
     return F.when(h.isin(*trusted) if trusted else F.lit(False), "declared").when(h.isin("localhost", "::1", "[::1]") | h.endswith(".localhost"), "same_host").when(address, inside).when(h.rlike(r"(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)$"), "external").when(~h.contains(".") | h.rlike(r"\.(?:internal|local|lan|intranet|corp|home\.arpa)$"), "private_network").otherwise("external")
+
+
+#: Classes of hosts that each boundary lets in.
+BOUNDARIES = {"same_host": ("same_host", "declared"), "private_network": ("same_host", "private_network", "declared"), "anywhere": ("same_host", "private_network", "declared", "external")}
+
+
+def admitted(host: Column, boundary: str = "private_network", trusted: tuple[str, ...] = ()) -> Column:
+    """Whether an endpoint on a host may be sent texts that aren't protected yet."""
+    if boundary not in BOUNDARIES:
+        raise ValueError(f"unknown boundary {boundary!r}; known: {', '.join(BOUNDARIES)}")
+    return host_class(host, trusted).isin(*BOUNDARIES[boundary])

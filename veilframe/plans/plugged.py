@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.engine import Engine
 from veilframe.functions.scripts import RANGES, class_of, regions, scripts_in, sentences_sql
 from veilframe.functions.shared import scratch, settled
 from veilframe.operators import mappings as M
@@ -177,6 +178,26 @@ def stored_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session over all languages in two calls, even documents first, with stand-ins; replies that quote each text: how many come back as it was."""
+    engine = Engine(packs=(), rules=tuple(SLICE), co_occurrence=False, stand_ins=True)
+    session = engine.session(MappingStore(spark, scratch(spark, "store")))
+    texts = _texts(spark, sf_dir).where("text is not null")
+    calls = [session.protect(texts.where(f"turn % 2 = {k}")).texts for k in (0, 1)]
+    sent = calls[0].unionByName(calls[1]).where("status = 'ok'")
+    back = session.restore(sent.select("scope", F.col("turn").alias("response_id"), F.col("protected_text").alias("text")))
+    same = back.join(texts.select(F.col("turn").alias("response_id"), F.col("text").alias("was")), "response_id")
+    return same.groupBy("scope").agg(F.count("*").alias("texts"), F.sum((F.col("restored_text") == F.col("was")).cast("long")).alias("unchanged"))
+
+
+def admitted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages and addresses in texts that an endpoint might be on, by the boundaries that let them in."""
+    pages = _table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1).alias("host"))
+    ips = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.lit(0))).alias("host"))
+    let_in = [P.admitted(F.col("host"), b, ("spam-farm.example.org",)).alias(b) for b in P.BOUNDARIES]
+    return pages.unionByName(ips).select(*let_in).groupBy(*P.BOUNDARIES).agg(F.count("*").alias("n"))
+
+
 def record_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How scopes' values are shown where stand-ins are used while they last: kinds of tokens and of stand-ins a scope."""
     decided = settled(P.decide(P.detect(_texts(spark, sf_dir), SLICE[:2], normalize=False), P.Policy()))
@@ -223,7 +244,7 @@ _HELD = f"""WITH u AS (SELECT user_id, epoch_us(ts) AS lo, epoch_us(ts) + CASE W
       r AS (SELECT *, sum(CASE WHEN lo >= before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY lo, reach ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
       SELECT user_id, min(lo) AS started, max(lo) AS last_used, max(reach) AS expires, count(*) AS uses FROM r GROUP BY user_id, run"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, script_regions, silenced_names, rules_shown, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (model_pass, recognized_names, phone_plans, script_regions, silenced_names, rules_shown, held_conversations, expired_stream, audit_trail, stored_mappings, record_modes, session_turns, admitted_hosts)}
 ORACLE_SQL: dict[str, str] = {
     "model_pass": f"""WITH RECURSIVE c AS (SELECT row_number() OVER () AS k, * FROM conversations), {windows_sql("c", "k", SIZE, OVERLAP)},
       numbered AS (SELECT k || '/' || pos AS id, k, pos, win FROM win), piece AS ({_PIECES.format(key="id", text="win", table="numbered")}),
@@ -251,6 +272,11 @@ ORACLE_SQL: dict[str, str] = {
     "stored_mappings": _ALLOC + """, one AS (SELECT scope, type, count(*) AS n, count(*)::INT AS top, 1 AS version FROM (SELECT DISTINCT scope, type, value FROM ok WHERE turn % 2 = 0) GROUP BY ALL),
       two AS (SELECT scope, type, count(*) AS n, count(*)::INT AS top, 2 AS version FROM m GROUP BY ALL)
       SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT scope, type, n, top, 3 FROM two WHERE scope NOT IN ('de', 'fr')""",
+    "session_turns": _ENTITIES + "SELECT lang AS scope, count(*) AS texts, count(*) AS unchanged FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT turn FROM blocked) GROUP BY lang",
+    "admitted_hosts": r"""WITH hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS h FROM pages UNION ALL SELECT unnest(regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}')) FROM documents),
+      x AS (SELECT h, regexp_matches(h, '^[0-9.]+$') AS ip, list_transform(string_split(h, '.'), lambda o: try_cast(o AS INT)) AS o FROM hosts),
+      c AS (SELECT CASE WHEN h = 'spam-farm.example.org' THEN 'declared' WHEN ip THEN CASE WHEN o[1] = 127 AND h LIKE '127.%' THEN 'same_host' WHEN list_max(o) <= 255 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113)) THEN 'private_network' ELSE 'external' END WHEN h NOT LIKE '%.%' THEN 'private_network' ELSE 'external' END AS class FROM x)
+      SELECT class IN ('same_host', 'declared') AS same_host, class <> 'external' AS private_network, true AS anywhere, count(*) AS n FROM c GROUP BY ALL""",
     "record_modes": _ENTITIES.replace("WHERE turn NOT IN (SELECT turn FROM blocked)", "WHERE type IN ('EMAIL', 'PHONE')") + f""", k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL), s AS (SELECT scope, sum(least(n, CASE type WHEN 'EMAIL' THEN {len(M.POOLS["EMAIL", "*"])} ELSE {len(M.POOLS["PHONE", "en"])} END)) AS stand_ins, sum(n) AS n FROM k GROUP BY scope)
       SELECT DISTINCT lang AS scope, CASE WHEN stand_ins > 0 THEN 'protection-scope/2' ELSE 'protection-scope/1' END AS contract, CASE WHEN stand_ins = n THEN 'surrogate' WHEN stand_ins > 0 THEN 'mixed' ELSE 'placeholder' END AS mode, coalesce(n - stand_ins, 0)::BIGINT AS tokens, coalesce(stand_ins, 0)::BIGINT AS stand_ins FROM documents LEFT JOIN s ON scope = lang""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,9 @@ from veilframe.sources.audit import CONTRACTS
 from veilframe.operators.evaluate import parse_annotated
 from veilframe.operators.mappings import COLUMNS
 from veilframe.operators.passes import ALIASES
-from veilframe.operators.privacy import MOST_RULINGS, detection, occurrences
+from veilframe.operators.privacy import MOST_RULINGS, detect, detection, occurrences
 from veilframe.operators.restore import parse_token
-from veilframe.operators.rules import ENTITY_TYPES
+from veilframe.operators.rules import ENTITY_TYPES, rules_for
 
 SCHEMA = "scope string, type string, idx int, identity string, value string"
 
@@ -67,6 +67,21 @@ def last_rulings(corrections: DataFrame) -> DataFrame:
     return corrections.where(fine).groupBy("value").agg(F.max_by(F.struct("verdict", "entity_type"), "seq").alias("r")).select("value", "r.*")
 
 
+def append_rulings(corrections: DataFrame, path: str, batch: int) -> int:
+    """Appends rulings (seq, value, verdict, entity_type, ...) to the log at ``path``, a folder a batch; the same batch again takes its own place.
+
+    A value that rules find a secret in can't be ruled out, nor one of under two characters be ruled on: such a batch
+    is an error and leaves nothing.  Returns how many rulings were appended.
+    """
+    numbered = corrections.withColumn("scope", F.lit("rulings")).withColumn("turn", F.col("seq")).withColumn("text", F.col("value"))
+    secret = F.exists("dets", lambda d: d["category"] == "SECRET")
+    seen = detect(numbered, rules_for()).withColumn("_why", F.when(~F.coalesce(F.col("verdict").isin("NEVER", "ALWAYS"), F.lit(False)), "no verdict").when(~F.coalesce(F.length("value") >= 2, F.lit(False)), "no value").when((F.col("verdict") == "NEVER") & secret, "a secret can't be ruled out").when((F.col("verdict") == "ALWAYS") & ~F.coalesce(F.col("entity_type").isin(*ENTITY_TYPES), F.lit(False)), "no type that is known"))
+    fine = F.when(F.col("_why").isNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("ruling: "), "_why")))
+    done = Observation()
+    seen.withColumn("value", fine).select(*corrections.columns).observe(done, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return done.get["n"]
+
+
 def hand_rulings(corrections: DataFrame) -> tuple[tuple[str, ...], list[tuple[str, str]]]:
     """(values never to hide, (value, type) always to hide), for ``decide`` and ``detect``; more than MOST_RULINGS are an error."""
     rows = last_rulings(corrections).orderBy("value").limit(MOST_RULINGS + 1).collect()
