@@ -321,6 +321,13 @@ def trace(detected: DataFrame, policy: Policy, never: tuple[str, ...] = ()) -> D
 
 def stance_gap(texts: DataFrame, packs: tuple[str, ...] = tuple(PACKS), **passes) -> DataFrame:
     """(scope, turn, type, start, rule) of what the recall-first stance finds and the balanced one doesn't."""
+    if not passes:  # the balanced stance finds what its rules find of the same hits
+        core = [r.id for r in rules_for(packs, "balanced")]
+        key = lambda d: F.concat(d["type"], F.lit(":"), d["start"].cast("string"))
+        both = detect(texts, rules_for(packs, "recall_first")).withColumn("_wide", F.filter("dets", lambda d: ~d["rule"].isin(core) & (d["source"] != "literal")))
+        both = both.where(F.size("_wide") > 0).withColumn("_core", F.transform(F.filter("dets", lambda d: d["rule"].isin(core) | (d["source"] == "literal")), key))
+        more = F.filter("_wide", lambda d: ~F.array_contains("_core", key(d)))
+        return both.select("scope", "turn", F.explode(more).alias("d")).select("scope", "turn", "d.type", "d.start", "d.rule")
     found = [detect(texts, rules_for(packs, s), **passes).select("scope", "turn", F.explode("dets").alias("d")).select("scope", "turn", "d.type", "d.start", "d.rule") for s in ("recall_first", "balanced")]
     other = found[1].select(F.col("scope").alias("_s"), F.col("turn").alias("_t"), F.col("type").alias("_k"), F.col("start").alias("_p"))
     same = F.col("scope").eqNullSafe(F.col("_s")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.col("type") == F.col("_k")) & (F.col("start") == F.col("_p"))
