@@ -152,6 +152,23 @@ def test_forest_counts_every_pair_once_and_finds_nearly_all(spark):
     assert got[None]["n_links"] == got[4000]["n_links"] == got[4001]["n_links"] == 0 and got[4001]["component_id"] == 4001
 
 
+def test_forest_finds_nearly_all_at_ten_levels(spark):
+    """Leaves of eight of 8000 vectors, pairs planted at cosines down to the threshold, against all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    n, planted = 8000, 2400
+    x = r.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[n - planted :] = x[:planted] + r.standard_normal((planted, 32)) / 32**0.5 * np.repeat([0.05, 0.12, 0.18, 0.195], planted // 4)[:, None]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = embedding_forest.link(df, leaf=8).agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * near.sum() <= found <= near.sum()
+
+
 def test_tables_are_the_network():
     import numpy as np
 

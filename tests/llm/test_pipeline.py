@@ -52,3 +52,39 @@ def test_clashing_columns_and_empty_tables(spark, folder):
 
 def test_registered():
     assert sum(name.startswith("op") or name == "pipeline" for name in __spark_entry__.queries()) == 14
+
+
+def test_run_against_plain_stages(spark, folder):
+    """All rows of run(): what the two classifiers keep, one of each group of near copies by all pairs, and every id of
+    what is left, as the tokenizers library gives them, in one place of a gapless sequence."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_ngram_join import brute
+    from veilframe.llm import language, toxicity
+    from veilframe.llm.common import tokenizer_path
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    fine = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))).where("predicted = 0").collect()}
+    left = docs.where(docs.doc_id.isin(list(fine)))
+    told = {r["doc_id"] for r in language.predict(left, language.fit(left)).where(f"lang_pred <> 'und' and score >= {corpus_pipeline.LEAST_SCORE}").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in told}
+    kept = {k for k, _, least in brute(sorted(texts.items())) if k == least}
+    library, want = Tokenizer.from_file(tokenizer_path()), {}
+    library.no_truncation(), library.no_padding()
+    for k in kept:
+        want[k] = np.array([*library.encode(texts[k] or "", add_special_tokens=False).ids, 1], "<u4")
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in pieces} == kept and len(kept) < len(texts)
+    for k, ids in want.items():
+        own = sorted((r for r in pieces if r["doc_id"] == k), key=lambda r: r["start"])
+        assert [r["start"] for r in own] == np.cumsum([0, *(r["length"] for r in own)])[:-1].tolist() and sum(r["length"] for r in own) == len(ids)
+        assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+    windows = {}
+    for r in pieces:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for w in windows.values():
+        w.sort()
+        assert [o for o, _ in w] == np.cumsum([0, *(n for _, n in w)])[:-1].tolist() and sum(n for _, n in w) <= 2048
