@@ -20,7 +20,7 @@ from veilframe.sources.audit import AuditTrail
 from veilframe.sources.store import MappingStore
 from veilframe.streaming import sessions as SS
 
-from .catalogue import _ENTITIES, SLICE, _table, _texts
+from .catalogue import _ENTITIES, SLICE, _table, _texts, entities_sql
 from .rule_cases import CASES
 from .rule_sql import candidates
 from .whole import _ALLOC, OPENING
@@ -277,6 +277,6 @@ ORACLE_SQL: dict[str, str] = {
       x AS (SELECT h, regexp_matches(h, '^[0-9.]+$') AS ip, list_transform(string_split(h, '.'), lambda o: try_cast(o AS INT)) AS o FROM hosts),
       c AS (SELECT CASE WHEN h = 'spam-farm.example.org' THEN 'declared' WHEN ip THEN CASE WHEN o[1] = 127 AND h LIKE '127.%' THEN 'same_host' WHEN list_max(o) <= 255 AND (o[1] IN (0, 10, 127) OR o[1] >= 240 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113)) THEN 'private_network' ELSE 'external' END WHEN h NOT LIKE '%.%' THEN 'private_network' ELSE 'external' END AS class FROM x)
       SELECT class IN ('same_host', 'declared') AS same_host, class <> 'external' AS private_network, true AS anywhere, count(*) AS n FROM c GROUP BY ALL""",
-    "record_modes": _ENTITIES.replace("WHERE turn NOT IN (SELECT turn FROM blocked)", "WHERE type IN ('EMAIL', 'PHONE')") + f""", k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL), s AS (SELECT scope, sum(least(n, CASE type WHEN 'EMAIL' THEN {len(M.POOLS["EMAIL", "*"])} ELSE {len(M.POOLS["PHONE", "en"])} END)) AS stand_ins, sum(n) AS n FROM k GROUP BY scope)
+    "record_modes": entities_sql(SLICE[:2]) + f""", k AS (SELECT scope, type, count(DISTINCT value) AS n FROM ok GROUP BY ALL), s AS (SELECT scope, sum(least(n, CASE type WHEN 'EMAIL' THEN {len(M.POOLS["EMAIL", "*"])} ELSE {len(M.POOLS["PHONE", "en"])} END)) AS stand_ins, sum(n) AS n FROM k GROUP BY scope)
       SELECT DISTINCT lang AS scope, CASE WHEN stand_ins > 0 THEN 'protection-scope/2' ELSE 'protection-scope/1' END AS contract, CASE WHEN stand_ins = n THEN 'surrogate' WHEN stand_ins > 0 THEN 'mixed' ELSE 'placeholder' END AS mode, coalesce(n - stand_ins, 0)::BIGINT AS tokens, coalesce(stand_ins, 0)::BIGINT AS stand_ins FROM documents LEFT JOIN s ON scope = lang""",
 }
