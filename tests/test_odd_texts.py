@@ -40,3 +40,11 @@ def meeting(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["missing_placeholders", "stored_mappings", "placeholder_rows", "placeholders_continued", "protection_records", "purged_scopes", "restoration_records", "restored_replies", "sealed_mappings"])
 def test_rules_that_meet_are_resolved_in_sql_too(spark, meeting, name):
     same_as_sql(spark, name, meeting)
+
+
+def test_a_place_that_the_model_tells_is_the_only_one_in_sql_too(spark, tmp_path):
+    """The scripted model says place 7 of every window: there, and only there, its name counts."""
+    rows = [(1, 0, "user", "xy and Tion Tion"), (1, 1, "user", "but it Tional, Tion"), (1, 2, "user", "so Tion, Tion"), (2, 0, "user", ("ab cd. Name " * 60))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, "model_pass", str(tmp_path))

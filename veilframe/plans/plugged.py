@@ -27,6 +27,8 @@ from .whole import _ALLOC, OPENING
 
 #: The least windows that keep values of 64 characters whole are far smaller than these; texts are up to some thousand characters long.
 SIZE, OVERLAP = 400, 130
+#: Where in its window the scripted model says a name is: if it is there, only that place counts.
+TOLD = 7
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def _script(window: str) -> str | None:
     words = [w for w in re.findall("[A-Za-z0-9]+", window) if re.fullmatch("[A-Z][a-z]{3,}", w)]
     if not words:
         return "There is nothing to tell."
-    return "Found:\n```json\n" + json.dumps({"entities": [{"type": "full name", "value": words[0], "start": 7}, {"type": "MOOD", "value": words[0]}]}) + "\n```"
+    return "Found:\n```json\n" + json.dumps({"entities": [{"type": "full name", "value": words[0], "start": TOLD}, {"type": "MOOD", "value": words[0]}]}) + "\n```"
 
 
 class BioTagger:
@@ -250,7 +252,8 @@ ORACLE_SQL: dict[str, str] = {
       numbered AS (SELECT k || '/' || pos AS id, k, pos, win FROM win), piece AS ({_PIECES.format(key="id", text="win", table="numbered")}),
       first AS (SELECT id, arg_min(x, i) AS value FROM piece WHERE regexp_full_match(x, '[A-Z][a-z]{{3,}}') GROUP BY id),
       opening AS (SELECT k, regexp_extract(text, '^[A-Z][a-z]{{2,20}}', 0) AS value FROM c),
-      found AS (SELECT DISTINCT n.k, (n.pos + p.place)::INT AS s, f.value FROM numbered n JOIN first f USING (id) JOIN piece p USING (id) WHERE p.x = f.value)
+      said AS (SELECT n.*, f.value, substr(n.win, {TOLD + 1}, length(f.value)) = f.value AS told FROM numbered n JOIN first f USING (id)),
+      found AS (SELECT k, (pos + {TOLD})::INT AS s, value FROM said WHERE told UNION SELECT n.k, (n.pos + p.place)::INT, n.value FROM said n JOIN piece p USING (id) WHERE NOT told AND p.x = n.value)
       SELECT conv_id, turn, 'model' AS source, 'PERSON' AS type, s AS start_at, f.value AS value FROM found f JOIN c USING (k) JOIN opening o USING (k) WHERE s >= length(o.value)
       UNION ALL SELECT conv_id, turn, 'custom', 'PERSON', 0, value FROM opening JOIN c USING (k) WHERE value <> ''""",
     "recognized_names": f"""WITH c AS (SELECT row_number() OVER () AS k, * FROM conversations), piece AS ({_PIECES.format(key="k", text="text", table="(SELECT k, coalesce(text, '') AS text FROM c)")}),
