@@ -2,6 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from veilframe.operators import privacy as P
+from veilframe.operators.rules import Rule
 
 from .test_queries import ORACLE_SQL, QUERIES, plain
 
@@ -48,3 +52,26 @@ def test_a_place_that_the_model_tells_is_the_only_one_in_sql_too(spark, tmp_path
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(0, "", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     same_as_sql(spark, "model_pass", str(tmp_path))
+
+
+def test_more_rulings_than_a_hand_written_log_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("veilframe.sources.mappings.MOST_RULINGS", 3)
+    words = ["thrillingly", "thunderstorm", "abcdefghij", "bcdefghijk", "cdefghijkl", "thousandfold"]
+    rows = [(k, f"{w} and {words[k - 1]}, {w}x {w}1", "en") for k, w in enumerate(words)] + [(9, None, "en"), (11, "abcdefghij", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    same_as_sql(spark, "ruled_texts", str(tmp_path))
+
+
+def test_rulings_of_rows_are_those_of_a_list(spark):
+    """Values of several words, of other scripts and inside others: joined to their texts, they find what one list finds."""
+    texts = spark.createDataFrame([("s", 0, "Project Blue Sky, blue; 青山 and 青山仁. Blue Skylark #x1 tell ann"), (None, None, "Blue Sky"), ("s", 2, None)], "scope string, turn int, text string")
+    rulings = [("Blue", "ALWAYS", "PERSON"), ("Blue Sky", "ALWAYS", "PROJECT_NAME"), ("青山", "ALWAYS", "PERSON"), ("#x1", "ALWAYS", "PERSON"), ("absent", "ALWAYS", "PERSON"), ("tell", "NEVER", None)]
+    log = spark.createDataFrame(rulings, "value string, verdict string, entity_type string")
+    rule = Rule("PERSON", r"(?<![a-z])[a-z]{4}(?![a-z])", 0.9, "custom", id="custom.PERSON.1")
+    with_own = P.with_rulings(texts, log, P.detect(texts, [rule], normalize=False))
+    got = P.decide(P.detect(with_own, [rule], normalize=False, always=F.col("_always")), P.Policy(), F.col("_never"))
+    want = P.decide(P.detect(texts, [rule], normalize=False, always=sorted((v, t) for v, k, t in rulings if k == "ALWAYS")), P.Policy(), ("tell",))
+    shown = lambda df: sorted(map(str, df.select("scope", "turn", "entities").collect()))
+    assert shown(got) == shown(want)
+    assert "Blue" in str(shown(got)) and "tell" not in str(shown(got))
