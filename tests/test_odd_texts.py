@@ -1,11 +1,13 @@
 """Queries against their SQL on texts that the smallest tables don't hold."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.operators import privacy as P
 from veilframe.operators.rules import Rule
+from veilframe.plans.catalogue import _table
 
 from .test_queries import ORACLE_SQL, QUERIES, plain
 
@@ -75,3 +77,10 @@ def test_rulings_of_rows_are_those_of_a_list(spark):
     shown = lambda df: sorted(map(str, df.select("scope", "turn", "entities").collect()))
     assert shown(got) == shown(want)
     assert "Blue" in str(shown(got)) and "tell" not in str(shown(got))
+
+
+def test_batches_for_python_dont_grow_with_a_task(spark, tmp_path):
+    rows = [(k, f"text {k}", "en") for k in range(8000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    assert _table(spark, str(tmp_path), "documents").select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 500
