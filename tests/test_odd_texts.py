@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import privacy as P
 from veilframe.operators.rules import Rule
 from veilframe.plans.catalogue import _table
+from veilframe.streaming import restore as stream
 
 from .test_queries import ORACLE_SQL, QUERIES, plain
 
@@ -84,3 +85,15 @@ def test_batches_for_python_dont_grow_with_a_task(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
     assert _table(spark, str(tmp_path), "documents").select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 500
+
+
+def test_a_batch_of_a_stream_is_cut_once(spark, tmp_path, monkeypatch):
+    """Restoring reads the cut pieces several times; the stateful operator must not run for each reading."""
+    plans, whole = [], stream.restore_segments
+    monkeypatch.setattr(stream, "restore_segments", lambda pieces, maps: plans.append(pieces._jdf.queryExecution().toString()) or whole(pieces, maps))
+    schema = "scope string, stream_id string, seq long, chunk string, is_last boolean"
+    spark.createDataFrame([("s", "a", 0, "to <EMA", False), ("s", "a", 1, "IL_001> now", True)], schema).write.parquet(f"{tmp_path}/in")
+    maps = spark.createDataFrame([("s", "EMAIL", 1, "a@example.com", "a@example.com")], "scope string, type string, idx int, identity string, value string")
+    stream.restore_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), maps, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert "".join(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()) == "to a@example.com now"
+    assert plans and not any("WithState" in p for p in plans)

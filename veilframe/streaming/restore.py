@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -14,17 +16,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.functions.literals import GAP, combining_from, gaps_fit
 from veilframe.functions.normalize import fold_text
+from veilframe.functions.shared import settled
 from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, restore, scope_surfaces, surface_literals
 
 #: Fixed value: characters of the folded text that may be held back, for no token is longer.
 HOLD = 266
 
 
-def _run(text: str, at: int, ok, most: int) -> int:
-    end = at
-    while end < len(text) and end - at < most and ok(text[end]):
-        end += 1
-    return end
+_STARTS = re.compile(r"[<\[{]|(?<![A-Za-z0-9])[A-Za-z]")
+
+
+@functools.cache
+def _some(chars: str, most: int) -> re.Pattern[str]:
+    return re.compile(rf"[{chars}]{{0,{most}}}")
+
+
+def _run(text: str, at: int, chars: str, most: int) -> int:
+    return _some(chars, most).match(text, at).end()
 
 
 def _word(c: str) -> bool:
@@ -34,14 +42,14 @@ def _word(c: str) -> bool:
 def _open(text: str, at: int, limit: int) -> bool:
     """Whether what begins at ``at``, an opening bracket or a name, may be a token that goes on behind the text, or is one
     that goes beyond ``limit``."""
-    n, blank = len(text), lambda c: c in " \t"
+    n, blank, word = len(text), r" \t", "A-Za-z0-9"
     if text[at] in "<[{":
         at = _run(text, at + 1, blank, BLANKS)
         if at == n:
             return True
     if not (text[at].isascii() and text[at].isalpha()):
         return False
-    at = _run(text, at, _word, NAME + 1)
+    at = _run(text, at, word, NAME + 1)
     for _ in range(PARTS + 2):
         if at == n:
             return True
@@ -57,14 +65,14 @@ def _open(text: str, at: int, limit: int) -> bool:
         if at == n:
             return True
         if text[at] in "0123456789":
-            end = _run(text, at, lambda c: c in "0123456789", DIGITS)
+            end = _run(text, at, "0-9", DIGITS)
             if end == n or _word(text[end]):
                 return end == n
             close = _run(text, end, blank, BLANKS)
             return close == n or (close + 1 if text[close] in ">]}" else end) > limit
         if not (joined and text[at].isascii() and text[at].isalpha()):
             return False
-        at = _run(text, at, _word, PART + 1)
+        at = _run(text, at, word, PART + 1)
     return False
 
 
@@ -75,8 +83,8 @@ def _word_char(c: str) -> bool:
 def _token_from(view: str, starts: list[int] | None, last: int) -> int:
     """The least place at or before ``last`` that doesn't cut a token, nor what may become one."""
     limit = bisect_left(starts, last) if starts else last
-    for k in range(max(0, limit - HOLD), min(limit, len(view))):
-        if (view[k] in "<[{" or view[k].isascii() and view[k].isalpha() and (k == 0 or not _word(view[k - 1]))) and _open(view, k, limit):
+    for m in _STARTS.finditer(view, max(0, limit - HOLD), min(limit, len(view))):
+        if _open(view, k := m.start(), limit):
             return min(last, starts[k] if starts else k)
     return last
 
@@ -143,9 +151,9 @@ def segments(chunks: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         context, held = state.get if state.exists else ("", "")
-        f = pd.concat(list(frames)).sort_values("seq")
+        rows = sorted((r for f in frames for r in zip(f["seq"].tolist(), f["chunk"].tolist(), f["is_last"].tolist(), f["own"].tolist())), key=lambda r: r[0])
         out, done = [], False
-        for seq, chunk, last, own in zip(f["seq"], f["chunk"], f["is_last"], f["own"]):
+        for seq, chunk, last, own in rows:
             before = context
             context, held, text = cut(context, held, chunk or "", bool(last), tuple(own) if own is not None else ())
             out.append((*key, seq, before, text))
@@ -183,6 +191,7 @@ def restore_stream(chunks: DataFrame, mappings: DataFrame, path: str, checkpoint
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        restore_segments(batch, mappings).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        pieces = settled(batch)  # read more than once: the stateful operator would run for each reading
+        restore_segments(pieces, mappings).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return segments(chunks, mappings).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
