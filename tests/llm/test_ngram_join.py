@@ -93,3 +93,21 @@ def test_trie_of_one_long_path():
     sets = [base[: 1000 + 2 * k] for k in range(1000)]
     found = set(ngram_join.Trie(sets).matches(sets[0], lambda k: False))
     assert found == {k for k, s in enumerate(sets) if 100 * 1000 >= 75 * len(s)}
+
+
+def test_components_take_no_more_rounds_than_the_edges_ask_for(spark, monkeypatch):
+    from veilframe.llm import components as C
+
+    calls = []
+    monkeypatch.setattr(C, "settled", lambda df: calls.append(1) or df.checkpoint(eager=True))
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (7, 7)], "a long, b long").repartition(3)
+    want = {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
+    monkeypatch.setattr(C, "AT_ONCE", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    assert {r["node"]: r["component"] for r in C.components(path).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3000")
+    calls.clear()
+    monkeypatch.setattr(C, "AT_ONCE", 1 << 19)
+    assert {r["node"]: r["component"] for r in C.components(path.coalesce(1)).collect()} == want
+    assert len(calls) == 1
+    assert C.components(path.limit(0)).collect() == []
