@@ -97,3 +97,23 @@ def test_a_batch_of_a_stream_is_cut_once(spark, tmp_path, monkeypatch):
     stream.restore_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), maps, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert "".join(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()) == "to a@example.com now"
     assert plans and not any("WithState" in p for p in plans)
+
+
+def test_regions_are_whole_sentences_in_one_walk(spark, meeting):
+    import re
+
+    from veilframe.functions.scripts import BOUNDARIES, RANGES, regions
+
+    texts = ["", ".", "です", "です。", "a です. b; 漢字！c", "。。です\n\nab cd: です」", "абв. abc です? ١ ﷐です", "x" * 3000 + ". " + "のa" * 2000 + "!" + "y. " * 3000, "漢。" * 500 + "no end"]
+    ends = "[" + re.escape(BOUNDARIES) + "]"
+    for scripts in (("kana",), ("han",), ("kana", "han"), ("latin",), ("arabic", "cyrillic")):
+        df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", regions(F.col("t"), *scripts).alias("r"))
+        for t, r in df.collect():
+            want, at = [], 0
+            for s in re.split(ends, t or ""):
+                if any(a <= ord(c) <= b for c in s for k in scripts for a, b in RANGES[k]):
+                    want.append((at, at + len(s)))
+                at += len(s) + 1
+            assert [(x["start"], x["end"]) for x in r] == want
+    plan = QUERIES["script_regions"](spark, meeting)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace(") <= 3  # five walks before: kana, han, either, two of them twice

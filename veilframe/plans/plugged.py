@@ -90,11 +90,10 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def script_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts of each text, and how many sentences hold kana, Chinese characters or either, with the characters of those."""
-    t = F.col("text")
     size = lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    kana, either = regions(t, "kana"), regions(t, "kana", "han")
     df = _mixed(spark, sf_dir).where("text is not null")
-    return df.select(F.col("turn").alias("doc_id"), F.concat_ws(",", scripts_in(t)).alias("scripts"), F.size(kana).alias("kana"), size(kana).alias("kana_size"), F.size(regions(t, "han")).alias("han"), F.size(either).alias("either"), size(either).alias("either_size"))
+    df = df.select(F.col("turn").alias("doc_id"), F.concat_ws(",", scripts_in(F.col("text"))).alias("scripts"), *(regions(F.col("text"), *s).alias(n) for n, s in (("_kana", ("kana",)), ("_han", ("han",)), ("_either", ("kana", "han")))))
+    return df.select("doc_id", "scripts", F.size("_kana").alias("kana"), size("_kana").alias("kana_size"), F.size("_han").alias("han"), F.size("_either").alias("either"), size("_either").alias("either_size"))
 
 
 def silenced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
