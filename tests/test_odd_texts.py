@@ -117,3 +117,16 @@ def test_regions_are_whole_sentences_in_one_walk(spark, meeting):
             assert [(x["start"], x["end"]) for x in r] == want
     plan = QUERIES["script_regions"](spark, meeting)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(regexp_replace(") <= 3  # five walks before: kana, han, either, two of them twice
+
+
+def test_script_tables_are_asked_beyond_ascii_only(spark):
+    from veilframe.functions.spans import beyond_ascii, spans
+    from veilframe.operators.rules import PACKS, rules_for
+
+    every = "".join(chr(c) for c in [*range(0x20, 0x3400), *range(0x4E00, 0x4F00), *range(0xF900, 0xFFF0), 0x20000] if c not in (0xFDD0, 0xFDD1))
+    df = spark.createDataFrame([(every,)], "t string")
+    for p in (r"\p{IsHan}", r"[^\p{IsHan}a]", r"[\p{IsHiragana}\p{IsKatakana}ーA-Z]", r"(?<!\p{IsHan})\p{IsKatakana}", PACKS["ja"][1]):
+        assert "&&" in beyond_ascii(p)
+        old, new = df.select(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.transform(spans(F.col("t"), p), lambda x: x["value"])).first()
+        assert old == new
+    assert all(r"\p{Is" not in beyond_ascii(r.pattern).replace(r"&&\p{Is", "") for r in rules_for())
