@@ -404,3 +404,22 @@ def test_packs_are_named():
     assert all(a.pattern == b.pattern for a, b in zip(rules_for(stance="balanced"), [r for r in rules_for() if r.tier == "core"]))
     with pytest.raises(ValueError, match="stance"):
         rules_for(stance="loud")
+
+
+def test_places_are_worked_out_once_for_all_rules_of_a_pack(spark):
+    d = P.detect(spark.createDataFrame([("s", 1, "x")], "scope string, turn long, text string"), rules_for())
+    plan = d._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(split(") < 10 < len(rules_for())
+
+
+def test_what_spares_walks_hides_no_hit(spark):
+    from dataclasses import replace
+
+    from veilframe.plans.rule_cases import CASES
+
+    rows = [("s", k, str(t)) for k, case in enumerate(CASES.values()) for t in (case if isinstance(case, (tuple, list)) else (case,))]
+    rows += [("s", 900, "Dr Jane Roe, Prof. Max Fry and Mrs Ann Lee of Acme Tools GmbH\ufdd0: ssn: 123-45-6789"), ("s", 901, None), ("s", 902, "")]
+    texts = spark.createDataFrame(rows, "scope string, turn long, text string")
+    bare = [replace(r, need=None, signs="", gate=None, digits=0) for r in rules_for()]
+    found = [sorted(map(str, P.detect(texts, rules).select("turn", "dets").collect())) for rules in (rules_for(), bare)]
+    assert found[0] == found[1] and sum("source=" in x for x in found[0]) > 50
