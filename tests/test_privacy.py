@@ -423,3 +423,34 @@ def test_what_spares_walks_hides_no_hit(spark):
     bare = [replace(r, need=None, signs="", gate=None, digits=0) for r in rules_for()]
     found = [sorted(map(str, P.detect(texts, rules).select("turn", "dets").collect())) for rules in (rules_for(), bare)]
     assert found[0] == found[1] and sum("source=" in x for x in found[0]) > 50
+
+
+def test_folding_a_long_text_costs_what_changes_in_it(spark):
+    import unicodedata
+
+    from veilframe.functions import normalize
+
+    pieces = ["plain words, ", "é", "e\u0301", "Ａ１：", "ﬁ", "\u0301", "가", "a\u0323\u0307 ", "½", "\n", "漢字", "ｶﾞ", "x\uff9e", "\u2100", "\U0001d400"]
+    rng = random.Random(5)
+    for _ in range(2000):
+        t = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        folded, starts, ends = normalize.fold_text(t)
+        out, i = [], 0
+        while i < len(t):
+            j = i + 1
+            while j < len(t) and unicodedata.combining(unicodedata.normalize("NFKC", t[j])[:1] or "\0"):
+                j += 1
+            out += [(c, i, j) for c in unicodedata.normalize("NFKC", t[i:j])]
+            i = j
+        if starts is None:
+            assert folded == t
+        else:
+            assert list(zip(folded, starts, ends, strict=True)) == out
+    calls = []
+    real = unicodedata.normalize
+    normalize.unicodedata.normalize = lambda form, s: calls.append(s) or real(form, s)
+    try:
+        assert normalize.fold_text("plain words " * 1000 + "：")[0].endswith(" :")
+    finally:
+        normalize.unicodedata.normalize = real
+    assert len(calls) < 10
