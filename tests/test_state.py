@@ -80,6 +80,23 @@ def test_a_stream_expires_what_a_batch_does_whatever_the_batches(spark):
     assert got(spark.read.schema(SS.CLOSED + ", batch int").parquet(out)) == plain(uses)
 
 
+def test_a_stream_keeps_conversations_apart_to_the_microsecond(spark):
+    """Uses that begin just where a conversation ends begin another, ones a microsecond before don't; state is kept without Python."""
+    at = lambda second, micros=0: when(second) + datetime.timedelta(microseconds=micros)
+    uses = [("a", at(0), None), ("a", at(100), None), ("b", at(0), None), ("b", at(100, -1), None), ("c", at(0, 7), at(300, 3)), ("c", at(300, 3), None), ("d", at(0), at(300)), ("d", at(300, -1), None), (None, at(5), at(1)), ("z", None, None)]
+    source, out, checkpoint = (scratch(spark, x) for x in ("uses", "expired", "stream"))
+    for part in (uses[::2], uses[1::2], [("end", at(50_000), None)]):
+        spark.createDataFrame(part, USES).write.mode("append").parquet(source)
+        SS.write_expired(spark.readStream.schema(USES).parquet(source), out, checkpoint, "3000 seconds", IDLE).awaitTermination()
+    rows = lambda df: sorted((str(r["key"]), r["started"], r["last_used"], r["expires"], r["uses"]) for r in df.collect())
+    found = rows(spark.read.schema(SS.CLOSED + ", batch int").parquet(out))
+    assert found == rows(SS.conversations(spark.createDataFrame(uses, USES), IDLE)) and [r[0] for r in found] == ["None", "a", "a", "b", "c", "c", "d"]
+    expired = SS.expired_conversations(spark.readStream.schema(USES).parquet(source), "3000 seconds", IDLE)
+    assert "PandasWithState" not in expired._jdf.queryExecution().logical().toString()
+    with pytest.raises(ValueError, match="idle"):
+        SS.expired_conversations(spark.readStream.schema(USES).parquet(source), "3000 seconds", 0)
+
+
 def test_a_use_that_is_held_keeps_its_conversation(spark):
     df = spark.createDataFrame([("a", when(0), when(500)), ("a", when(499), None), ("a", when(599), None), ("b", when(0), None), ("b", when(100), None)], USES)
     assert got(SS.conversations(df, IDLE)) == [("a", 0, 499, 599, 2), ("a", 599, 599, 699, 1), ("b", 0, 0, 100, 1), ("b", 100, 100, 200, 1)]

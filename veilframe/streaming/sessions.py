@@ -7,13 +7,9 @@ uses that overlap make together - in whatever order they come, so streams and ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Uses of a key are first put together a span of time at a time, so that no task sorts all uses of one key.
 SPAN_SECONDS = 86_400
@@ -62,31 +58,20 @@ def settle(held: list[list[int]], uses: list[tuple[int, int]]) -> list[list[int]
 def expired_conversations(uses: DataFrame, delay: str, idle_seconds: int = 1800) -> DataFrame:
     """A streamed row (key, started, last_used, expires, uses) for each conversation once the watermark has passed it.
 
-    Uses (key, start, end) may come in any order within ``delay``.  A key's state is its open conversations: those
-    that uses still to come could touch.  It goes when the last of them expires; a use that is held keeps it.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(c) for c in zip(*state.get)] if state.exists else []
-        if not state.hasTimedOut:
-            fresh = [(int(lo), int(reach)) for f in frames for lo, reach in zip(f["lo"], f["reach"])]
-            held = settle(held, fresh)
-        now = state.getCurrentWatermarkMs() * 1000
-        done, held = [c for c in held if c[2] <= now], [c for c in held if c[2] > now]
-        if held:
-            state.update(tuple(list(c) for c in zip(*held)))
-            state.setTimeoutTimestamp(min(-(-c[2] // 1000) for c in held))
-        else:
-            state.remove()
-        if not done:
-            return
-        stamp = lambda i: pd.to_datetime([c[i] for c in done], unit="us", utc=True)
-        yield pd.DataFrame({"key": [key[0]] * len(done), "started": stamp(0), "last_used": stamp(1), "expires": stamp(2), "uses": [c[3] for c in done]})
+    Uses (key, start, end) may come in any order within ``delay``.  The state is open conversations: those that uses
+    still to come could touch.  One goes when it expires; a use that is held keeps it.  A use that comes later than
+    ``delay`` counts only if it still reaches beyond the watermark, with what is open then.
 
+    A session window's sessions become one even where they only touch, so uses reach a microsecond less here.
+    """
+    if idle_seconds <= 0:
+        raise ValueError("a conversation must be idle for some time before it ends")
+    begins = F.unix_micros("start")
+    gap = ((_reach(idle_seconds) - begins - 1).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
     rows = uses.where("start is not null").withWatermark("start", delay)
-    rows = rows.select(F.col("key").cast("string").alias("key"), "start", F.unix_micros("start").alias("lo"), _reach(idle_seconds).alias("reach"))
-    state = "lo array<long>, last array<long>, reach array<long>, uses array<long>"
-    return rows.groupBy("key").applyInPandasWithState(run, CLOSED, state, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.select(F.col("key").cast("string").alias("key"), "start", begins.alias("lo"), F.make_interval(secs=gap).alias("gap"))
+    found = rows.groupBy("key", F.session_window("start", F.col("gap")).alias("open")).agg(F.max("lo").alias("last"), F.count("*").alias("uses"))
+    return found.select("key", F.col("open.start").alias("started"), F.timestamp_micros("last").alias("last_used"), F.timestamp_micros(F.unix_micros("open.end") + 1).alias("expires"), "uses")
 
 
 def write_expired(uses: DataFrame, path: str, checkpoint: str, delay: str, idle_seconds: int = 1800) -> StreamingQuery:
