@@ -454,3 +454,33 @@ def test_folding_a_long_text_costs_what_changes_in_it(spark):
     finally:
         normalize.unicodedata.normalize = real
     assert len(calls) < 10
+
+
+def test_patterns_that_ask_for_the_rare_first_find_the_same(spark):
+    """No rule looks back at every character of a text where a digit or capital must follow; hits are those of its pattern."""
+    from veilframe.functions.spans import ready, seen_first
+
+    assert seen_first(r"(?i)(?<![0-9])[0-9]{2,5}x") == r"(?i)[0-9](?<![0-9][0-9])[0-9]{1,4}x"
+    assert seen_first(r"(?<![a-z])AB") == r"A(?<![a-z]A)B" and seen_first(r"(?<![a-z])[0-9]{1}b") == r"[0-9](?<![a-z][0-9])b"
+    for same in (r"(?<![0-9])[0-9]{0,3}a", r"(?<![0-9])[0-9]*a", r"(?<![0-9])[0-9]{2,}a", r"(?<![0-9])A?b", r"(?<![a-z])[a-z]{3}", r"(?<!\p{IsHan})A", "ab"):
+        assert seen_first(same) == same
+    changed = [x for x in rules_for() if ready(x.pattern) != x.pattern and "\\p" not in x.pattern]
+    assert {"en.PERSON.5", "universal.INTERNAL_IP.1", "universal.CREDIT_CARD.1"} <= {x.id for x in changed}
+    r = random.Random(11)
+    pieces = ["0", "1", "07", "90", "123", "4567", "-", ".", " ", "A", "AB", "Ann", "Lee", "x", "é", "漢", "10.0.0.1", "080-1234-5678", "SW1A 1AA", "ID-123", "123-45-6789", "12 Old Road", "4111 1111 1111 1111", "13912345678", "12345-6789"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(1, 14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    both = [F.struct(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", x.pattern), ("b", ready(x.pattern))))).alias(f"r{k}") for k, x in enumerate(changed)]
+    out = df.select(*both).agg(*(F.struct(F.sum(F.size(f"r{k}.a")), F.sum((F.col(f"r{k}.a") != F.col(f"r{k}.b")).cast("int"))).alias(f"r{k}") for k in range(len(changed)))).first()
+    assert [out[k][1] for k in range(len(changed))] == [0] * len(changed)
+    assert sum(out[k][0] > 0 for k in range(len(changed))) >= 15
+
+
+def test_exact_literals_lose_no_hit(spark):
+    """Literals that spare a walk are in whatever their pattern finds; texts with them in another case are none."""
+    rows = ["ask Mr. Bean, Mrs Low, Dr Who, Prof. Oak", "Dear Ann Lee, you", "Hi Bob, Hello Sue, me", "Thanks, Ann Lee", "Regards,\nAnn Lee", "Contact: Ann Lee", "Reported by: Ann Lee", "Project Hermes", "AKIA" + "A1" * 8, "ASIA" + "B2" * 8, "AIza" + "aB3-_" * 7, "ghs_" + "a1" * 18, "xoxb-" + "a1" * 10, "see Big Old PLC now, Tiny GmbH"]
+    ids = [("en.PERSON.1", 4), ("en.PERSON.2", 1), ("en.PERSON.2", 2), ("en.PERSON.3", 1), ("en.PERSON.3", 1), ("en.PERSON.4", 1), ("en.PERSON.4", 1), ("en.PROJECT_NAME.1", 1), ("universal.API_KEY.3", 1), ("universal.API_KEY.3", 1), ("universal.API_KEY.4", 1), ("universal.ACCESS_TOKEN.1", 1), ("universal.ACCESS_TOKEN.3", 1), ("en.COMPANY_NAME.1", 2)]
+    df = spark.createDataFrame([("s", k, t) for k, t in enumerate(rows)] + [("s", 100 + k, t.lower()) for k, t in enumerate(rows)], "scope string, turn long, text string")
+    found = {x["turn"]: [d["rule"] for d in x["dets"]] for x in P.detect(df, [x for x in rules_for() if x.exact or x.id == "universal.ACCESS_TOKEN.1"]).collect()}
+    assert [found[k].count(rule) for k, (rule, _) in enumerate(ids)] == [n for _, n in ids]
+    assert all(rule not in found[100 + k] for k, (rule, _) in enumerate(ids) if rule not in ("universal.ACCESS_TOKEN.1", "universal.ACCESS_TOKEN.3"))
