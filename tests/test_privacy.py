@@ -1,6 +1,7 @@
 """Detection, resolution, allocation, protection and restoration on small texts."""
 
 import itertools
+import os
 import random
 import re
 
@@ -246,6 +247,25 @@ def test_altered_tokens_are_restored_and_ordinary_text_is_not(spark):
     assert counts[5] == 2 and counts[17] == 3
 
 
+def test_missing_placeholders_are_counted_without_listing_them(spark):
+    """The same numbers as the list has, also of replies that hold a token twice, none or all, of scopes without replies and of none;
+    and 3,000 replies of a scope with 200,000 placeholders, 600 million rows if they were listed."""
+    maps = spark.createDataFrame([(s, t, k, f"{t}{k}", f"{t}{k}") for s, t, n in (("s", "EMAIL", 4), ("s", "PERSON", 2), ("s", "A_B", 1), ("t", "EMAIL", 1), ("u", "EMAIL", 3), (None, "EMAIL", 2)) for k in range(1, n + 1)], "scope string, type string, idx int, identity string, value string")
+    texts = [("s", 1, "<EMAIL_001> <EMAIL_001> email 2 <A_B_001>"), ("s", 2, None), ("s", 3, "[PERSON_002] <EMAIL_009> <A_B_001>"), ("t", 4, "<EMAIL_001>"), ("v", 5, "<EMAIL_001>"), (None, 6, "<EMAIL_001>")]
+    replies = spark.createDataFrame(texts, "scope string, response_id long, text string")
+    restored = R.restore(replies, maps)
+    rows = lambda df: sorted((r["scope"], r["type"], r["n"]) for r in df.collect())
+    listed = rows(R.missing(replies, restored, maps).groupBy("scope", "type").agg(F.count("*").alias("n")))
+    assert rows(R.missing_by_type(restored, maps)) == listed == [("s", "A_B", 1), ("s", "EMAIL", 10), ("s", "PERSON", 5)]
+    many = spark.range(1, 200_001).selectExpr("'s' scope", "'EMAIL' type", "cast(id as int) idx")
+    held = spark.range(3_000).selectExpr("'s' scope", "id response_id", "array(format_string('EMAIL_%03d', id + 1), 'EMAIL_001') restored")
+    assert rows(R.missing_by_type(held, many)) == [("s", "EMAIL", 3_000 * 200_000 - 5_999)]
+    from veilframe.plans import whole
+
+    plan = whole.missing_placeholders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() if os.path.isdir("/root/testdata/sf0.001") else ""
+    assert "response_id" not in plan  # no row for each reply is joined to what its scope minted
+
+
 def test_no_reply_carries_its_scopes_mappings(spark):
     replies = spark.createDataFrame([("s", 1, "<EMAIL_001>")], "scope string, response_id long, text string")
     plan = R.restore(replies, known(spark))._jdf.queryExecution().optimizedPlan().toString()
