@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from bisect import bisect_left
@@ -16,11 +17,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.functions.literals import GAP, combining_from, gaps_fit
 from veilframe.functions.normalize import fold_text
-from veilframe.functions.shared import settled
-from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, restore, scope_surfaces, surface_literals
+from veilframe.functions.shared import removed, scratch
+from veilframe.operators.restore import BLANKS, DIGITS, NAME, PART, PARTS, beside_scope, restore, scope_surfaces, surface_literals, surface_names
 
 #: Fixed value: characters of the folded text that may be held back, for no token is longer.
 HOLD = 266
+#: Fixed value, part of the state: keys of state that streams are dealt over.  Calling Python for a key costs milliseconds.
+KEYS = 4096
 
 
 _STARTS = re.compile(r"[<\[{]|(?<![A-Za-z0-9])[A-Za-z]")
@@ -77,13 +80,20 @@ def _open(text: str, at: int, limit: int) -> bool:
 
 
 def _word_char(c: str) -> bool:
-    return any(map(_word, unicodedata.normalize("NFKC", c)))
+    return c.isalnum() if c.isascii() else any(map(_word, unicodedata.normalize("NFKC", c)))
+
+
+#: Backwards, what no token goes on behind: a letter that only blanks part from what is before it, a bracket, anything a token doesn't hold.
+_BREAK = re.compile(r"[A-Za-z]\s+[^\s_<\[{-]|[^A-Za-z0-9 \t\n\r\f\v_-]", re.ASCII)
 
 
 def _token_from(view: str, starts: list[int] | None, last: int) -> int:
     """The least place at or before ``last`` that doesn't cut a token, nor what may become one."""
     limit = bisect_left(starts, last) if starts else last
-    for m in _STARTS.finditer(view, max(0, limit - HOLD), min(limit, len(view))):
+    low, high = max(0, limit - HOLD), min(limit, len(view))
+    if m := _BREAK.search(view[low:high][::-1]):  # what begins before it ends before it
+        low = high - 1 - m.start()
+    for m in _STARTS.finditer(view, low, high):
         if _open(view, k := m.start(), limit):
             return min(last, starts[k] if starts else k)
     return last
@@ -97,22 +107,37 @@ def _whole_word(text: str, at: int) -> int:
     return back
 
 
-def _surface_from(text: str, surfaces: tuple[str, ...]) -> int:
-    """Where the suffix begins that is a stand-in's beginning, or all of one whose last edge isn't known yet."""
+@functools.lru_cache(maxsize=64)
+def _beginnings(surfaces: tuple[str, ...]) -> tuple[dict[str, list[str]], re.Pattern[str], int]:
+    """Stand-ins by their first characters, a pattern of where one may begin, and how far the longest reaches."""
     firsts: dict[str, list[str]] = {}
     reach = 0
     for s in map(str.strip, surfaces):
         if s:
             firsts.setdefault(s[0].lower(), []).append(s)
             reach = max(reach, len(s) + s.count(" ") * (2 * GAP + 2))
-    for at in range(max(0, len(text) - reach), len(text)):
-        if at and _word(text[at]) and _word(text[at - 1]):
-            continue
+    some = "|".join(map(re.escape, firsts)) or "(?!)"
+    return firsts, re.compile(rf"(?:(?<![A-Za-z0-9])|(?![A-Za-z0-9]))(?i:{some})"), reach
+
+
+def _surface_from(text: str, surfaces: tuple[str, ...]) -> int:
+    """Where the suffix begins that is a stand-in's beginning, or all of one whose last edge isn't known yet."""
+    firsts, may, reach = _beginnings(surfaces)
+    for m in may.finditer(text, max(0, len(text) - reach)):
+        at = m.start()
         if any(gaps_fit(text[at:], s) >= 0 for s in firsts.get(text[at].lower(), ())):
             return at
     return len(text)
 
 
+def _uncut(text: str, at: int, surfaces: tuple[str, ...]) -> int:
+    """``at``, or where the first stand-in begins that it would cut; none reaches farther than the longest does."""
+    reach = _beginnings(surfaces)[2]
+    low = max(0, at - reach - 1)
+    found = surface_literals(surfaces).occurrences(text[low : at + reach + 1])
+    return min([at, *(s + low for s, e, _ in found if s + low < at < e + low)])
+
+
 def hold_from(text: str, surfaces: tuple[str, ...] = ()) -> int:
     """Where the suffix begins that a later chunk might still make a token or a stand-in of, or fold otherwise."""
     last = max(0, combining_from(text) - 1)  # marks may still follow the last character
@@ -120,11 +145,9 @@ def hold_from(text: str, surfaces: tuple[str, ...] = ()) -> int:
     at = _whole_word(text, _token_from(view, starts, last))
     if not surfaces:
         return at
-    found = [(s, e) for s, e, _ in surface_literals(surfaces).occurrences(text)]
     at = min(at, _surface_from(text, surfaces))
     while True:  # a place that cuts nothing: neither a stand-in, nor a token beside it, nor a word
-        back = min([at, *(s for s, e in found if s < at < e)])
-        back = _whole_word(text, _token_from(view, starts, back))
+        back = _whole_word(text, _token_from(view, starts, _uncut(text, at, surfaces)))
         if back == at:
             return at
         at = back
@@ -145,53 +168,63 @@ def segments(chunks: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     The texts of a stream together are its chunks together, however those were cut; no token lies across two of
     them, nor a stand-in that ``mappings`` shows in the stream's scope.  Chunks of a stream come in order of
     micro-batches; within one they are sorted.  A stream's state is one character and at most what may still become a
-    token or a stand-in; it goes with the last chunk.  For separate runs of one stream (prose, arguments of calls)
-    give each its own stream_id.
+    token or a stand-in; it goes with the last chunk.  Streams are dealt over ``KEYS`` keys by their hashes, and a key's
+    state has those that are open.  For separate runs of one stream (prose, arguments of calls) give each its own stream_id.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        context, held = state.get if state.exists else ("", "")
-        rows = sorted((r for f in frames for r in zip(f["seq"].tolist(), f["chunk"].tolist(), f["is_last"].tolist(), f["own"].tolist())), key=lambda r: r[0])
-        out, done = [], False
-        for seq, chunk, last, own in rows:
-            before = context
-            context, held, text = cut(context, held, chunk or "", bool(last), tuple(own) if own is not None else ())
-            out.append((*key, seq, before, text))
-            done = done or bool(last)
-        if done:
+        open_ = {(scope, stream): (context, held) for scope, stream, context, held in json.loads(state.get[0])} if state.exists else {}
+        streams: dict[tuple, list[tuple]] = {}
+        for f in frames:
+            for scope, stream, *row in zip(*(f[c].tolist() for c in ("scope", "stream_id", "seq", "chunk", "is_last", "names"))):
+                streams.setdefault((scope, stream), []).append(row)
+        out = []
+        for stream, rows in streams.items():
+            (context, held), done = open_.pop(stream, ("", "")), False
+            for seq, chunk, last, names in sorted(rows, key=lambda r: r[0]):
+                before = context
+                context, held, text = cut(context, held, chunk or "", bool(last), surface_names(names))
+                out.append((*stream, seq, before, text))
+                done = done or bool(last)
+            if not done:
+                open_[stream] = (context, held)
+        if open_:
+            state.update((json.dumps([(*stream, *kept) for stream, kept in open_.items()]),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((context, held))
         yield pd.DataFrame(out, columns=["scope", "stream_id", "seq", "context", "text"])
 
-    rows = chunks.select("scope", "stream_id", "seq", "chunk", "is_last")
+    rows = chunks.select("scope", "stream_id", "seq", "chunk", "is_last").withColumn("key", F.pmod(F.xxhash64("scope", "stream_id"), F.lit(KEYS)))
     if mappings is not None and "surface" in mappings.columns:
-        rows = rows.join(scope_surfaces(mappings).select("scope", F.transform("own", lambda s: s["surface"]).alias("own")), "scope", "left")
+        rows = beside_scope(rows, scope_surfaces(mappings).select("scope", "names"), "stream_id")
     else:
-        rows = rows.withColumn("own", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("names", F.lit(None).cast("string"))
     schema = "scope string, stream_id string, seq long, context string, text string"
-    return rows.groupBy("scope", "stream_id").applyInPandasWithState(run, schema, "context string, held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(run, schema, "open string", "append", GroupStateTimeout.NoTimeout)
 
 
 def restore_segments(pieces: DataFrame, mappings: DataFrame) -> DataFrame:
     """(scope, stream_id, seq, text): segments restored by the batch operator, their contexts taken off again."""
-    key = F.to_json(F.struct("stream_id", "seq"))
+    key = F.struct("stream_id", "seq", F.length("context").alias("skip"))
     # a letter before a segment is told by a digit: neither lets a token follow, and a digit begins none
     lead = F.when(F.col("context") == "", "").when(F.col("context").rlike("[A-Za-z0-9]"), "0").otherwise(" ")
-    whole = pieces.select("scope", key.alias("response_id"), F.concat(lead, "text").alias("text"), F.length("context").alias("_skip"), "stream_id", "seq")
-    back = restore(whole, mappings).select(F.col("scope").alias("_s"), F.col("response_id").alias("_r"), "restored_text")
-    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("response_id") == F.col("_r"))
-    return whole.join(back, same).select("scope", "stream_id", "seq", F.col("restored_text").substr(F.col("_skip") + 1, F.length("restored_text")).alias("text"))
+    whole = pieces.select("scope", key.alias("response_id"), F.concat(lead, "text").alias("text"))
+    text = F.col("restored_text").substr(F.col("response_id.skip") + 1, F.length("restored_text"))
+    return restore(whole, mappings).select("scope", "response_id.stream_id", "response_id.seq", text.alias("text"))
 
 
 def restore_stream(chunks: DataFrame, mappings: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Starts writing (scope, stream_id, seq, text) below ``path``, a folder a micro-batch; run again, a batch is overwritten.
 
-    Mappings are those known when the query starts.
+    Mappings are those known when the query starts.  What a batch cuts is kept in the shared folder until it is restored.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        pieces = settled(batch)  # read more than once: the stateful operator would run for each reading
-        restore_segments(pieces, mappings).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, cut = batch.sparkSession, scratch(batch.sparkSession, "pieces")
+        try:  # read more than once: the stateful operator would run for each reading
+            batch.write.option("compression", "zstd").parquet(cut)
+            restore_segments(spark.read.schema(batch.schema).parquet(cut), mappings).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={number}")
+        finally:
+            removed(spark, cut)
 
     return segments(chunks, mappings).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
